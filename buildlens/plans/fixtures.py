@@ -91,7 +91,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View 4: five changed files per commit, one per document."""
-    body = _COMMIT_FILES_BODY.replace("__CONTENT__", _CONTENT_SPARK)
+    # spark.sql formats its text with the DataFrame arguments: literal braces are doubled.
+    body = _COMMIT_FILES_BODY.replace("__CONTENT__", _CONTENT_SPARK.replace("{", "{{").replace("}", "}}"))
     return spark.sql(body, documents=table(spark, sf_dir, "documents"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_builds"]
+MODULES = ["q_builds", "q_text"]
 
 
 def _mods():
