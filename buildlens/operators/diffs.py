@@ -180,7 +180,8 @@ def parse_hunks(kept: DataFrame) -> DataFrame:
     """
     fkeys = KEYS + ["file_order"]
     lines = kept.select(*fkeys, "diff_start_offset", "diff_end_offset",
-                        F.posexplode(py_splitlines_keepends(F.col("retained_diff"))).alias("pos", "raw"))
+                        F.posexplode_outer(py_splitlines_keepends(F.col("retained_diff"))).alias("pos", "raw")) \
+        .where(F.col("raw").isNotNull())
     s = strip_line_end(F.col("raw"))
     hdr = F.regexp_extract(s, HUNK_HEADER, 0) != ""
     wf = Window.partitionBy(*fkeys).orderBy("pos")
