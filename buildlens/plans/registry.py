@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_builds", "q_text", "q_context"]
+MODULES = ["q_builds", "q_text", "q_context", "q_shards"]
 
 
 def _mods():
