@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_char, py_splitlines, py_strip
-from .diffs import CONTEXT_SEP, FIELD_SEP, KEYS, candidate_bound
+from .diffs import CONTEXT_SEP, FIELD_SEP, KEYS, candidate_bound, commit_partitioned
 
 # Fixed value: new-side hunk header used to number changed lines.
 CHANGED_HEADER = "^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,(\\d+))? @@"
@@ -227,7 +227,7 @@ def context_artifacts(commit_files: DataFrame, max_lines: int = MAX_CHANGED_LINE
     changed lines, or a snippet was cut, or the total budget fired.  A file is
     visited when it is not after the file holding the budget-crossing snippet.
     """
-    files = prepare_context_files(commit_files, max_lines).repartition(*KEYS)
+    files = commit_partitioned(prepare_context_files(commit_files, max_lines))
     kept = select_context_budget(context_snippets(files, max_chars), max_total)
     per = kept.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("rank", "prefix", "retained_text"))).alias("_s"),

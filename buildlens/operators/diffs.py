@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import diff_git_paths
+from ..session import ensure_checkpoint_dir
 from ..functions.text import (count_char, py_splitlines, py_splitlines_keepends, py_strip,
                               strip_line_end)
 
@@ -137,7 +138,7 @@ def prepare_diff_files(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHA
     retained = F.substring(full, 1, max_per_file)
     path = py_strip(F.col("path"))
     return commit_files.where(path != "").select(
-        *KEYS, "file_order", path.alias("path"),
+        *KEYS, "file_order", path.alias("path"), "name_status",
         usable.alias("usable"),
         F.when(usable, F.length(full)).alias("original_char_count"),
         F.when(usable, retained).alias("retained_diff"),
@@ -240,10 +241,26 @@ def file_hunk_arrays(hunks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T4-T10 together
+def commit_partitioned(files: DataFrame) -> DataFrame:
+    """The one shuffle: per-file rows hash-partitioned by (repo, commit_sha), then a
+    reliable checkpoint.
+
+    Every branch below (budget window, name-status, hunks, re-aggregation,
+    joins) is keyed by a superset of the commit key, and the checkpointed
+    relation keeps its hash partitioning, so none of them shuffles again.
+    Without the cut, column pruning gives each branch its own projection
+    under the exchange and the exchange cannot be reused.  The cut also
+    keeps executor loss from recomputing the per-file work.
+    """
+    ensure_checkpoint_dir(files.sparkSession)
+    return files.repartition(*KEYS).checkpoint(eager=True)
+
+
+
 def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE,
                    max_total: int = MAX_TOTAL_DIFF_CHARS, with_files: bool = True) -> DataFrame:
     """Diff artifact per commit: text + provenance (files_found .. files[])."""
-    prep = prepare_diff_files(commit_files, max_per_file).repartition(*KEYS)
+    prep = commit_partitioned(prepare_diff_files(commit_files, max_per_file))
     found = prep.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("files_found"))
     kept = select_diff_budget(prep, max_total)
     per_commit = kept.groupBy(*KEYS).agg(
@@ -262,10 +279,8 @@ def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_P
         F.transform("_s", lambda e: e["path"]).alias("retained_file_order"))
     if not with_files:
         return out
-    files = file_metadata(commit_files, kept)
-    fa = files.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("file_order", *FILE_FIELDS))).alias("_f"))
-    files_arr = F.transform("_f", lambda e: F.struct(*[e[f].alias(f) for f in FILE_FIELDS]))
-    return out.join(fa, KEYS, "left").select(*out.columns, files_arr.alias("files"))
+    fa = file_metadata(prep, kept)
+    return out.join(fa, KEYS, "left").select(*out.columns, "files")
 
 
 FILE_FIELDS = ["path", "retained_path", "old_path", "new_path", "change_type", "binary",
@@ -274,33 +289,51 @@ FILE_FIELDS = ["path", "retained_path", "old_path", "new_path", "change_type", "
                "diff_start_offset", "diff_end_offset"]
 
 
-def file_metadata(commit_files: DataFrame, kept: DataFrame) -> DataFrame:
-    """Per retained file metadata; name-status overrides header fields."""
-    fkeys = KEYS + ["file_order"]
-    hdr = kept.select(*fkeys, "path", "retained_diff", "original_char_count", "truncated",
-                      "start_offset", "end_offset", "diff_start_offset", "diff_end_offset",
-                      header_metadata(F.col("retained_diff")).alias("h"))
+def file_metadata(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per commit, the ``files`` array of retained-file metadata.
+
+    ``files`` carries the name-status lines of every changed file of the
+    commits (the commit-partitioned table).  Hunk arrays and name-status
+    entries are folded into per-commit maps and looked up by file order and
+    path, so every join is on exactly (repo, commit_sha) and reuses the one
+    commit partitioning.  Name-status fields override header fields.
+    """
+    hdr = kept.select(*KEYS, F.struct(
+        "file_order", "path", "original_char_count", "truncated", "start_offset", "end_offset",
+        "diff_start_offset", "diff_end_offset", F.length("retained_diff").alias("retained_char_count"),
+        header_metadata(F.col("retained_diff")).alias("h")).alias("f")) \
+        .groupBy(*KEYS).agg(F.array_sort(F.collect_list("f")).alias("_files"))
     arrays = file_hunk_arrays(parse_hunks(kept))
-    ns = name_status_table(commit_files)
-    j = hdr.join(arrays, fkeys, "left").join(
-        ns.withColumnRenamed("key_path", "path"), KEYS + ["path"], "left")
-    no_hunks = F.col("hunk_ranges").isNull()
-    binary_null = F.col("h.binary") & no_hunks
+    hm = arrays.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(
+        "file_order", F.struct("hunk_ranges", "added_line_numbers", "removed_line_numbers")))).alias("_hm"))
+    ns = name_status_table(files)
+    nm = ns.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(
+        "key_path", F.struct("old_path", "new_path", "change_type")))).alias("_nm"))
+    j = hdr.join(hm, KEYS, "left").join(nm, KEYS, "left")
+    hunk_type = ("array<struct<old_start:int,old_count:int,new_start:int,new_count:int,"
+                 "added_line_numbers:array<int>,removed_line_numbers:array<int>,"
+                 "start_offset:bigint,end_offset:bigint>>")
     empty_int = F.array().cast("array<int>")
-    return j.select(
-        *fkeys, "path", F.col("path").alias("retained_path"),
-        F.coalesce(F.col("old_path"), F.col("h.old_path")).alias("old_path"),
-        F.coalesce(F.col("new_path"), F.col("h.new_path")).alias("new_path"),
-        F.coalesce(F.col("change_type"), F.col("h.change_type")).alias("change_type"),
-        F.col("h.binary").alias("binary"),
-        "original_char_count", F.length("retained_diff").alias("retained_char_count"), "truncated",
-        F.when(binary_null, F.lit(None)).otherwise(
-            F.coalesce(F.col("hunk_ranges"), F.array().cast(
-                "array<struct<old_start:int,old_count:int,new_start:int,new_count:int,"
-                "added_line_numbers:array<int>,removed_line_numbers:array<int>,"
-                "start_offset:bigint,end_offset:bigint>>"))).alias("hunk_ranges"),
-        F.when(binary_null, F.lit(None)).otherwise(F.coalesce("added_line_numbers", empty_int))
-        .alias("added_line_numbers"),
-        F.when(binary_null, F.lit(None)).otherwise(F.coalesce("removed_line_numbers", empty_int))
-        .alias("removed_line_numbers"),
-        "start_offset", "end_offset", "diff_start_offset", "diff_end_offset")
+
+    def one(f):
+        h = F.try_element_at(F.col("_hm"), f["file_order"])
+        n = F.try_element_at(F.col("_nm"), f["path"])
+        binary_null = f["h"]["binary"] & h.isNull()
+        return F.struct(
+            f["path"].alias("path"), f["path"].alias("retained_path"),
+            F.coalesce(n["old_path"], f["h"]["old_path"]).alias("old_path"),
+            F.coalesce(n["new_path"], f["h"]["new_path"]).alias("new_path"),
+            F.coalesce(n["change_type"], f["h"]["change_type"]).alias("change_type"),
+            f["h"]["binary"].alias("binary"),
+            f["original_char_count"].alias("original_char_count"),
+            f["retained_char_count"].alias("retained_char_count"), f["truncated"].alias("truncated"),
+            F.when(binary_null, F.lit(None)).otherwise(
+                F.coalesce(h["hunk_ranges"], F.array().cast(hunk_type))).alias("hunk_ranges"),
+            F.when(binary_null, F.lit(None)).otherwise(F.coalesce(h["added_line_numbers"], empty_int))
+            .alias("added_line_numbers"),
+            F.when(binary_null, F.lit(None)).otherwise(F.coalesce(h["removed_line_numbers"], empty_int))
+            .alias("removed_line_numbers"),
+            f["start_offset"].alias("start_offset"), f["end_offset"].alias("end_offset"),
+            f["diff_start_offset"].alias("diff_start_offset"), f["diff_end_offset"].alias("diff_end_offset"))
+
+    return j.select(*KEYS, F.transform("_files", one).alias("files"))

@@ -219,3 +219,48 @@ SELECT repo, commit_sha, file_order, flatten(list(added_line_numbers ORDER BY hu
 def q_patch_line_numbers(spark, sf_dir):
     return DF.file_hunk_arrays(_hunks(spark, sf_dir, 100000)).select(
         *DF.KEYS, "file_order", "added_line_numbers", "removed_line_numbers")
+
+
+def _header_meta_ctes() -> str:
+    """DuckDB views hl, g, last_git, kinds, bin, hm over the kept diffs (k)."""
+    return """
+, hl AS (SELECT repo, commit_sha, file_order, unnest(string_split(ret, chr(10))) AS line,
+   generate_subscripts(string_split(ret, chr(10)), 1) AS i FROM k),
+g AS (SELECT repo, commit_sha, file_order, string_split(substring(line, 12), ' ') AS parts, i FROM hl
+   WHERE starts_with(line, 'diff --git ')),
+last_git AS (SELECT repo, commit_sha, file_order, arg_max(parts, i) AS parts FROM g GROUP BY ALL),
+kinds AS (SELECT repo, commit_sha, file_order, arg_max(CASE WHEN starts_with(line, 'new file mode') THEN 'added'
+   WHEN starts_with(line, 'deleted file mode') THEN 'deleted' ELSE 'renamed' END, i) AS kind FROM hl
+   WHERE starts_with(line, 'new file mode') OR starts_with(line, 'deleted file mode')
+      OR starts_with(line, 'rename from ') OR starts_with(line, 'rename to ') GROUP BY ALL),
+hm AS (SELECT k.repo, k.commit_sha, k.file_order, k.path,
+ CASE WHEN len(g.parts) >= 2 THEN regexp_replace(g.parts[1], '^[ab]/', '') END AS h_old,
+ CASE WHEN len(g.parts) >= 2 THEN regexp_replace(g.parts[2], '^[ab]/', '') END AS h_new,
+ coalesce(kinds.kind, CASE WHEN len(g.parts) >= 2 THEN 'modified' END) AS h_type
+FROM k LEFT JOIN last_git g USING (repo, commit_sha, file_order) LEFT JOIN kinds USING (repo, commit_sha, file_order)),
+nsl AS (SELECT repo, commit_sha, file_order, string_split(name_status, chr(9)) AS p FROM cf WHERE name_status IS NOT NULL),
+nsm AS (SELECT repo, commit_sha, file_order,
+  CASE WHEN starts_with(p[1], 'R') AND len(p) >= 3 THEN p[3] WHEN p[1] IN ('A', 'D', 'M') AND len(p) >= 2 THEN p[2] END AS key_path,
+  CASE WHEN starts_with(p[1], 'R') AND len(p) >= 3 THEN p[2] WHEN p[1] IN ('D', 'M') AND len(p) >= 2 THEN p[2] END AS n_old,
+  CASE WHEN starts_with(p[1], 'R') AND len(p) >= 3 THEN p[3] WHEN p[1] IN ('A', 'M') AND len(p) >= 2 THEN p[2] END AS n_new,
+  CASE WHEN starts_with(p[1], 'R') AND len(p) >= 3 THEN 'renamed' WHEN p[1] = 'A' AND len(p) >= 2 THEN 'added'
+       WHEN p[1] = 'D' AND len(p) >= 2 THEN 'deleted' WHEN p[1] = 'M' AND len(p) >= 2 THEN 'modified' END AS n_type
+  FROM nsl),
+ns1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha, key_path ORDER BY file_order DESC) AS rk
+  FROM nsm WHERE n_type IS NOT NULL) WHERE rk = 1)
+"""
+
+
+@query("file_metadata", duck_kept(100000) + _header_meta_ctes() + """
+SELECT hm.repo, hm.commit_sha, hm.file_order, coalesce(ns1.n_old, hm.h_old) AS old_path,
+ coalesce(ns1.n_new, hm.h_new) AS new_path, coalesce(ns1.n_type, hm.h_type) AS change_type
+FROM hm LEFT JOIN ns1 ON ns1.repo = hm.repo AND ns1.commit_sha = hm.commit_sha AND ns1.key_path = hm.path""")
+def q_file_metadata(spark, sf_dir):
+    a = DF.diff_artifacts(commit_files(spark, sf_dir))
+    ex = a.select(*DF.KEYS, F.posexplode_outer("files").alias("i", "f")).where(F.col("f").isNotNull())
+    # file_order of the i-th retained file
+    order = a.select(*DF.KEYS, F.posexplode_outer("retained_file_order").alias("i", "p"))
+    return ex.join(order, DF.KEYS + ["i"]).select(
+        *DF.KEYS, F.col("f.path").alias("_path"), "f.old_path", "f.new_path", "f.change_type", "i") \
+        .join(commit_files(spark, sf_dir).select(*DF.KEYS, "file_order", F.col("path").alias("_path")),
+              DF.KEYS + ["_path"]).select(*DF.KEYS, "file_order", "old_path", "new_path", "change_type")
