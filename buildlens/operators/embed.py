@@ -39,21 +39,39 @@ def token_metadata(text: Column, max_length: int = DEFAULT_MAX_LENGTH) -> Column
 
 
 # ------------------------------------------------------------------ E2 / E3 native
-def hash_embedding(text: Column, dim: int = 64, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
-    """E2+E3: signed md5 feature hashing of the retained tokens, mean-pooled.
-
-    bucket = first 8 hex digits of md5(token) mod dim; sign = -1 when the 9th
-    hex digit is odd.  Divided by max(token count, 1).
-    """
+def hashed_tokens(text: Column, dim: int, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
+    """Retained tokens as struct(b = bucket, s = sign): bucket = first 8 hex digits of
+    md5(token) mod dim; sign = -1 when the 9th hex digit is odd."""
     toks = F.slice(whitespace_tokens(text), 1, max_length - SPECIAL_TOKENS)
-    hashed = F.transform(toks, lambda t: F.struct(
+    return F.transform(toks, lambda t: F.struct(
         (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int").alias("b"),
         (F.lit(1.0) - F.lit(2.0) * (F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2)).alias("s")))
-    denom = F.greatest(F.size(toks), F.lit(1)).cast("double")
+
+
+def pooled_vector(hashed: Column, dim: int) -> Column:
+    """Mean of the signed one-hot token vectors: sum per bucket / max(token count, 1).
+
+    ``hashed`` must be a column reference: it is read inside the per-bucket
+    lambda, so an inline expression would be re-evaluated per bucket.
+    """
+    denom = F.greatest(F.size(hashed), F.lit(1)).cast("double")
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.aggregate(
         F.filter(hashed, lambda h: h["b"] == d), F.lit(0.0), lambda acc, h: acc + h["s"]) / denom).cast("float"))
 
 
+def with_hash_embedding(df: DataFrame, text_col: str, out_col: str, dim: int = 64,
+                        max_length: int = DEFAULT_MAX_LENGTH) -> DataFrame:
+    """E2+E3 natively: hash once per token in one projection, pool in the next.
+
+    The staged column is read twice by the pooling (size and per-bucket
+    filter), so Catalyst keeps the projections apart instead of inlining the
+    hashing into the lambda.
+    """
+    tmp = f"__bl_hashed_{out_col}"
+    return df.withColumn(tmp, hashed_tokens(F.col(text_col), dim, max_length)) \
+        .withColumn(out_col, pooled_vector(F.col(tmp), dim)).drop(tmp)
+
+
 # ------------------------------------------------------------------ pluggable embedder
 class HashingEmbedder:
     """Model-free embedder equal to ``hash_embedding`` (numpy, per Arrow batch)."""

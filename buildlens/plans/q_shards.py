@@ -64,8 +64,8 @@ h AS (SELECT doc_id, toks, list_transform(toks, lambda x: {{'b': CAST(CAST(('0x'
 SELECT doc_id, list_transform(range(0, {HASH_DIM}), lambda d: CAST(coalesce(list_sum(list_transform(list_filter(hs, lambda e: e.b = d),
    lambda e: e.s)), 0.0) / greatest(len(toks), 1) AS FLOAT)) AS embedding FROM h""")
 def q_hash_embedding(spark, sf_dir):
-    d = FX.table(spark, sf_dir, "documents")
-    return d.select("doc_id", EM.hash_embedding(F.col("text"), HASH_DIM).alias("embedding"))
+    d = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return EM.with_hash_embedding(d, "text", "embedding", HASH_DIM).select("doc_id", "embedding")
 
 
 @query("hash_embedding_udf")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_builds", "q_text", "q_context", "q_shards", "q_models", "q_train"]
+MODULES = ["q_builds", "q_text", "q_context", "q_shards", "q_models", "q_train", "q_pipeline"]
 
 
 def _mods():

@@ -78,15 +78,22 @@ def _check_output(spark: SparkSession, path: str, overwrite: bool) -> None:
         raise OutputExistsError(f"Output already exists: {path}; pass overwrite=True to replace it")
 
 
-def write_shards(shards: DataFrame, path: str, overwrite: bool = False, append: bool = False) -> None:
-    """Vectors + keys, one Parquet file per shard (all rows of a shard in one task).
-
-    A shard holds at most ``shard_size`` rows, so the task size is bounded.
+def write_shards(shards: DataFrame, path: str, overwrite: bool = False, append: bool = False,
+                 one_file_per_shard: bool = True) -> None:
+    """Vectors + keys, partitioned by ``shard_index``.
+
+    ``one_file_per_shard`` routes each shard to one task (a shard holds at
+    most ``shard_size`` rows, so the task is bounded).  Input that is already
+    range-partitioned in shard order (see ``assign_shards``) can skip that
+    shuffle: a shard then spans at most two part files of its directory.
     """
     if not append:
         _check_output(shards.sparkSession, path, overwrite)
     cols = [f.name for f in SHARD_SCHEMA.fields]
-    out = shards.select(*cols).repartition("shard_index").sortWithinPartitions("shard_index", "record_index")
+    out = shards.select(*cols)
+    if one_file_per_shard:
+        out = out.repartition("shard_index")
+    out = out.sortWithinPartitions("shard_index", "record_index")
     mode = "append" if append else ("overwrite" if overwrite else "errorifexists")
     out.write.mode(mode).partitionBy("shard_index").parquet(path)
 
@@ -98,12 +105,15 @@ def sidecar_records(samples: DataFrame) -> DataFrame:
                           "parent_commit_sha", "build_id", "label", *keep)
 
 
-def write_sidecar(records: DataFrame, path: str, overwrite: bool = False, append: bool = False) -> None:
+def write_sidecar(records: DataFrame, path: str, overwrite: bool = False, append: bool = False,
+                  one_file_per_shard: bool = True) -> None:
     """Gzip JSON lines partitioned like the shards; NULL fields kept."""
     if not append:
         _check_output(records.sparkSession, path, overwrite)
     mode = "append" if append else ("overwrite" if overwrite else "errorifexists")
-    records.repartition("shard_index").sortWithinPartitions("shard_index", "record_index") \
+    if one_file_per_shard:
+        records = records.repartition("shard_index")
+    records.sortWithinPartitions("shard_index", "record_index") \
         .write.mode(mode).option("compression", "gzip").option("ignoreNullFields", "false") \
         .partitionBy("shard_index").json(path)
 
