@@ -34,34 +34,62 @@ GLOBAL_WINDOW_LINES = 75
 MAX_FUNCTION_LINES = 200
 
 
-def changed_new_lines(diff_text: Column, keep: int = MAX_CHANGED_LINES_PER_FILE) -> Column:
-    """struct(n_changed, first) -- count of changed new-side lines and the first ``keep``.
+def classify_diff_lines(diff_text: Column) -> Column:
+    """Per line of the stripped diff: header start (or -1) and kind.
 
-    Lines before the first header are ignored; ``+++`` lines are skipped, ``+``
-    lines are recorded and advance, ``-`` lines do not advance, others advance.
-    The state stays bounded (``keep`` numbers), so the fold is linear.
+    kind: 0 other (advances), 1 ``+`` (changed, advances), 2 ``-`` (no
+    advance), 3 ``+++`` (skipped).  One regex evaluation per line.
     """
     lines = py_splitlines(py_strip(diff_text))
+    return F.transform(lines, lambda line: F.struct(
+        F.coalesce(F.nullif(F.regexp_extract(line, CHANGED_HEADER, 1), F.lit("")).cast("int"), F.lit(-1))
+        .alias("h"),
+        F.when(line.startswith("+++"), F.lit(3)).when(line.startswith("+"), F.lit(1))
+        .when(line.startswith("-"), F.lit(2)).otherwise(F.lit(0)).alias("k")))
+
+
+def changed_new_lines_from(classified: Column, keep: int = MAX_CHANGED_LINES_PER_FILE) -> Column:
+    """T11 fold over classified lines -> struct(n_changed, first).
+
+    Lines before the first header are ignored; a header sets the counter;
+    ``+`` lines are recorded and advance, ``-`` lines do not advance, ``+++``
+    lines are skipped, others advance.  The state is bounded (``keep``
+    numbers), so the fold is linear in the number of lines.
+    """
     init = F.struct(F.lit(None).cast("int").alias("cur"), F.lit(0).alias("n"),
                     F.array().cast("array<int>").alias("first"))
 
-    def step(acc, line):
-        start = F.regexp_extract(line, CHANGED_HEADER, 1)
-        is_hdr = start != ""
-        active = ~is_hdr & acc["cur"].isNotNull() & ~line.startswith("+++")
-        plus = active & line.startswith("+")
-        minus = active & ~line.startswith("+") & line.startswith("-")
-        cur = (F.when(is_hdr, start.cast("int"))
-               .when(plus | (active & ~minus), acc["cur"] + 1)
-               .otherwise(acc["cur"]))
+    def step(acc, x):
+        cur, h, k = acc["cur"], x["h"], x["k"]
+        active = (h < 0) & cur.isNotNull()
+        plus = active & (k == 1)
+        nxt = F.when(h >= 0, h).when(active & ((k == 0) | (k == 1)), cur + 1).otherwise(cur)
         first = F.when(plus & (F.size(acc["first"]) < keep),
-                       F.concat(acc["first"], F.array(acc["cur"]))).otherwise(acc["first"])
-        return F.struct(cur.alias("cur"), (acc["n"] + plus.cast("int")).alias("n"), first.alias("first"))
+                       F.concat(acc["first"], F.array(cur))).otherwise(acc["first"])
+        return F.struct(nxt.alias("cur"), (acc["n"] + plus.cast("int")).alias("n"), first.alias("first"))
 
-    return F.aggregate(lines, init, step,
+    return F.aggregate(classified, init, step,
                        lambda acc: F.struct(acc["n"].alias("n_changed"), acc["first"].alias("first")))
 
 
+def changed_new_lines(diff_text: Column, keep: int = MAX_CHANGED_LINES_PER_FILE) -> Column:
+    """T11 on a diff text column (single expression; tables use the staged form)."""
+    return changed_new_lines_from(classify_diff_lines(diff_text), keep)
+
+
+def with_changed_lines(df: DataFrame, diff_col: str, out: str = "cl",
+                       keep: int = MAX_CHANGED_LINES_PER_FILE) -> DataFrame:
+    """T11 staged: classify lines in one projection, fold in the next.
+
+    The classified array is read twice (size check and fold) so Catalyst does
+    not inline the per-line regex into the fold.
+    """
+    tmp = "__bl_classified"
+    staged = df.withColumn(tmp, classify_diff_lines(F.col(diff_col)))
+    return staged.withColumn(out, F.when(F.size(tmp) > 0, changed_new_lines_from(F.col(tmp), keep)).otherwise(
+        F.struct(F.lit(0).alias("n_changed"), F.array().cast("array<int>").alias("first")))).drop(tmp)
+
+
 def _line(lines: Column, i: Column) -> Column:
     """0-based element of the line array."""
     return F.element_at(lines, i + 1)
@@ -148,9 +176,11 @@ def prepare_context_files(commit_files: DataFrame, max_lines: int = MAX_CHANGED_
     """
     path = py_strip(F.col("path"))
     base = commit_files.where(path != "").where(F.col("diff_text").isNotNull()).select(
-        *KEYS, "file_order", path.alias("path"), "content_after",
-        changed_new_lines(F.col("diff_text"), max_lines).alias("cl"))
-    base = base.where(F.col("cl.n_changed") > 0).select(
+        *KEYS, "file_order", path.alias("path"), "content_after", "diff_text")
+    # No filter on n_changed here: it would be pushed below the projection and
+    # run the fold twice.  Files without changed lines yield no regions and a
+    # false line-cap flag, so keeping them changes nothing downstream.
+    base = with_changed_lines(base, "diff_text", "cl", max_lines).select(
         *KEYS, "file_order", "path", (F.col("cl.n_changed") > max_lines).alias("over_line_cap"),
         F.col("cl.first").alias("first"), py_splitlines(F.col("content_after")).alias("lines"))
     return regions_for_lines(base, "lines", "first").select(
