@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_char, py_splitlines, py_strip
-from .diffs import CONTEXT_SEP, FIELD_SEP, KEYS, candidate_bound, commit_partitioned
+from .diffs import (CONTEXT_SEP, FIELD_SEP, KEYS, MAX_DIFF_CHARS_PER_FILE, candidate_bound,
+                    changed_file_rows, commit_partitioned, with_diff_columns)
 
 # Fixed value: new-side hunk header used to number changed lines.
 CHANGED_HEADER = "^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,(\\d+))? @@"
@@ -168,23 +169,37 @@ def regions_for_lines(df: DataFrame, lines_col: str, first_col: str, out: str =
     return staged.withColumn(out, regions).drop("_sig", "_dl", "_op", "_t")
 
 
+def with_context_columns(files: DataFrame, max_lines: int = MAX_CHANGED_LINES_PER_FILE) -> DataFrame:
+    """Adds over_line_cap and regions from ``diff_text`` and ``content_after``.
+
+    A NULL diff or a diff without changed lines gives no regions and a false
+    flag; NULL content gives NULL regions (the file still counts as visited).
+    No filter on the changed-line count is applied: it would be pushed below
+    the projection and run the fold twice.
+    """
+    base = with_changed_lines(files, "diff_text", "cl", max_lines)
+    base = base.withColumn("over_line_cap", F.col("cl.n_changed") > max_lines) \
+        .withColumn("first", F.col("cl.first")).withColumn("lines", py_splitlines(F.col("content_after"))) \
+        .drop("cl")
+    return regions_for_lines(base, "lines", "first").drop("first", "lines")
+
+
 def prepare_context_files(commit_files: DataFrame, max_lines: int = MAX_CHANGED_LINES_PER_FILE) -> DataFrame:
-    """Map-side per file: changed-line count, the first lines, and their regions.
+    """Map-side per file: line-cap flag and the regions of the first changed lines."""
+    rows = changed_file_rows(commit_files, "diff_text", "content_after")
+    return with_context_columns(rows, max_lines).select(*KEYS, "file_order", "path", "over_line_cap", "regions")
+
+
+def prepare_commit_files(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE,
+                         max_lines: int = MAX_CHANGED_LINES_PER_FILE) -> DataFrame:
+    """Both builders' per-file columns in one map-side pass, one shuffle, one checkpoint.
 
-    Files whose diff is NULL or has no changed line drop out (not visited).
-    Files whose content is NULL stay, with no regions, for the truncation flag.
+    File content is consumed here and never shuffled; what crosses the
+    shuffle is the cut diff and the cut regions.
     """
-    path = py_strip(F.col("path"))
-    base = commit_files.where(path != "").where(F.col("diff_text").isNotNull()).select(
-        *KEYS, "file_order", path.alias("path"), "content_after", "diff_text")
-    # No filter on n_changed here: it would be pushed below the projection and
-    # run the fold twice.  Files without changed lines yield no regions and a
-    # false line-cap flag, so keeping them changes nothing downstream.
-    base = with_changed_lines(base, "diff_text", "cl", max_lines).select(
-        *KEYS, "file_order", "path", (F.col("cl.n_changed") > max_lines).alias("over_line_cap"),
-        F.col("cl.first").alias("first"), py_splitlines(F.col("content_after")).alias("lines"))
-    return regions_for_lines(base, "lines", "first").select(
-        *KEYS, "file_order", "path", "over_line_cap", "regions")
+    rows = changed_file_rows(commit_files, "name_status", "diff_text", "content_after")
+    both = with_context_columns(with_diff_columns(rows, max_per_file), max_lines)
+    return commit_partitioned(both.drop("diff_text", "content_after"))
 
 
 def context_snippets(files: DataFrame, max_chars: int = MAX_CONTEXT_CHARS_PER_SNIPPET) -> DataFrame:
@@ -250,14 +265,14 @@ def merge_regions(kept: DataFrame) -> DataFrame:
 
 def context_artifacts(commit_files: DataFrame, max_lines: int = MAX_CHANGED_LINES_PER_FILE,
                       max_chars: int = MAX_CONTEXT_CHARS_PER_SNIPPET,
-                      max_total: int = MAX_TOTAL_CONTEXT_CHARS) -> DataFrame:
+                      max_total: int = MAX_TOTAL_CONTEXT_CHARS, prepared: DataFrame | None = None) -> DataFrame:
     """Context artifact per commit that has at least one changed line.
 
     ``extraction_truncated`` = a visited file had more than ``max_lines``
     changed lines, or a snippet was cut, or the total budget fired.  A file is
     visited when it is not after the file holding the budget-crossing snippet.
     """
-    files = commit_partitioned(prepare_context_files(commit_files, max_lines))
+    files = prepared if prepared is not None else commit_partitioned(prepare_context_files(commit_files, max_lines))
     kept = select_context_budget(context_snippets(files, max_chars), max_total)
     per = kept.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("rank", "prefix", "retained_text"))).alias("_s"),

@@ -131,18 +131,26 @@ def header_metadata(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------ map-side file prep
-def prepare_diff_files(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE) -> DataFrame:
-    """Per file: stripped diff, per-file cut, lengths; content is not carried."""
+def with_diff_columns(files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE) -> DataFrame:
+    """Adds usable / original_char_count / retained_diff / truncated from ``diff_text``."""
     full = py_strip(F.col("diff_text"))
     usable = F.col("diff_text").isNotNull() & (full != "")
-    retained = F.substring(full, 1, max_per_file)
+    return files.withColumn("usable", usable) \
+        .withColumn("original_char_count", F.when(usable, F.length(full))) \
+        .withColumn("retained_diff", F.when(usable, F.substring(full, 1, max_per_file))) \
+        .withColumn("truncated", F.when(usable, F.length(full) > max_per_file))
+
+
+def changed_file_rows(commit_files: DataFrame, *extra: str) -> DataFrame:
+    """T2 rows with the given extra columns: stripped non-blank paths."""
     path = py_strip(F.col("path"))
-    return commit_files.where(path != "").select(
-        *KEYS, "file_order", path.alias("path"), "name_status",
-        usable.alias("usable"),
-        F.when(usable, F.length(full)).alias("original_char_count"),
-        F.when(usable, retained).alias("retained_diff"),
-        F.when(usable, F.length(full) > max_per_file).alias("truncated"))
+    return commit_files.where(path != "").select(*KEYS, "file_order", path.alias("path"), *extra)
+
+
+def prepare_diff_files(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE) -> DataFrame:
+    """Per file: stripped diff, per-file cut, lengths; content is not carried."""
+    return with_diff_columns(changed_file_rows(commit_files, "name_status", "diff_text"), max_per_file) \
+        .drop("diff_text")
 
 
 def select_diff_budget(files: DataFrame, max_total: int = MAX_TOTAL_DIFF_CHARS) -> DataFrame:
@@ -258,9 +266,15 @@ def commit_partitioned(files: DataFrame) -> DataFrame:
 
 
 def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE,
-                   max_total: int = MAX_TOTAL_DIFF_CHARS, with_files: bool = True) -> DataFrame:
-    """Diff artifact per commit: text + provenance (files_found .. files[])."""
-    prep = commit_partitioned(prepare_diff_files(commit_files, max_per_file))
+                   max_total: int = MAX_TOTAL_DIFF_CHARS, with_files: bool = True,
+                   prepared: DataFrame | None = None) -> DataFrame:
+    """Diff artifact per commit: text + provenance (files_found .. files[]).
+
+    ``prepared`` is an already commit-partitioned per-file table carrying the
+    diff columns (see ``context.prepare_commit_files``); without it the
+    files are prepared and partitioned here.
+    """
+    prep = prepared if prepared is not None else commit_partitioned(prepare_diff_files(commit_files, max_per_file))
     found = prep.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("files_found"))
     kept = select_diff_budget(prep, max_total)
     per_commit = kept.groupBy(*KEYS).agg(

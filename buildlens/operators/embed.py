@@ -20,14 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import PY_SPACE_CHARS
+
 DEFAULT_MAX_LENGTH = 512
 SPECIAL_TOKENS = 2  # sequence start and end markers counted by the tokenizer
 
 
 # ------------------------------------------------------------------ E1
 def whitespace_tokens(text: Column) -> Column:
-    """Unicode-whitespace tokens of a text (NULL text -> no tokens)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "(?U)\\s+", -1), lambda x: x != "")
+    """``str.split()`` tokens (Python whitespace); NULL text -> no tokens.
+
+    Every whitespace character is translated to a space and the text split on
+    the literal space -- no regex on the hot path.
+    """
+    spaced = F.translate(F.coalesce(text, F.lit("")), PY_SPACE_CHARS, " " * len(PY_SPACE_CHARS))
+    return F.filter(F.split(spaced, " ", -1), lambda x: x != "")
 
 
 def token_metadata(text: Column, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
@@ -43,9 +50,10 @@ def hashed_tokens(text: Column, dim: int, max_length: int = DEFAULT_MAX_LENGTH)
     """Retained tokens as struct(b = bucket, s = sign): bucket = first 8 hex digits of
     md5(token) mod dim; sign = -1 when the 9th hex digit is odd."""
     toks = F.slice(whitespace_tokens(text), 1, max_length - SPECIAL_TOKENS)
-    return F.transform(toks, lambda t: F.struct(
-        (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int").alias("b"),
-        (F.lit(1.0) - F.lit(2.0) * (F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2)).alias("s")))
+    digests = F.transform(toks, lambda t: F.substring(F.md5(t), 1, 9))
+    return F.transform(digests, lambda h: F.struct(
+        (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("b"),
+        (F.lit(1.0) - F.lit(2.0) * (F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2)).alias("s")))
 
 
 def pooled_vector(hashed: Column, dim: int) -> Column:

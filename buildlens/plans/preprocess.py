@@ -54,9 +54,10 @@ def _artifact(text, provenance_cols: list, max_length: int):
 def commit_artifacts(commits: DataFrame, commit_files: DataFrame, cfg: PreprocessConfig) -> DataFrame:
     """Message, diff and context artifacts per commit (commits without files get empty texts)."""
     msg = DF.message_artifact(commits)
-    diff = DF.diff_artifacts(commit_files, cfg.max_diff_chars_per_file, cfg.max_total_diff_chars)
+    prepared = CX.prepare_commit_files(commit_files, cfg.max_diff_chars_per_file, cfg.max_changed_lines_per_file)
+    diff = DF.diff_artifacts(commit_files, cfg.max_diff_chars_per_file, cfg.max_total_diff_chars, prepared=prepared)
     ctx = CX.context_artifacts(commit_files, cfg.max_changed_lines_per_file, cfg.max_context_chars_per_snippet,
-                               cfg.max_total_context_chars)
+                               cfg.max_total_context_chars, prepared=prepared)
     d = diff.select(*KEYS, F.struct(*[c for c in diff.columns if c not in KEYS]).alias("d"))
     c = ctx.select(*KEYS, F.struct(*[c for c in ctx.columns if c not in KEYS]).alias("c"))
     j = msg.join(d, KEYS, "left").join(c, KEYS, "left")

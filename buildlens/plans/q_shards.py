@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-WS = ("'[\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}"
+WS = ("'[\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}"
       "\\x{202f}\\x{205f}\\x{3000}]+'")
 DUCK_TOKENS = f"list_filter(regexp_split_to_array(coalesce(text, ''), {WS}), lambda x: x <> '')"
 
