@@ -101,7 +101,8 @@ def iso_utc(ts: Column) -> Column:
 
     Session time zone must be UTC (the engine default) so the wall clock is UTC.
     """
-    micros = F.unix_micros(ts) % 1_000_000
+    ts = ts.cast("timestamp")  # TIMESTAMP_NTZ reads as a UTC wall clock
+    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
     base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     return F.when(ts.isNull(), F.lit(None)).when(
         micros == 0, F.concat(base, F.lit("Z"))).otherwise(

@@ -20,21 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PY_SPACE_CHARS
-
 DEFAULT_MAX_LENGTH = 512
 SPECIAL_TOKENS = 2  # sequence start and end markers counted by the tokenizer
 
 
 # ------------------------------------------------------------------ E1
 def whitespace_tokens(text: Column) -> Column:
-    """``str.split()`` tokens (Python whitespace); NULL text -> no tokens.
+    """``str.split()`` tokens; NULL text -> no tokens.
 
-    Every whitespace character is translated to a space and the text split on
-    the literal space -- no regex on the hot path.
+    Python's whitespace is Unicode White_Space plus the separators 0x1c-0x1f.
     """
-    spaced = F.translate(F.coalesce(text, F.lit("")), PY_SPACE_CHARS, " " * len(PY_SPACE_CHARS))
-    return F.filter(F.split(spaced, " ", -1), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "(?U)[\\s\\x1c-\\x1f]+", -1), lambda x: x != "")
 
 
 def token_metadata(text: Column, max_length: int = DEFAULT_MAX_LENGTH) -> Column:

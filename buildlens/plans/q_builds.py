@@ -216,3 +216,42 @@ def q_failure_identity(spark, sf_dir):
         .otherwise(F.col("source_row_index").cast("string")).alias("row_index_text"),
         F.col("tr_build_id").alias("build_id_raw"), F.col("git_prev_built_commit").alias("parent_raw"))
     return R.failure_identity(rows)
+
+
+@query("scan_builds_csv", _W_BUILDS + "SELECT * REPLACE (nullif(raw_status, '') AS raw_status) FROM builds")
+def q_scan_builds_csv(spark, sf_dir):
+    """The build fixture as one header CSV (file order = source order), scanned
+    with every column as text and NA tokens -> NULL; the row index comes from file order."""
+    from ..sources.builds import read_builds_csv
+    from ..sources.shards import scratch_dir
+    path = scratch_dir(spark, "builds_csv")
+    FX.builds_raw(spark, sf_dir).orderBy("source_row_index").drop("source_row_index").coalesce(1) \
+        .write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    raw = read_builds_csv(spark, path)
+    return normalize_builds(raw, build_id_numeric=True)
+
+
+@query("portable_path", """
+SELECT page_id, string_split(url, '/')[-1] AS file_name FROM pages""")
+def q_portable_path(spark, sf_dir):
+    return FX.table(spark, sf_dir, "pages").select("page_id", N.portable_path(F.col("url")).alias("file_name"))
+
+
+@query("shard_name_codec", """
+SELECT o_orderkey, 'shard_' || lpad(CAST(o_orderkey // 100 AS VARCHAR), 5, '0') AS shard_name,
+ CAST(o_orderkey // 100 AS INTEGER) AS parsed_index,
+ TRY_CAST(nullif(regexp_extract(o_orderpriority, '^shard_(\\d+)', 1), '') AS INTEGER) AS junk_parsed FROM orders""")
+def q_shard_name_codec(spark, sf_dir):
+    o = FX.table(spark, sf_dir, "orders")
+    name = N.shard_name(F.floor(F.col("o_orderkey") / 100).cast("int"))
+    return o.select("o_orderkey", name.alias("shard_name"), N.shard_index_of(name).alias("parsed_index"),
+                    N.shard_index_of(F.col("o_orderpriority")).alias("junk_parsed"))
+
+
+@query("iso_utc", """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') ||
+ CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END
+ || 'Z' AS ts_iso FROM events""")
+def q_iso_utc(spark, sf_dir):
+    return FX.table(spark, sf_dir, "events").select("event_id", N.iso_utc(F.col("ts")).alias("ts_iso"))

@@ -61,6 +61,7 @@ def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnR
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
     raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .option("nullValue", "\u0000never\u0000").option("emptyValue", "").csv(path)
     na = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
     cleaned = raw.select(*[F.when(F.array_contains(na, F.col(f"`{c}`")), F.lit(None))
