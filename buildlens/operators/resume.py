@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,3 +136,30 @@ def run_summary(attempted: DataFrame, successful: DataFrame, failures: DataFrame
     out = u.agg(*aggs)
     return out.withColumn(
         "samples_per_second", F.lit(None).cast("double"))
+
+
+# Embedding settings that must match for a resume (device may differ).
+EMBEDDING_COMPAT_KEYS = ["model_name", "max_length", "pooling", "embedding_dim", "dtype"]
+
+
+def config_diff(spark, stored: dict, current: dict) -> DataFrame:
+    """Field-wise comparison of two run configurations.
+
+    Both configs (sections ``dataset``, ``preprocessing``, ``embedding``) are
+    flattened to (section, key, value) rows and full-outer joined; every row
+    where the values differ (NULL-safe) is a mismatch.  Only the listed
+    embedding fields take part.
+    """
+    def flat(cfg: dict) -> list[tuple[str, str, str]]:
+        out = []
+        for section in ("dataset", "preprocessing", "embedding"):
+            for k, v in sorted((cfg.get(section) or {}).items()):
+                if section == "embedding" and k not in EMBEDDING_COMPAT_KEYS:
+                    continue
+                out.append((section, k, None if v is None else json.dumps(v, sort_keys=True)))
+        return out
+    schema = "section string, key string, value string"
+    a = spark.createDataFrame(flat(stored), schema).withColumnRenamed("value", "stored")
+    b = spark.createDataFrame(flat(current), schema).withColumnRenamed("value", "current")
+    j = a.join(b, ["section", "key"], "full_outer")
+    return j.where(~F.col("stored").eqNullSafe(F.col("current")))

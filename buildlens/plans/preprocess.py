@@ -15,7 +15,9 @@ checkpointed; shards and sidecar are written from it without re-shuffling.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +118,7 @@ def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files
     ``shards/``, ``sidecar/``, ``failures/``, ``manifest_shards/``."""
     if resume and overwrite:
         raise ValueError("resume and overwrite cannot be combined")
+    started = datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
     completed, first_shard = None, 0
     if resume and _exists(spark, f"{out_dir}/shards"):
         stored = SH.read_shards(spark, f"{out_dir}/shards")
@@ -131,7 +134,17 @@ def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files
     failures.write.mode("append" if (append or not overwrite) else "overwrite").json(f"{out_dir}/failures")
     entries = SH.manifest_shards(sharded)
     entries.write.mode("append" if append else "overwrite").json(f"{out_dir}/manifest_shards")
-    return R.run_summary(builds, sharded, failures)
+    all_entries = spark.read.schema("shard_index int, num_samples long, shard_name string") \
+        .json(f"{out_dir}/manifest_shards")
+    summary = R.run_summary(builds, sharded, failures)
+    embedding = (cfg.embedder_factory().metadata() if cfg.embedder_factory is not None else
+                 EM.HashingEmbedder(cfg.embedding_dim, cfg.max_length).metadata())
+    preprocessing = {k: v for k, v in asdict(cfg).items() if k not in ("embedder_factory", "extra")}
+    run_record = {"run_id": uuid.uuid4().hex, "started_at": started, "resume": resume,
+                  "status": "succeeded", "first_shard": first_shard}
+    SH.write_manifest(spark, f"{out_dir}/manifest", all_entries, SH.manifest_totals(all_entries, failures),
+                      {"output": out_dir}, embedding, preprocessing, run_record)
+    return summary
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

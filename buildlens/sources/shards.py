@@ -291,3 +291,41 @@ def missing_keys(present: DataFrame, array_col: str = "present_keys") -> DataFra
     """Required minus present field names, per row of ``present``."""
     req = F.array(*[F.lit(k) for k in REQUIRED_SHARD_FIELDS])
     return present.withColumn("missing_keys", F.array_sort(F.array_except(req, F.col(array_col))))
+
+
+# ------------------------------------------------------------------ S8 document / S16 / S18
+def write_manifest(spark: SparkSession, path: str, entries: DataFrame, totals: DataFrame, dataset: dict,
+                   embedding: dict, preprocessing: dict, run_record: dict) -> None:
+    """The manifest as one JSON document, written after shards and sidecar committed.
+
+    ``shards`` is the per-shard entry list (one element per shard: a small,
+    bounded table); totals come from ``manifest_totals``.
+    """
+    import json
+    shards = entries.select(F.struct(*entries.columns).alias("e")).agg(
+        F.array_sort(F.collect_list("e")).alias("shards"))
+    doc = shards.select(
+        F.lit(FORMAT_VERSION).alias("format_version"),
+        F.from_json(F.lit(json.dumps(dataset)), "map<string,string>").alias("dataset"),
+        F.from_json(F.lit(json.dumps(embedding)), "map<string,string>").alias("embedding"),
+        F.from_json(F.lit(json.dumps(preprocessing)), "map<string,string>").alias("preprocessing"),
+        "shards")
+    first = totals.first()  # one aggregate row: three counts
+    doc = doc.withColumn("totals", F.struct(*[F.lit(first[c]).alias(c) for c in totals.columns]))
+    doc = doc.withColumn("runs", F.array(F.from_json(F.lit(json.dumps(run_record)), "map<string,string>")))
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest document back as a one-row DataFrame (its shard list exploded by the caller)."""
+    return spark.read.json(path)
+
+
+def write_result_table(df: DataFrame, path: str) -> None:
+    """Result tables as header CSV."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_predictions(scored: DataFrame, path: str) -> None:
+    """One row per scored sample (probability, prediction, label, attention) as JSON."""
+    scored.write.mode("overwrite").json(path)
