@@ -163,3 +163,15 @@ def config_diff(spark, stored: dict, current: dict) -> DataFrame:
     b = spark.createDataFrame(flat(current), schema).withColumnRenamed("value", "current")
     j = a.join(b, ["section", "key"], "full_outer")
     return j.where(~F.col("stored").eqNullSafe(F.col("current")))
+
+
+def split_by_repo_availability(builds: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F2 re-aimed: a repo unknown to the commit source fails as a whole (the clone step).
+
+    Returns the builds of known repos and one failure record per unknown repo.
+    The known-repo list has one row per repo; AQE decides how to join it.
+    """
+    repos = commits.select("repo").distinct()
+    ok = builds.join(repos, "repo", "left_semi")
+    missing = builds.join(repos, "repo", "left_anti").select("repo").distinct()
+    return ok, repo_failures(missing, F.concat(F.lit("Could not clone repository "), F.col("repo")))

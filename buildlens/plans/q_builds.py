@@ -255,3 +255,29 @@ SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') ||
  || 'Z' AS ts_iso FROM events""")
 def q_iso_utc(spark, sf_dir):
     return FX.table(spark, sf_dir, "events").select("event_id", N.iso_utc(F.col("ts")).alias("ts_iso"))
+
+
+@query("repo_failures", _W_BUILDS + """
+, cm AS (SELECT DISTINCT repo FROM (""" + FX.DUCK_COMMITS + """))
+SELECT 'repo_processing' AS stage, repo, CAST(NULL AS VARCHAR) AS commit_sha, CAST(NULL AS BIGINT) AS source_row_index,
+ CAST(NULL AS VARCHAR) AS build_id, CAST(NULL AS VARCHAR) AS parent_commit_sha, CAST(NULL AS VARCHAR) AS sample_id,
+ 'Could not clone repository ' || repo AS error
+FROM (SELECT DISTINCT repo FROM builds) b WHERE repo NOT IN (SELECT repo FROM cm)""")
+def q_repo_failures(spark, sf_dir):
+    """view-1 builds against the commit source: every unknown repo is one failure record."""
+    return R.split_by_repo_availability(builds(spark, sf_dir), FX.commits(spark, sf_dir))[1]
+
+
+@query("failure_log", _W_BUILDS_GIT + """
+SELECT 'commit_fetch' AS stage, b.repo, b.commit_sha, b.source_row_index, b.build_id, b.parent_commit_sha,
+ b.sample_id, 'Could not fetch commit ' || b.commit_sha AS error
+FROM builds b WHERE NOT EXISTS (SELECT 1 FROM commits c WHERE c.repo = b.repo AND c.commit_sha = b.commit_sha)""")
+def q_failure_log(spark, sf_dir):
+    """Failure records appended as JSON lines in two writes, read back with a fixed schema."""
+    from ..sources.shards import scratch_dir
+    b, c = _git_parts(spark, sf_dir)
+    _, failures = R.split_by_commit_availability(b, c)
+    path = scratch_dir(spark, "failures")
+    failures.where("source_row_index % 2 = 0").write.mode("append").json(path)
+    failures.where("source_row_index % 2 = 1").write.mode("append").json(path)
+    return spark.read.schema(R.FAILURE_SCHEMA).json(path)

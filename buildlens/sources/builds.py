@@ -18,6 +18,8 @@ DEFAULT_LABEL_COL = "tr_status"
 DEFAULT_BUILD_ID_COL = "tr_build_id"
 DEFAULT_PARENT_COL = "git_prev_built_commit"
 
+BROADCAST_REPO_LIMIT = 100_000
+
 BUILDS_SCHEMA = T.StructType([
     T.StructField("source_row_index", T.LongType(), False),
     T.StructField("repo", T.StringType(), True),
@@ -142,4 +144,5 @@ def first_repos(builds: DataFrame, max_repos: int | None) -> DataFrame:
         raise ValueError("max_repos must be >= 0")
     kept = builds.select("repo").where(F.col("repo").isNotNull()).distinct() \
         .orderBy("repo").limit(max_repos)
-    return builds.join(F.broadcast(kept), "repo", "left_semi")
+    # the kept list has at most max_repos rows: broadcast it only while that bound is small
+    return builds.join(F.broadcast(kept) if max_repos <= BROADCAST_REPO_LIMIT else kept, "repo", "left_semi")
