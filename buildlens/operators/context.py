@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import count_char, py_splitlines, py_strip
 from .diffs import (CONTEXT_SEP, FIELD_SEP, KEYS, MAX_DIFF_CHARS_PER_FILE, candidate_bound,
-                    changed_file_rows, commit_partitioned, with_diff_columns)
+                    changed_file_rows, materialize, materialize_budget, with_diff_columns)
 
 # Fixed value: new-side hunk header used to number changed lines.
 CHANGED_HEADER = "^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,(\\d+))? @@"
@@ -192,14 +192,14 @@ def prepare_context_files(commit_files: DataFrame, max_lines: int = MAX_CHANGED_
 
 def prepare_commit_files(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE,
                          max_lines: int = MAX_CHANGED_LINES_PER_FILE) -> DataFrame:
-    """Both builders' per-file columns in one map-side pass, one shuffle, one checkpoint.
+    """Both builders' per-file columns in one map-side pass, checkpointed without a shuffle.
 
-    File content is consumed here and never shuffled; what crosses the
-    shuffle is the cut diff and the cut regions.
+    File content is consumed here and never shuffled; only bounded candidate
+    rows (cut diffs, cut regions) cross the commit shuffles downstream.
     """
     rows = changed_file_rows(commit_files, "name_status", "diff_text", "content_after")
     both = with_context_columns(with_diff_columns(rows, max_per_file), max_lines)
-    return commit_partitioned(both.drop("diff_text", "content_after"))
+    return materialize(both.drop("diff_text", "content_after"))
 
 
 def context_snippets(files: DataFrame, max_chars: int = MAX_CONTEXT_CHARS_PER_SNIPPET) -> DataFrame:
@@ -266,25 +266,31 @@ def merge_regions(kept: DataFrame) -> DataFrame:
 def context_artifacts(commit_files: DataFrame, max_lines: int = MAX_CHANGED_LINES_PER_FILE,
                       max_chars: int = MAX_CONTEXT_CHARS_PER_SNIPPET,
                       max_total: int = MAX_TOTAL_CONTEXT_CHARS, prepared: DataFrame | None = None) -> DataFrame:
-    """Context artifact per commit that has at least one changed line.
+    """Context artifact per commit (empty text when nothing was extracted).
 
     ``extraction_truncated`` = a visited file had more than ``max_lines``
     changed lines, or a snippet was cut, or the total budget fired.  A file is
     visited when it is not after the file holding the budget-crossing snippet.
+    Same plan shape as the diff builder: map-side prep checkpointed without a
+    shuffle, exact candidate bound as a partial group limit before the
+    commit shuffle, bounded kept rows checkpointed.
     """
-    files = prepared if prepared is not None else commit_partitioned(prepare_context_files(commit_files, max_lines))
-    kept = select_context_budget(context_snippets(files, max_chars), max_total)
+    files = prepared if prepared is not None else materialize(prepare_context_files(commit_files, max_lines))
+    kept = materialize_budget(select_context_budget(context_snippets(files, max_chars), max_total),
+                              candidate_bound(max_total, len(FIELD_SEP)))
     per = kept.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("rank", "prefix", "retained_text"))).alias("_s"),
         F.sum("snippet_len").alias("_sum"), F.max("file_order").alias("_last_file"),
         F.bool_or("snippet_truncated").alias("_cut"))
     per = per.select(*KEYS, "_s", "_cut", (F.col("_sum") >= max_total).alias("_capped"),
                      F.when(F.col("_sum") >= max_total, F.col("_last_file")).alias("_cap_file"))
-    flags = files.select(*KEYS, "file_order", "over_line_cap").join(per, KEYS, "left").groupBy(*KEYS).agg(
-        F.bool_or(F.col("over_line_cap") & (F.col("_cap_file").isNull() | (F.col("file_order") <= F.col("_cap_file"))))
-        .alias("_over"),
-        F.first("_s", ignorenulls=True).alias("_s"), F.bool_or("_cut").alias("_cut"),
-        F.bool_or("_capped").alias("_capped"))
+    # A visited file over the line cap exists iff the earliest such file is not
+    # after the capping file: one partial aggregate per commit, no per-file join.
+    commits = files.groupBy(*KEYS).agg(F.min(F.when(F.col("over_line_cap"), F.col("file_order"))).alias("_min_over"))
+    flags = commits.join(per, KEYS, "left").select(
+        *KEYS, "_s", "_cut", "_capped",
+        (F.col("_min_over").isNotNull() & (F.col("_cap_file").isNull() | (F.col("_min_over") <= F.col("_cap_file"))))
+        .alias("_over"))
     regions = merge_regions(kept)
     ra = regions.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("first_rank", *REGION_FIELDS))).alias("_r"),

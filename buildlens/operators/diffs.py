@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import diff_git_paths
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scoped_conf
 from ..functions.text import (count_char, py_splitlines, py_splitlines_keepends, py_strip,
                               strip_line_end)
 
@@ -80,10 +80,16 @@ def parse_name_status(line: Column) -> Column:
             .when((status == "M") & (n >= 2), meta(p1, p1, p1, "modified")))
 
 
-def name_status_table(commit_files: DataFrame) -> DataFrame:
-    """T3 as a table: one row per path key, the later listing line wins."""
+def name_status_table(commit_files: DataFrame, only_keys: DataFrame | None = None) -> DataFrame:
+    """T3 as a table: one row per path key, the later listing line wins.
+
+    ``only_keys`` (repo, commit_sha, key_path) restricts the entries to the
+    keys that will be looked up.
+    """
     ns = commit_files.select(*KEYS, "file_order", parse_name_status(F.col("name_status")).alias("ns")) \
         .where(F.col("ns").isNotNull()).select(*KEYS, "file_order", "ns.*")
+    if only_keys is not None:
+        ns = ns.join(only_keys, KEYS + ["key_path"], "left_semi")
     w = Window.partitionBy(*KEYS, "key_path").orderBy(F.col("file_order").desc())
     return ns.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk", "file_order")
 
@@ -249,20 +255,35 @@ def file_hunk_arrays(hunks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T4-T10 together
-def commit_partitioned(files: DataFrame) -> DataFrame:
-    """The one shuffle: per-file rows hash-partitioned by (repo, commit_sha), then a
-    reliable checkpoint.
-
-    Every branch below (budget window, name-status, hunks, re-aggregation,
-    joins) is keyed by a superset of the commit key, and the checkpointed
-    relation keeps its hash partitioning, so none of them shuffles again.
-    Without the cut, column pruning gives each branch its own projection
-    under the exchange and the exchange cannot be reused.  The cut also
-    keeps executor loss from recomputing the per-file work.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's shared checkpoint folder.
+
+    A checkpointed relation keeps the output partitioning of the plan that
+    produced it, so keyed operators downstream can reuse it; executor loss
+    does not recompute the work before the cut.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def materialize_budget(selected: DataFrame, k: int) -> DataFrame:
+    """Checkpoint a ``row_number() <= k`` budget selection with the group limit enabled.
+
+    Spark turns ``rank <= k`` into a partial per-key limit that runs before
+    the shuffle only while k is under ``windowGroupLimitThreshold`` (1000 by
+    default); the exact candidate bounds here are larger, so the threshold is
+    raised for the eager checkpoint that plans and runs the selection.
     """
-    ensure_checkpoint_dir(files.sparkSession)
-    return files.repartition(*KEYS).checkpoint(eager=True)
+    with scoped_conf(selected.sparkSession, {GROUP_LIMIT_CONF: k + 1}):
+        return materialize(selected)
+
 
+def commit_partitioned(files: DataFrame) -> DataFrame:
+    """Per-file rows hash-partitioned by (repo, commit_sha), then checkpointed."""
+    return materialize(files.repartition(*KEYS))
 
 
 def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE,
@@ -270,13 +291,18 @@ def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_P
                    prepared: DataFrame | None = None) -> DataFrame:
     """Diff artifact per commit: text + provenance (files_found .. files[]).
 
-    ``prepared`` is an already commit-partitioned per-file table carrying the
-    diff columns (see ``context.prepare_commit_files``); without it the
-    files are prepared and partitioned here.
+    Plan: the per-file table is prepared map-side and checkpointed (no
+    shuffle).  Candidates are ranked per commit with ``row_number() <= K``
+    (exact bound), which Spark runs as a partial group limit *before* the
+    shuffle, so even a commit holding a third of all files sends at most K
+    rows per map task.  The budget window runs after the shuffle; the kept
+    rows (bounded per commit) are checkpointed and feed the text, hunk and
+    metadata branches.  ``files_found`` is a partial aggregate.
+    ``prepared`` is a prepared per-file table (see ``context.prepare_commit_files``).
     """
-    prep = prepared if prepared is not None else commit_partitioned(prepare_diff_files(commit_files, max_per_file))
+    prep = prepared if prepared is not None else materialize(prepare_diff_files(commit_files, max_per_file))
     found = prep.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("files_found"))
-    kept = select_diff_budget(prep, max_total)
+    kept = materialize_budget(select_diff_budget(prep, max_total), candidate_bound(max_total, len(FIELD_SEP)))
     per_commit = kept.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("file_order", "path", "retained_diff"))).alias("_s"),
         F.count(F.lit(1)).alias("files_retained"),
@@ -320,7 +346,10 @@ def file_metadata(files: DataFrame, kept: DataFrame) -> DataFrame:
     arrays = file_hunk_arrays(parse_hunks(kept))
     hm = arrays.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(
         "file_order", F.struct("hunk_ranges", "added_line_numbers", "removed_line_numbers")))).alias("_hm"))
-    ns = name_status_table(files)
+    # only name-status entries whose key is a retained path matter; the semi-join
+    # spreads a hot commit's entries over (commit, path) before the later-wins window
+    kept_paths = kept.select(*KEYS, F.col("path").alias("key_path"))
+    ns = name_status_table(files, kept_paths)
     nm = ns.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(
         "key_path", F.struct("old_path", "new_path", "change_type")))).alias("_nm"))
     j = hdr.join(hm, KEYS, "left").join(nm, KEYS, "left")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +66,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="buildlens-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir() or folder
+
+
+@contextmanager
+def scoped_conf(spark: SparkSession, settings: dict):
+    """Temporarily set runtime SQL confs; previous values are restored.
+
+    Only useful around an eager action (e.g. ``checkpoint(eager=True)``),
+    because plans are optimised when they execute.
+    """
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

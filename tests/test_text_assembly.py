@@ -179,3 +179,23 @@ def test_context_line_cap_flag(spark):
     a = CX.context_artifacts(cf).first()
     assert a["extraction_truncated"]
     assert sum(len(r["occurrences"]) for r in a["regions"]) == 20
+
+
+def test_hot_commit_bounded_candidates(spark):
+    """One commit with thousands of files: the exact candidate bound keeps the result equal
+    to the model, and the selection plans a partial group limit before the shuffle."""
+    files = [("r", "hot", i, f"f{i}.c", None, f"@@ -1 +1 @@\n+line {i}", None) for i in range(3000)]
+    files += [("r", "cold", 0, "a.c", None, "@@ -1 +1 @@\n+x", None)]
+    cf = spark.createDataFrame(files, SCHEMA)
+    cap = 500
+    got = {r["commit_sha"]: r for r in DF.diff_artifacts(cf, max_total=cap, with_files=False).collect()}
+    text, kept, cut = _model([(p, d) for _, c, _, p, _, d, _ in files if c == "hot"], 20000, cap)
+    assert got["hot"]["text"] == text and got["hot"]["extraction_truncated"] == cut
+    assert got["hot"]["files_found"] == 3000 and got["hot"]["files_retained"] == len(kept)
+    k = DF.candidate_bound(cap, len(DF.FIELD_SEP))
+    sel = DF.select_diff_budget(DF.prepare_diff_files(cf), cap)
+    from buildlens.session import scoped_conf
+    with scoped_conf(spark, {DF.GROUP_LIMIT_CONF: k + 1}):
+        sel.write.format("noop").mode("overwrite").save()
+        plan = sel._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
