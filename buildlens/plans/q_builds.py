@@ -228,8 +228,8 @@ def q_scan_builds_csv(spark, sf_dir):
     FX.builds_raw(spark, sf_dir).orderBy("source_row_index").drop("source_row_index").coalesce(1) \
         .write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
         .option("ignoreTrailingWhiteSpace", False).csv(path)
-    raw = read_builds_csv(spark, path)
-    return normalize_builds(raw, build_id_numeric=True)
+    from ..sources.builds import normalize_builds_csv
+    return normalize_builds_csv(read_builds_csv(spark, path))
 
 
 @query("portable_path", """

@@ -71,6 +71,30 @@ def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnR
     return with_scan_order_index(cleaned, "source_row_index")
 
 
+def numeric_columns(df: DataFrame, cols: list[str]) -> set[str]:
+    """Columns whose every non-NULL text parses as a number (how a CSV reader types them).
+
+    One aggregate pass; only one count per column reaches the driver.
+    """
+    cols = [c for c in cols if c is not None and c in df.columns]
+    if not cols:
+        return set()
+    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
+                      .alias(c) for c in cols]).first()
+    return {c for c in cols if counts[c] == 0}
+
+
+def normalize_builds_csv(raw: DataFrame, roles: ColumnRoles = ColumnRoles()) -> DataFrame:
+    """``normalize_builds`` for a text-typed CSV scan: label and build-id columns that are
+    numeric throughout are treated as numbers, as a CSV reader with type inference does
+    (so the text "1.0" in an all-numeric status column is the number 1.0, label 1)."""
+    numeric = numeric_columns(raw, [roles.label, roles.build_id])
+    df = raw
+    for c in numeric:
+        df = df.withColumn(c, F.col(f"`{c}`").try_cast("double"))
+    return normalize_builds(df, roles)
+
+
 def check_columns(df: DataFrame, roles: ColumnRoles) -> list[str]:
     """Required columns must exist; returns warnings for absent optional ones."""
     cols = set(df.columns)

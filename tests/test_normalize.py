@@ -83,3 +83,21 @@ def test_python_string_semantics(spark, texts):
         assert s == t.strip()
         assert lines == t.splitlines()
         assert keep == t.splitlines(keepends=True)
+
+
+def test_csv_scan_typing(spark, tmp_out):
+    """An all-numeric status column is numeric (1.0 -> 1); mixed text stays text ("1.0" -> 0);
+    NA tokens are missing; whitespace is kept; the row index follows file order."""
+    from buildlens.sources.builds import normalize_builds_csv, read_builds_csv
+    num = f"{tmp_out}/num.csv"
+    with open(num, "w") as fh:
+        fh.write("gh_project_name,git_trigger_commit,tr_status,tr_build_id,git_prev_built_commit\n"
+                 "r,c1,1.0,123.0,NA\nr,c2,0,,p1\nr,c3,,7,\n")
+    rows = normalize_builds_csv(read_builds_csv(spark, num)).orderBy("source_row_index").collect()
+    assert [(r["source_row_index"], r["label"], r["build_id"], r["parent_commit_sha"]) for r in rows] == \
+        [(0, 1, "123", None), (1, 0, None, "p1"), (2, None, "7", None)]
+    txt = f"{tmp_out}/txt.csv"
+    with open(txt, "w") as fh:
+        fh.write("gh_project_name,git_trigger_commit,tr_status\nr,c1,1.0\nr,c2, passed \n")
+    rows = normalize_builds_csv(read_builds_csv(spark, txt)).orderBy("source_row_index").collect()
+    assert [(r["label"], r["raw_status"], r["build_id"]) for r in rows] == [(0, "1.0", None), (1, " passed ", None)]
