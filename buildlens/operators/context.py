@@ -42,9 +42,11 @@ def classify_diff_lines(diff_text: Column) -> Column:
     advance), 3 ``+++`` (skipped).  One regex evaluation per line.
     """
     lines = py_splitlines(py_strip(diff_text))
+    # the regex only runs on lines that can be headers
     return F.transform(lines, lambda line: F.struct(
-        F.coalesce(F.nullif(F.regexp_extract(line, CHANGED_HEADER, 1), F.lit("")).cast("int"), F.lit(-1))
-        .alias("h"),
+        F.when(line.startswith("@@ -"),
+               F.coalesce(F.nullif(F.regexp_extract(line, CHANGED_HEADER, 1), F.lit("")).cast("int"), F.lit(-1)))
+        .otherwise(F.lit(-1)).alias("h"),
         F.when(line.startswith("+++"), F.lit(3)).when(line.startswith("+"), F.lit(1))
         .when(line.startswith("-"), F.lit(2)).otherwise(F.lit(0)).alias("k")))
 
@@ -109,8 +111,11 @@ def global_window(lines: Column, idx: Column, max_lines: int = GLOBAL_WINDOW_LIN
 
 
 def signature_flags(lines: Column) -> Column:
-    """Per line, does it look like a function signature (evaluated once per line)."""
-    return F.transform(lines, lambda x: x.rlike(SIGNATURE))
+    """Per line, does it look like a function signature (evaluated once per line).
+
+    The pattern needs a ``(``, so lines without one skip the regex.
+    """
+    return F.transform(lines, lambda x: x.contains("(") & x.rlike(SIGNATURE))
 
 
 def nearest_signature(flags: Column, idx: Column, lookback: int = MAX_FUNCTION_LINES) -> Column:
