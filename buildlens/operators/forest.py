@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .diffs import materialize
 from .splits import SPLITS, assign_splits, first_n_samples, split_repos
 
 MAX_SPARK_DEPTH = 30
@@ -82,7 +83,8 @@ def train_and_score(samples: DataFrame, num_samples: int | None = None, validati
     if sizes["test"] == 0:
         raise EmptySplitError("test split is empty")
     model = fit(with_split.where(F.col("split") == "train"), num_trees, max_depth, seed, label=label)
-    scored = predict(model, with_split.where(F.col("split") != "train"))
+    scored = materialize(predict(model, with_split.where(F.col("split") != "train")))
+    with_split.unpersist()
     metrics = scored.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("accuracy"),

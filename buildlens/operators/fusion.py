@@ -199,10 +199,9 @@ def score(df: DataFrame, params: dict[str, np.ndarray], cfg: FusionConfig, thres
 
 
 # ------------------------------------------------------------------ M14 / M15
-def _partition_gradients(df: DataFrame, params, cfg: FusionConfig, seed: int, label_col: str):
-    bc = df.sparkSession.sparkContext.broadcast(params)
+def _partition_gradients(df: DataFrame, bc, cfg: FusionConfig, seed: int, label_col: str):
     conf = asdict(cfg)
-    keys = sorted(params)
+    keys = sorted(bc.value)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
@@ -277,8 +276,10 @@ def train(train_df: DataFrame, cfg: FusionConfig, epochs: int = 10, learning_rat
         for step in range(steps_per_epoch):
             batch = data if steps_per_epoch == 1 else data.where(
                 F.pmod(F.xxhash64(F.col("sample_id"), F.lit(seed), F.lit(epoch)), F.lit(steps_per_epoch)) == step)
-            n, loss_sum, correct, gsum = _tree_sum(_partition_gradients(batch, params, cfg, seed * 1000003 + t,
+            bc = spark.sparkContext.broadcast(params)  # ~50k floats, re-sent every step
+            n, loss_sum, correct, gsum = _tree_sum(_partition_gradients(batch, bc, cfg, seed * 1000003 + t,
                                                                         label_col), size)
+            bc.unpersist()
             if n == 0:
                 continue
             t += 1

@@ -71,27 +71,37 @@ def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnR
     return with_scan_order_index(cleaned, "source_row_index")
 
 
-def numeric_columns(df: DataFrame, cols: list[str]) -> set[str]:
-    """Columns whose every non-NULL text parses as a number (how a CSV reader types them).
+def numeric_columns(df: DataFrame, cols: list[str]) -> dict[str, str]:
+    """Type of each column whose every non-NULL text parses as a number: "long" when all
+    values are integers, else "double" (how a type-inferring CSV reader types them).
 
-    One aggregate pass; only one count per column reaches the driver.
+    One aggregate pass; two counts per column reach the driver.
     """
     cols = [c for c in cols if c is not None and c in df.columns]
     if not cols:
-        return set()
-    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
-                      .alias(c) for c in cols]).first()
-    return {c for c in cols if counts[c] == 0}
+        return {}
+    aggs = []
+    for c in cols:
+        v = F.col(f"`{c}`")
+        aggs += [F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"{c}__d"),
+                 F.count_if(v.isNotNull() & v.try_cast("long").isNull()).alias(f"{c}__l")]
+    counts = df.agg(*aggs).first()
+    out = {}
+    for c in cols:
+        if counts[f"{c}__l"] == 0:
+            out[c] = "long"
+        elif counts[f"{c}__d"] == 0:
+            out[c] = "double"
+    return out
 
 
 def normalize_builds_csv(raw: DataFrame, roles: ColumnRoles = ColumnRoles()) -> DataFrame:
     """``normalize_builds`` for a text-typed CSV scan: label and build-id columns that are
     numeric throughout are treated as numbers, as a CSV reader with type inference does
     (so the text "1.0" in an all-numeric status column is the number 1.0, label 1)."""
-    numeric = numeric_columns(raw, [roles.label, roles.build_id])
     df = raw
-    for c in numeric:
-        df = df.withColumn(c, F.col(f"`{c}`").try_cast("double"))
+    for c, typ in numeric_columns(raw, [roles.label, roles.build_id]).items():
+        df = df.withColumn(c, F.col(f"`{c}`").try_cast(typ))
     return normalize_builds(df, roles)
 
 
