@@ -220,13 +220,14 @@ def q_failure_identity(spark, sf_dir):
 
 @query("scan_builds_csv", _W_BUILDS + "SELECT * REPLACE (nullif(raw_status, '') AS raw_status) FROM builds")
 def q_scan_builds_csv(spark, sf_dir):
-    """The build fixture as one header CSV (file order = source order), scanned
-    with every column as text and NA tokens -> NULL; the row index comes from file order."""
+    """The build fixture as header CSV part files (range-partitioned, so path order
+    then line order is source order), scanned with every column as text and NA tokens ->
+    NULL; the row index comes from file order."""
     from ..sources.builds import read_builds_csv
     from ..sources.shards import scratch_dir
     path = scratch_dir(spark, "builds_csv")
-    FX.builds_raw(spark, sf_dir).orderBy("source_row_index").drop("source_row_index").coalesce(1) \
-        .write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+    FX.builds_raw(spark, sf_dir).repartitionByRange(4, "source_row_index").sortWithinPartitions("source_row_index") \
+        .drop("source_row_index").write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
         .option("ignoreTrailingWhiteSpace", False).csv(path)
     from ..sources.builds import normalize_builds_csv
     return normalize_builds_csv(read_builds_csv(spark, path))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import CSV_NA_TOKENS, normalize_label, normalize_optional, sample_id
-from ..operators.ordering import with_global_index, with_scan_order_index
+from ..operators.ordering import with_global_index
 
 # Default column roles of a build table.
 DEFAULT_REPO_COL = "gh_project_name"
@@ -55,9 +55,12 @@ def check_input_exists(spark: SparkSession, path: str) -> None:
 
 
 def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnRoles()) -> DataFrame:
-    """Header CSV, every column read as text; pandas-style NA tokens -> NULL.
+    """Header CSV (one file or a folder of part files), every column read as text;
+    pandas-style NA tokens -> NULL; whitespace kept.
 
-    Adds ``source_row_index`` in file order (single file input).
+    P4: ``source_row_index`` follows file order: files by path, rows by their
+    position (split start, then position inside the split), made dense by the
+    distributed global index -- no single-task pass over the table.
     """
     check_input_exists(spark, path)
     header = spark.read.option("header", True).csv(path).columns
@@ -67,8 +70,12 @@ def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnR
         .option("nullValue", "\u0000never\u0000").option("emptyValue", "").csv(path)
     na = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
     cleaned = raw.select(*[F.when(F.array_contains(na, F.col(f"`{c}`")), F.lit(None))
-                           .otherwise(F.col(f"`{c}`")).alias(c) for c in header])
-    return with_scan_order_index(cleaned, "source_row_index")
+                           .otherwise(F.col(f"`{c}`")).alias(c) for c in header],
+                         F.col("_metadata.file_path").alias("__bl_file"),
+                         F.col("_metadata.file_block_start").alias("__bl_block"),
+                         F.monotonically_increasing_id().alias("__bl_pos"))
+    indexed = with_global_index(cleaned, ["__bl_file", "__bl_block", "__bl_pos"], name="source_row_index")
+    return indexed.drop("__bl_file", "__bl_block", "__bl_pos")
 
 
 def numeric_columns(df: DataFrame, cols: list[str]) -> dict[str, str]:

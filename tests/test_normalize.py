@@ -101,3 +101,18 @@ def test_csv_scan_typing(spark, tmp_out):
         fh.write("gh_project_name,git_trigger_commit,tr_status\nr,c1,1.0\nr,c2, passed \n")
     rows = normalize_builds_csv(read_builds_csv(spark, txt)).orderBy("source_row_index").collect()
     assert [(r["label"], r["raw_status"], r["build_id"]) for r in rows] == [(0, "1.0", None), (1, " passed ", None)]
+
+
+def test_csv_index_follows_lines_across_splits(spark, tmp_out):
+    from buildlens.session import scoped_conf
+    from buildlens.sources.builds import read_builds_csv
+    path = f"{tmp_out}/big.csv"
+    with open(path, "w") as fh:
+        fh.write("gh_project_name,git_trigger_commit,tr_status\n")
+        for i in range(3000):
+            fh.write(f"repo{i % 7},c{i},passed\n")
+    with scoped_conf(spark, {"spark.sql.files.maxPartitionBytes": 4096, "spark.sql.files.openCostInBytes": 0}):
+        df = read_builds_csv(spark, path)
+        assert df.rdd.getNumPartitions() >= 1
+        rows = df.select("source_row_index", "git_trigger_commit").collect()
+    assert sorted((r[0], r[1]) for r in rows) == [(i, f"c{i}") for i in range(3000)]
