@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import diff_git_paths
 from ..session import ensure_checkpoint_dir, scoped_conf
-from ..functions.text import (count_char, py_splitlines, py_splitlines_keepends, py_strip,
-                              strip_line_end)
+from ..functions.text import py_splitlines, py_splitlines_keepends, py_strip, strip_line_end
 
 # Separators of the assembled texts.
 DIFF_FILE_SEP = "\n<DIFF_FILE_SEP>\n"
@@ -323,12 +322,6 @@ def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_P
     return out.join(fa, KEYS, "left").select(*out.columns, "files")
 
 
-FILE_FIELDS = ["path", "retained_path", "old_path", "new_path", "change_type", "binary",
-               "original_char_count", "retained_char_count", "truncated", "hunk_ranges",
-               "added_line_numbers", "removed_line_numbers", "start_offset", "end_offset",
-               "diff_start_offset", "diff_end_offset"]
-
-
 def file_metadata(files: DataFrame, kept: DataFrame) -> DataFrame:
     """Per commit, the ``files`` array of retained-file metadata.
 

@@ -48,14 +48,3 @@ def with_global_index(df: DataFrame, order_cols: list[str | Column], name: str =
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = ordered.withColumn(_MID, F.monotonically_increasing_id()).checkpoint(eager=True)
     return _index_from_tags(tagged, name)
-
-
-def with_scan_order_index(df: DataFrame, name: str = "source_row_index") -> DataFrame:
-    """Index rows in the order a single-file scan delivers them (file order).
-
-    Spark splits one file into byte ranges in order, so partition id then
-    in-partition position is file order.  Only valid directly on a scan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = df.withColumn(_MID, F.monotonically_increasing_id()).checkpoint(eager=True)
-    return _index_from_tags(tagged, name)

@@ -280,3 +280,6 @@ def q_missing_keys(spark, sf_dir):
           ["shard_index", "record_index", "sample_id", "repo", "commit_sha", "label", "message_embedding",
            "diff_embedding", "context_embedding"]])).alias("present_keys"))
     return SH.missing_keys(present).select("global_index", "missing_keys")
+
+# The Arrow-UDF embedder computes the same vectors as the native expression.
+ORACLES["hash_embedding_udf"] = ORACLES["hash_embedding"]
