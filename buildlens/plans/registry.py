@@ -18,13 +18,30 @@ def all_queries() -> dict:
     return out
 
 
-def all_oracles() -> dict:
+def raw_oracles() -> dict:
     out: dict = {}
     for m in _mods():
         out.update(m.ORACLES)
     return out
 
 
+def all_oracles() -> dict:
+    """Oracle SQL with each output column cast to the Spark column's type."""
+    try:
+        from .oracle_types import TYPES
+    except ImportError:
+        TYPES = {}
+    out = {}
+    for name, sql in raw_oracles().items():
+        cols = TYPES.get(name)
+        if not cols:
+            out[name] = sql
+            continue
+        proj = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in cols)
+        out[name] = f"SELECT {proj} FROM (\n{sql}\n) AS _oracle"
+    return out
+
+
 def flagship(spark, sf_dir: str):
     from .q_builds import builds, repo_summary
     return repo_summary(builds(spark, sf_dir))

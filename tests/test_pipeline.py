@@ -52,3 +52,10 @@ def test_driver_contract_small(spark):
         got = q[name](spark, SF_SMALL)
         exp = con.execute(o[name]).fetchall()
         assert got.count() == len(exp), name
+
+
+def test_oracle_type_map_is_current():
+    """Every oracle has a generated column-type entry (run tools/gen_oracle_types.py after changes)."""
+    from buildlens.plans.oracle_types import TYPES
+    from buildlens.plans.registry import raw_oracles
+    assert set(TYPES) == set(raw_oracles())
