@@ -111,23 +111,30 @@ def half_round(vectors: np.ndarray) -> np.ndarray:
 
 
 def embed_columns(df: DataFrame, text_cols: dict[str, str], embedder_factory) -> DataFrame:
-    """Add one ``array<float>`` column per text column via an iterator pandas UDF.
+    """Add one ``array<float>`` column per text column with one iterator pandas UDF.
 
-    ``embedder_factory`` is a picklable zero-argument callable; it runs once
-    per task, so a real model is loaded once per worker process batch stream.
-    NULL text embeds as "".
+    All text columns go through the same UDF call, so ``embedder_factory``
+    (a picklable zero-argument callable) builds the model once per task and
+    each Arrow batch is embedded for every column in one pass.  NULL text
+    embeds as "".
     """
+    outs = list(text_cols)
     vec = T.ArrayType(T.FloatType(), False)
-
-    for out_col, text_col in text_cols.items():
-        @F.pandas_udf(vec)
-        def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = embedder_factory()
-            for texts in batches:
-                arr = model.embed(texts.fillna("").tolist())
-                yield pd.Series(list(arr))
-        df = df.withColumn(out_col, _embed(F.col(text_col)))
-    return df
+    struct_type = T.StructType([T.StructField(o, vec, False) for o in outs])
+
+    @F.pandas_udf(struct_type)
+    def _embed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        model = embedder_factory()
+        for cols in batches:
+            if isinstance(cols, pd.Series):
+                cols = (cols,)
+            yield pd.DataFrame({o: list(model.embed(c.fillna("").tolist())) for o, c in zip(outs, cols)})
+
+    tmp = "__bl_embedded"
+    df = df.withColumn(tmp, _embed(*[F.col(c) for c in text_cols.values()]))
+    for o in outs:
+        df = df.withColumn(o, F.col(f"{tmp}.{o}"))
+    return df.drop(tmp)
 
 
 # ------------------------------------------------------------------ E3 on a vector table
