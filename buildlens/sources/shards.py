@@ -329,3 +329,14 @@ def write_result_table(df: DataFrame, path: str) -> None:
 def write_predictions(scored: DataFrame, path: str) -> None:
     """One row per scored sample (probability, prediction, label, attention) as JSON."""
     scored.write.mode("overwrite").json(path)
+
+
+def verify_checksums(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """G6 (checksums): files whose recorded sha256 differs from the current one, or that are
+    missing on either side.  Both inputs: (path, sha256); joined on the shard folder plus
+    file name (part-file names repeat across shard folders)."""
+    name = F.regexp_extract(F.col("path"), "([^/]+/[^/]+)$", 1)
+    r = recorded.select(name.alias("file"), F.col("sha256").alias("recorded"))
+    c = current.select(name.alias("file"), F.col("sha256").alias("current"))
+    j = r.join(c, "file", "full_outer")
+    return j.where(~F.col("recorded").eqNullSafe(F.col("current")))

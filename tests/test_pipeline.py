@@ -59,3 +59,32 @@ def test_oracle_type_map_is_current():
     from buildlens.plans.oracle_types import TYPES
     from buildlens.plans.registry import raw_oracles
     assert set(TYPES) == set(raw_oracles())
+
+
+def test_small_end_to_end_scenario(spark, tmp_out):
+    """Five builds of one repo, one commit missing, one commit used twice: four samples,
+    one failure, shards of 3 -> [3, 1], labels in source order."""
+    from buildlens.plans.preprocess import assemble_samples
+    from buildlens.sources.builds import normalize_builds
+    raw = spark.createDataFrame([
+        (0, "org/p", "a1", "passed", 11.0, None), (1, "org/p", "a2", "failed", 12.0, "a1"),
+        (2, "org/p", "zz", "passed", 13.0, "a2"), (3, "org/p", "a1", "passed", 14.0, "zz"),
+        (4, "org/p", "a3", "passed", None, "a1")],
+        "source_row_index long, gh_project_name string, git_trigger_commit string, tr_status string, "
+        "tr_build_id double, git_prev_built_commit string")
+    commits = spark.createDataFrame([("org/p", c, f"msg {c}\\n") for c in ("a1", "a2", "a3")],
+                                    "repo string, commit_sha string, message string")
+    files = spark.createDataFrame([("org/p", c, 0, "f.py", "M\\tf.py", "@@ -1 +1 @@\\n-x\\n+y", "y\\n")
+                                   for c in ("a1", "a2", "a3")],
+                                  "repo string, commit_sha string, file_order int, path string, name_status string, "
+                                  "diff_text string, content_after string")
+    b = normalize_builds(raw)
+    samples, failures = assemble_samples(b, commits, files, PreprocessConfig(shard_size=3))
+    got = sorted((r["source_row_index"], r["label"], r["build_id"]) for r in samples.collect())
+    assert got == [(0, 1, "11"), (1, 0, "12"), (3, 1, "14"), (4, 1, None)]
+    f = failures.collect()
+    assert len(f) == 1 and f[0]["commit_sha"] == "zz" and f[0]["error"] == "Could not fetch commit zz"
+    run(spark, b, commits, files, tmp_out, PreprocessConfig(shard_size=3))
+    sizes = sorted(r["n"] for r in SH.read_shards(spark, f"{tmp_out}/shards").groupBy("shard_index")
+                   .agg(F.count("*").alias("n")).collect())
+    assert sizes == [1, 3]
