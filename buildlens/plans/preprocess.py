@@ -85,17 +85,26 @@ def commit_artifacts(commits: DataFrame, commit_files: DataFrame, cfg: Preproces
 
 
 def assemble_samples(builds: DataFrame, commits: DataFrame, commit_files: DataFrame, cfg: PreprocessConfig,
-                     completed_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Samples (one row per usable build) and failure records."""
+                     completed_ids: DataFrame | None = None, with_attempted: bool = False):
+    """Samples (one row per usable build) and failure records (plus, on request, the
+    attempted rows: builds of the kept repos not completed before).
+
+    Unknown repos give one ``repo_processing`` record each (F2); missing
+    commits give one record per row (J3/F1)."""
     b = first_repos(builds, cfg.max_repos)
     null_repo = b.where(F.col("repo").isNull() | F.col("commit_sha").isNull())
     b = b.where(F.col("repo").isNotNull() & F.col("commit_sha").isNotNull())
     if completed_ids is not None:
         b = R.drop_completed(b, completed_ids)
-    ok, failures = R.split_by_commit_availability(b, commits)
-    failures = failures.unionByName(R.row_failures(null_repo, "input_validation", "missing repo or commit"))
+    known, repo_failed = R.split_by_repo_availability(b, commits)
+    ok, failures = R.split_by_commit_availability(known, commits)
+    failures = failures.unionByName(repo_failed) \
+        .unionByName(R.row_failures(null_repo, "input_validation", "missing repo or commit"))
     art = commit_artifacts(commits, commit_files, cfg)
-    return ok.join(art, KEYS, "inner"), failures
+    samples = ok.join(art, KEYS, "inner")
+    if with_attempted:
+        return samples, failures, b.unionByName(null_repo)
+    return samples, failures
 
 
 def embed_samples(samples: DataFrame, cfg: PreprocessConfig) -> DataFrame:
@@ -124,7 +133,8 @@ def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files
         stored = SH.read_shards(spark, f"{out_dir}/shards")
         completed = stored.select("sample_id")
         first_shard = (stored.agg(F.max("shard_index")).first()[0] or -1) + 1
-    samples, failures = assemble_samples(builds, commits, commit_files, cfg, completed)
+    samples, failures, attempted = assemble_samples(builds, commits, commit_files, cfg, completed,
+                                                    with_attempted=True)
     embedded = embed_samples(samples, cfg)
     sharded = SH.assign_shards(embedded, ["repo", "source_row_index"], cfg.shard_size, first_shard)
     append = resume and completed is not None
@@ -136,7 +146,9 @@ def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files
     entries.write.mode("append" if append else "overwrite").json(f"{out_dir}/manifest_shards")
     all_entries = spark.read.schema("shard_index int, num_samples long, shard_name string") \
         .json(f"{out_dir}/manifest_shards")
-    summary = R.run_summary(builds, sharded, failures)
+    summary = R.run_summary(attempted, sharded, failures)
+    # every attempted row either became a sample or failed (rows of failed repos included)
+    summary = summary.withColumn("failed_samples", F.col("attempted_rows") - F.col("successful_samples"))
     embedding = (cfg.embedder_factory().metadata() if cfg.embedder_factory is not None else
                  EM.HashingEmbedder(cfg.embedding_dim, cfg.max_length).metadata())
     preprocessing = {k: v for k, v in asdict(cfg).items() if k not in ("embedder_factory", "extra")}
