@@ -3,7 +3,7 @@
 Features are the concatenated modality vectors (P11) turned into ML vectors
 at the boundary; class weights (M6) are a small per-class table joined in as
 ``weightCol``.  Spark's forest bins features and caps depth at 30, so the
-reference's unlimited depth maps to 30; trees differ from other libraries,
+unlimited depth maps to 30; trees differ from other libraries,
 metrics are what is compared.
 """
 

@@ -240,7 +240,7 @@ def repair_labels(samples: DataFrame, label: str = "label", sidecar_label: str =
     """In shards that hold a missing label, labels come from the sidecar.
 
     ``label_error`` marks rows of such shards whose sidecar label is missing
-    too (the reference raises on any of them).
+    too (training refuses such shards).
     """
     w = Window.partitionBy("shard_index")
     needs = F.max(F.col(label).isNull().cast("int")).over(w) == 1
