@@ -62,12 +62,15 @@ SELECT b.sample_id, b.repo, b.commit_sha, b.label FROM builds b
 WHERE EXISTS (SELECT 1 FROM commits c WHERE c.repo = b.repo AND c.commit_sha = b.commit_sha)
   AND b.source_row_index % 3 <> 0""")
 def q_incremental_ingest(spark, sf_dir):
-    """Build files arrive in four drops; a stream (availableNow, one file per trigger)
-    ingests them with the resume anti-join against the ids stored before."""
+    """Build files arrive in four drops plus a re-delivered copy of the first drop; a
+    stream (availableNow, one file per trigger) deduplicates by sample id in its state and
+    anti-joins the ids stored before the stream."""
     from ..streaming.incremental import start_ingest
     raw = FX.builds_git_raw(spark, sf_dir)
     src = SH.scratch_dir(spark, "incoming")
     raw.repartitionByRange(4, "source_row_index").write.parquet(src)
+    first = spark.read.parquet(src).inputFiles()
+    spark.read.parquet(sorted(first)[0]).write.mode("append").parquet(src)
     out = SH.scratch_dir(spark, "ingest")
     done = builds_git(spark, sf_dir).where(F.col("source_row_index") % 3 == 0).select("sample_id")
     q = start_ingest(spark, src, raw.schema, FX.commits(spark, sf_dir), out, SH.scratch_dir(spark, "ingest_ckpt"),

@@ -1,11 +1,15 @@
 """Incremental build ingest with Structured Streaming.
 
-New build files land in a folder; each micro-batch is normalised (ids,
-labels), drops rows whose ``sample_id`` is already stored (resume
-anti-join), splits off rows whose commit is unknown as failures, and writes
-both under ``batch_id=<n>``.  Writing a batch replaces exactly that batch's
-folder, so a batch replayed after a failure is idempotent.  The row index
-must come from the producer: file order is not global in a stream.
+New build files land in a folder.  The stream normalises them (ids,
+labels) and drops ``sample_id`` values it has already seen with
+``dropDuplicates`` -- the seen ids live in the state store, partitioned by
+key across tasks and restored from the checkpoint on restart, so no batch
+rescans earlier output.  Each micro-batch then removes ids that were
+completed before the stream existed (resume anti-join against the stored
+shards), splits off rows whose commit is unknown as failures, and writes
+both under ``batch_id=<n>``; writing a batch replaces exactly that batch's
+folder, so a replayed batch is idempotent.  The row index must come from
+the producer: file order is not global in a stream.
 """
 
 from __future__ import annotations
@@ -18,24 +22,11 @@ from ..operators import resume as R
 from ..sources.builds import ColumnRoles, normalize_builds
 
 
-def _stored_ids(spark: SparkSession, accepted_dir: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(accepted_dir)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    # explicit schema: a batch that accepted nothing leaves a folder without data files
-    return spark.read.schema("sample_id string, batch_id long").parquet(accepted_dir)
-
-
 def process_batch(batch: DataFrame, batch_id: int, commits: DataFrame, out_dir: str,
-                  roles: ColumnRoles = ColumnRoles(), completed: DataFrame | None = None) -> None:
-    """One micro-batch: normalise -> drop stored ids -> commit check -> write by batch id."""
-    spark = batch.sparkSession
-    b = normalize_builds(batch, roles, index_col="source_row_index")
-    stored = _stored_ids(spark, f"{out_dir}/accepted")
-    if stored is not None:
-        # ids written by earlier batches (a replay of this batch overwrites its own folder)
-        b = R.drop_completed(b, stored.where(F.col("batch_id") != batch_id))
+                  completed: DataFrame | None = None) -> None:
+    """One micro-batch of normalised, stream-deduplicated builds: drop previously completed
+    ids -> commit check -> write accepted rows and failures under the batch id."""
+    b = batch
     if completed is not None:
         b = R.drop_completed(b, completed)
     ok, failures = R.split_by_commit_availability(b, commits)
@@ -52,8 +43,9 @@ def start_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, com
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
+    stream = normalize_builds(reader.parquet(source_dir), roles, index_col="source_row_index") \
+        .dropDuplicates(["sample_id"])
     writer = stream.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(
-        lambda df, bid: process_batch(df, bid, commits, out_dir, roles, completed))
+        lambda df, bid: process_batch(df, bid, commits, out_dir, completed))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
