@@ -15,6 +15,8 @@ checkpointed; shards and sidecar are written from it without re-shuffling.
 from __future__ import annotations
 
 from collections.abc import Callable
+import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
@@ -121,42 +123,98 @@ def embed_samples(samples: DataFrame, cfg: PreprocessConfig) -> DataFrame:
     return staged.drop(*[f"_t_{out}" for out in cols])
 
 
+def _config(cfg: PreprocessConfig, out_dir: str) -> dict:
+    embedding = (cfg.embedder_factory().metadata() if cfg.embedder_factory is not None else
+                 EM.HashingEmbedder(cfg.embedding_dim, cfg.max_length).metadata())
+    preprocessing = {k: v for k, v in asdict(cfg).items() if k not in ("embedder_factory", "extra")}
+    return {"dataset": {"output": out_dir}, "embedding": embedding, "preprocessing": preprocessing}
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
+
+
 def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files: DataFrame, out_dir: str,
         cfg: PreprocessConfig = PreprocessConfig(), resume: bool = False, overwrite: bool = False) -> DataFrame:
-    """Full run; returns the one-row run summary.  Outputs under ``out_dir``:
-    ``shards/``, ``sidecar/``, ``failures/``, ``manifest_shards/``."""
+    """Full run; returns the one-row run summary.
+
+    Outputs under ``out_dir``: ``shards/``, ``sidecar/``, ``failures/`` (appended),
+    ``repo_attempts/``, ``manifest_shards/``, ``manifest/`` (written last) and
+    ``run_summary/``.  Existing outputs are refused unless ``overwrite`` or
+    ``resume``; a resume refuses a stored configuration that differs (J6).
+    """
     if resume and overwrite:
         raise ValueError("resume and overwrite cannot be combined")
-    started = datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
-    completed, first_shard = None, 0
-    if resume and _exists(spark, f"{out_dir}/shards"):
+    t0 = time.monotonic()
+    started = _now()
+    config = _config(cfg, out_dir)
+    has_output = _exists(spark, f"{out_dir}/shards")
+    if has_output and not (resume or overwrite):
+        raise SH.OutputExistsError(f"outputs exist in {out_dir}; pass resume=True or overwrite=True")
+    completed, first_shard, done_samples, done_shards = None, 0, 0, 0
+    if resume and has_output:
+        if _exists(spark, f"{out_dir}/manifest"):
+            stored_cfg = json.loads(SH.read_manifest(spark, f"{out_dir}/manifest").first()["config_json"])
+            diffs = R.config_diff(spark, stored_cfg, config).collect()  # a handful of config fields
+            if diffs:
+                raise ValueError(f"configuration differs from the stored run: {[r.asDict() for r in diffs]}")
         stored = SH.read_shards(spark, f"{out_dir}/shards")
         completed = stored.select("sample_id")
-        first_shard = (stored.agg(F.max("shard_index")).first()[0] or -1) + 1
-    samples, failures, attempted = assemble_samples(builds, commits, commit_files, cfg, completed,
-                                                    with_attempted=True)
-    embedded = embed_samples(samples, cfg)
-    sharded = SH.assign_shards(embedded, ["repo", "source_row_index"], cfg.shard_size, first_shard)
-    append = resume and completed is not None
-    SH.write_shards(sharded, f"{out_dir}/shards", overwrite=overwrite, append=append, one_file_per_shard=False)
-    SH.write_sidecar(SH.sidecar_records(sharded), f"{out_dir}/sidecar", overwrite=overwrite, append=append,
-                     one_file_per_shard=False)
-    failures.write.mode("append" if (append or not overwrite) else "overwrite").json(f"{out_dir}/failures")
-    entries = SH.manifest_shards(sharded)
-    entries.write.mode("append" if append else "overwrite").json(f"{out_dir}/manifest_shards")
-    all_entries = spark.read.schema("shard_index int, num_samples long, shard_name string") \
-        .json(f"{out_dir}/manifest_shards")
-    summary = R.run_summary(attempted, sharded, failures)
-    # every attempted row either became a sample or failed (rows of failed repos included)
-    summary = summary.withColumn("failed_samples", F.col("attempted_rows") - F.col("successful_samples"))
-    embedding = (cfg.embedder_factory().metadata() if cfg.embedder_factory is not None else
-                 EM.HashingEmbedder(cfg.embedding_dim, cfg.max_length).metadata())
-    preprocessing = {k: v for k, v in asdict(cfg).items() if k not in ("embedder_factory", "extra")}
-    run_record = {"run_id": uuid.uuid4().hex, "started_at": started, "resume": resume,
-                  "status": "succeeded", "first_shard": first_shard}
-    SH.write_manifest(spark, f"{out_dir}/manifest", all_entries, SH.manifest_totals(all_entries, failures),
-                      {"output": out_dir}, embedding, preprocessing, run_record)
-    return summary
+        agg = stored.agg(F.count(F.lit(1)).alias("n"), F.max("shard_index").alias("m"),
+                         F.count_distinct("shard_index").alias("k")).first()
+        done_samples, done_shards = int(agg["n"]), int(agg["k"])
+        first_shard = (agg["m"] if agg["m"] is not None else -1) + 1
+    run_record = {"run_id": uuid.uuid4().hex, "started_at": started, "resume": resume, "first_shard": first_shard}
+    try:
+        samples, failures, attempted = assemble_samples(builds, commits, commit_files, cfg, completed,
+                                                        with_attempted=True)
+        sharded = SH.assign_shards(embed_samples(samples, cfg), ["repo", "source_row_index"], cfg.shard_size,
+                                   first_shard)
+        append = completed is not None
+        SH.write_shards(sharded, f"{out_dir}/shards", overwrite=overwrite, append=append, one_file_per_shard=False)
+        SH.write_sidecar(SH.sidecar_records(sharded), f"{out_dir}/sidecar", overwrite=overwrite, append=append,
+                         one_file_per_shard=False)
+        failures = failures.withColumn("run_id", F.lit(run_record["run_id"]))
+        failures.write.mode("overwrite" if overwrite else "append").json(f"{out_dir}/failures")
+        R.repo_attempts(attempted, failures).withColumn("run_id", F.lit(run_record["run_id"])) \
+            .write.mode("overwrite" if overwrite else "append").json(f"{out_dir}/repo_attempts")
+        SH.manifest_shards(sharded).write.mode("append" if append else "overwrite").json(f"{out_dir}/manifest_shards")
+        all_entries = spark.read.schema("shard_index int, num_samples long, shard_name string") \
+            .json(f"{out_dir}/manifest_shards")
+        counts = R.run_summary(attempted, sharded, failures).first()
+        run_record.update(status="succeeded", finished_at=_now())
+        SH.write_manifest(spark, f"{out_dir}/manifest", all_entries,
+                          SH.manifest_totals(all_entries, failures.where(F.col("source_row_index").isNotNull())),
+                          config["dataset"], config["embedding"], config["preprocessing"], run_record,
+                          config_json=json.dumps(config, sort_keys=True))
+        exc = None
+    except Exception as e:  # noqa: BLE001 - recorded, then re-raised
+        counts, exc = None, {"type": type(e).__name__, "message": str(e)}
+        run_record.update(status="failed", finished_at=_now())
+    elapsed = time.monotonic() - t0
+    attempted_n = int(counts["attempted_rows"]) if counts else None
+    ok_n = int(counts["successful_samples"]) if counts else None
+    summary = {
+        **run_record, "elapsed_seconds": elapsed, "attempted_rows": attempted_n, "successful_samples": ok_n,
+        # every attempted row either became a sample or failed (rows of failed repos included)
+        "failed_samples": (attempted_n - ok_n) if counts else None,
+        "samples_per_second": (ok_n / elapsed) if ok_n else None,
+        "seconds_per_sample": (elapsed / ok_n) if ok_n else None,
+        "resume_completed_samples_at_start": done_samples, "resume_completed_shards_at_start": done_shards,
+        "next_shard_index": first_shard, "exception_type": exc and exc["type"],
+        "exception_message": exc and exc["message"]}
+    out = spark.createDataFrame([summary], RUN_SUMMARY_SCHEMA)
+    out.write.mode("append").json(f"{out_dir}/run_summary")
+    if exc is not None:
+        raise RuntimeError(f"run failed: {exc['type']}: {exc['message']}")
+    return out
+
+
+RUN_SUMMARY_SCHEMA = (
+    "run_id string, started_at string, resume boolean, first_shard long, status string, finished_at string, "
+    "elapsed_seconds double, attempted_rows long, successful_samples long, failed_samples long, "
+    "samples_per_second double, seconds_per_sample double, resume_completed_samples_at_start long, "
+    "resume_completed_shards_at_start long, next_shard_index long, exception_type string, exception_message string")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

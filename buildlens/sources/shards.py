@@ -295,7 +295,7 @@ def missing_keys(present: DataFrame, array_col: str = "present_keys") -> DataFra
 
 # ------------------------------------------------------------------ S8 document / S16 / S18
 def write_manifest(spark: SparkSession, path: str, entries: DataFrame, totals: DataFrame, dataset: dict,
-                   embedding: dict, preprocessing: dict, run_record: dict) -> None:
+                   embedding: dict, preprocessing: dict, run_record: dict, config_json: str | None = None) -> None:
     """The manifest as one JSON document, written after shards and sidecar committed.
 
     ``shards`` is the per-shard entry list (one element per shard: a small,
@@ -313,6 +313,7 @@ def write_manifest(spark: SparkSession, path: str, entries: DataFrame, totals: D
     first = totals.first()  # one aggregate row: three counts
     doc = doc.withColumn("totals", F.struct(*[F.lit(first[c]).alias(c) for c in totals.columns]))
     doc = doc.withColumn("runs", F.array(F.from_json(F.lit(json.dumps(run_record)), "map<string,string>")))
+    doc = doc.withColumn("config_json", F.lit(config_json))
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 

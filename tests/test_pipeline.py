@@ -88,3 +88,22 @@ def test_small_end_to_end_scenario(spark, tmp_out):
     sizes = sorted(r["n"] for r in SH.read_shards(spark, f"{tmp_out}/shards").groupBy("shard_index")
                    .agg(F.count("*").alias("n")).collect())
     assert sizes == [1, 3]
+
+
+def test_run_guards_and_records(spark, tmp_out):
+    import pytest
+    cfg = PreprocessConfig(shard_size=7)
+    b = builds_git(spark, SF_SMALL).where("source_row_index < 300")
+    args = (spark, b, FX.commits(spark, SF_SMALL), FX.commit_files(spark, SF_SMALL), tmp_out)
+    s = run(*args, cfg).first()
+    assert s["status"] == "succeeded" and s["failed_samples"] == s["attempted_rows"] - s["successful_samples"]
+    assert (s["samples_per_second"] is None) == (s["successful_samples"] == 0)
+    with pytest.raises(SH.OutputExistsError):
+        run(*args, cfg)
+    with pytest.raises(ValueError, match="configuration differs"):
+        run(*args, PreprocessConfig(shard_size=9), resume=True)
+    again = run(*args, cfg, resume=True).first()
+    assert again["successful_samples"] == 0 and again["resume_completed_samples_at_start"] == s["successful_samples"]
+    att = spark.read.json(f"{tmp_out}/repo_attempts")
+    assert att.where(F.col("run_id") == s["run_id"]).agg(F.sum("attempted")).first()[0] == s["attempted_rows"]
+    assert spark.read.json(f"{tmp_out}/run_summary").count() == 2
