@@ -154,5 +154,8 @@ def mean_vectors(df: DataFrame, key: str, vec_col: str, decimals: int | None = 6
 # ------------------------------------------------------------------ E5
 def embedding_dimension_check(df: DataFrame, cols: list[str]) -> DataFrame:
     """E5: per vector column the distinct sizes seen; valid when one size, equal across columns."""
-    return df.agg(*[F.count_distinct(F.size(c)).alias(f"{c}_n_dims") for c in cols],
-                  *[F.max(F.size(c)).alias(f"{c}_dim") for c in cols])
+    out = df.agg(*[F.count_distinct(F.size(c)).alias(f"{c}_n_dims") for c in cols],
+                 *[F.max(F.size(c)).alias(f"{c}_dim") for c in cols],
+                 F.count_if(F.greatest(*[F.size(c) for c in cols]) != F.least(*[F.size(c) for c in cols]))
+                 .alias("rows_with_unequal_dims") if len(cols) > 1 else F.lit(0).alias("rows_with_unequal_dims"))
+    return out

@@ -99,7 +99,8 @@ TYPES = {'attention_fuse': [('global_index', 'BIGINT'),
                     ('context_embedding_n_dims', 'BIGINT'),
                     ('message_embedding_dim', 'INTEGER'),
                     ('diff_embedding_dim', 'INTEGER'),
-                    ('context_embedding_dim', 'INTEGER')],
+                    ('context_embedding_dim', 'INTEGER'),
+                    ('rows_with_unequal_dims', 'BIGINT')],
  'failure_identity': [('repo', 'VARCHAR'),
                       ('commit_sha', 'VARCHAR'),
                       ('source_row_index', 'BIGINT'),

@@ -98,7 +98,9 @@ SELECT count(DISTINCT len(message_embedding)) AS message_embedding_n_dims,
  count(DISTINCT len(diff_embedding)) AS diff_embedding_n_dims,
  count(DISTINCT len(context_embedding)) AS context_embedding_n_dims,
  max(len(message_embedding)) AS message_embedding_dim, max(len(diff_embedding)) AS diff_embedding_dim,
- max(len(context_embedding)) AS context_embedding_dim FROM s""")
+ max(len(context_embedding)) AS context_embedding_dim,
+ count_if(greatest(len(message_embedding), len(diff_embedding), len(context_embedding))
+   <> least(len(message_embedding), len(diff_embedding), len(context_embedding))) AS rows_with_unequal_dims FROM s""")
 def q_embedding_dims(spark, sf_dir):
     s = FX.samples_fx(spark, sf_dir)
     out = EM.embedding_dimension_check(s, ["message_embedding", "diff_embedding", "context_embedding"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ DEFAULT_BUILD_ID_COL = "tr_build_id"
 DEFAULT_PARENT_COL = "git_prev_built_commit"
 
 BROADCAST_REPO_LIMIT = 100_000
+LOG = logging.getLogger(__name__)
 
 BUILDS_SCHEMA = T.StructType([
     T.StructField("source_row_index", T.LongType(), False),
@@ -135,7 +137,8 @@ def normalize_builds(df: DataFrame, roles: ColumnRoles = ColumnRoles(),
     ``index_col`` names an existing row index; otherwise ``order_cols`` give
     the total order for a distributed dense index (P4).
     """
-    check_columns(df, roles)
+    for warning in check_columns(df, roles):
+        LOG.warning(warning)
     if index_col is None or index_col not in df.columns:
         if not order_cols:
             raise ValueError("no row index column and no order columns given")

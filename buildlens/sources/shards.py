@@ -126,11 +126,45 @@ def sidecar_json(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S9 / S10 / S19
-def read_shards(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """Fixed-schema scan of all shard files; ``.tmp`` names never match the glob."""
+def read_shards(spark: SparkSession, path: str, glob: str = "*.parquet", require_files: bool = False) -> DataFrame:
+    """Fixed-schema scan of all shard files; ``.tmp`` names never match the glob.
+
+    A missing folder fails at analysis; ``require_files`` also fails when the
+    glob matches no file (checked on the file listing, content not read).
+    """
+    if require_files:
+        listing = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+            .option("recursiveFileLookup", "true").load(path).select("path")
+        if listing.limit(1).count() == 0:
+            raise FileNotFoundError(f"no shard files matching {glob!r} under {path}")
     return spark.read.schema(SHARD_SCHEMA).option("pathGlobFilter", glob).parquet(path)
 
 
+def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None) -> DataFrame:
+    """L1 with limit pushdown: the first ``n`` samples in shard order, reading only the
+    shards that hold them.
+
+    ``entries`` is the manifest's (shard_index, num_samples) table -- one row
+    per shard.  Its running counts give the last shard needed (one number to
+    the driver), which becomes a literal filter on the ``shard_index``
+    partition column, so later shard folders are never listed or read.
+    The position of a row is the count before its shard plus its record index.
+    """
+    if n is None:
+        return shards
+    if n < 0:
+        raise ValueError("num_samples must be >= 0")
+    w = Window.orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per shard: a small, bounded table
+    before = entries.select("shard_index", F.coalesce(F.sum("num_samples").over(w), F.lit(0)).alias("_before"))
+    last = before.where(F.col("_before") < n).agg(F.max("shard_index")).first()[0]
+    if last is None:
+        return shards.limit(0)
+    pruned = shards.where(F.col("shard_index") <= F.lit(int(last)))
+    return pruned.join(F.broadcast(before.where(F.col("shard_index") <= F.lit(int(last)))), "shard_index") \
+        .where(F.col("_before") + F.col("record_index") < n).drop("_before")
+
+
 def read_sidecar(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Sidecar scan with an explicit schema (blank lines are skipped by the reader)."""
     return spark.read.schema(schema).json(path)
