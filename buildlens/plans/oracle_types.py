@@ -125,6 +125,10 @@ TYPES = {'attention_fuse': [('global_index', 'BIGINT'),
                    ('old_path', 'VARCHAR'),
                    ('new_path', 'VARCHAR'),
                    ('change_type', 'VARCHAR')],
+ 'first_n_from_shards': [('shard_index', 'INTEGER'),
+                         ('record_index', 'INTEGER'),
+                         ('repo', 'VARCHAR'),
+                         ('label', 'INTEGER')],
  'first_n_samples': [('global_index', 'BIGINT'), ('repo', 'VARCHAR'), ('label', 'INTEGER')],
  'function_span': [('repo', 'VARCHAR'),
                    ('commit_sha', 'VARCHAR'),

@@ -253,3 +253,17 @@ def q_attention_fuse(spark, sf_dir):
                                                F.col("context_embedding")))
     return s.select("global_index", F.round(F.col("w")[0], 6).alias("w_message"), F.round(F.col("w")[1], 6).alias("w_diff"),
                     F.round(F.col("w")[2], 6).alias("w_context"), F.round(total("fused"), 5).alias("fused_sum"))
+
+
+@query("first_n_from_shards", _W_S + """
+SELECT CAST(shard_index AS INTEGER) AS shard_index, CAST(record_index AS INTEGER) AS record_index, repo,
+ CAST(label AS INTEGER) AS label FROM s WHERE global_index < 137""")
+def q_first_n_from_shards(spark, sf_dir):
+    """L1 with limit pushdown: written shards, manifest counts, only the needed shard folders read."""
+    s = samples(spark, sf_dir).withColumn("sample_id", F.concat(F.lit("s"), F.col("global_index").cast("string"))) \
+        .withColumn("build_id", F.lit(None).cast("string")).withColumn("label", F.col("label").cast("int"))
+    path = SH.scratch_dir(spark, "shards_first_n")
+    SH.write_shards(s, path)
+    shards = SH.read_shards(spark, path, require_files=True)
+    got = SH.first_n_from_shards(shards, SH.manifest_shards(shards), 137)
+    return got.select("shard_index", "record_index", "repo", "label")
