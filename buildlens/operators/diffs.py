@@ -274,9 +274,15 @@ def materialize_budget(selected: DataFrame, k: int) -> DataFrame:
     Spark turns ``rank <= k`` into a partial per-key limit that runs before
     the shuffle only while k is under ``windowGroupLimitThreshold`` (1000 by
     default); the exact candidate bounds here are larger, so the threshold is
-    raised for the eager checkpoint that plans and runs the selection.
+    raised for the eager checkpoint that plans and runs the selection.  That
+    one step also runs without adaptive execution: a checkpoint of an
+    adaptive plan does not report its hash partitioning, and with it the
+    branches downstream (text, hunks, metadata, region merge -- all keyed by
+    the commit) need no further shuffle.  AQE's skew splitting applies to
+    joins, not to this window stage, and the partial limit already bounds
+    the rows per commit and map task.
     """
-    with scoped_conf(selected.sparkSession, {GROUP_LIMIT_CONF: k + 1}):
+    with scoped_conf(selected.sparkSession, {GROUP_LIMIT_CONF: k + 1, "spark.sql.adaptive.enabled": "false"}):
         return materialize(selected)
 
 
