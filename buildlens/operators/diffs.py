@@ -286,11 +286,6 @@ def materialize_budget(selected: DataFrame, k: int) -> DataFrame:
         return materialize(selected)
 
 
-def commit_partitioned(files: DataFrame) -> DataFrame:
-    """Per-file rows hash-partitioned by (repo, commit_sha), then checkpointed."""
-    return materialize(files.repartition(*KEYS))
-
-
 def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_PER_FILE,
                    max_total: int = MAX_TOTAL_DIFF_CHARS, with_files: bool = True,
                    prepared: DataFrame | None = None) -> DataFrame:
