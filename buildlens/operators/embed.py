@@ -46,10 +46,11 @@ def hashed_tokens(text: Column, dim: int, max_length: int = DEFAULT_MAX_LENGTH)
     """Retained tokens as struct(b = bucket, s = sign): bucket = first 8 hex digits of
     md5(token) mod dim; sign = -1 when the 9th hex digit is odd."""
     toks = F.slice(whitespace_tokens(text), 1, max_length - SPECIAL_TOKENS)
-    digests = F.transform(toks, lambda t: F.substring(F.md5(t), 1, 9))
-    return F.transform(digests, lambda h: F.struct(
-        (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int").alias("b"),
-        (F.lit(1.0) - F.lit(2.0) * (F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2)).alias("s")))
+    # v = first 9 hex digits: v >> 4 is the first 8 (bucket), v & 1 the parity of the 9th (sign)
+    values = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long"))
+    return F.transform(values, lambda v: F.struct(
+        (F.shiftright(v, 4) % dim).cast("int").alias("b"),
+        (F.lit(1.0) - F.lit(2.0) * v.bitwiseAND(F.lit(1))).alias("s")))
 
 
 def pooled_vector(hashed: Column, dim: int) -> Column:
