@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from buildlens.operators import context as CX
 from buildlens.operators import diffs as DF
+from tests.models import changed_model
 
 HEADER = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 LINES = st.sampled_from(["@@ -3,2 +4,3 @@", "@@ -7 +9 @@ fn()", "@@ -1,0 +1 @@", "@@ broken", "+add", "-del",
@@ -39,21 +40,6 @@ def hunks_model(text, base):
     return out
 
 
-def changed_model(text, keep=20):
-    """New-side numbers of added lines: restart at each header, ``-`` and ``+++`` do not count."""
-    found, cur = [], None
-    for line in text.splitlines():
-        m = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", line)
-        if m:
-            cur = int(m[1])
-        elif cur is not None and not line.startswith("+++"):
-            is_add, is_del = line.startswith("+"), line.startswith("-")
-            if is_add:
-                found.append(cur)
-            cur += 0 if is_del else 1
-    return len(found), found[:keep]
-
-
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.lists(LINES, min_size=1, max_size=14), st.sampled_from(["\n", "\r\n"])),
                 min_size=1, max_size=6))
