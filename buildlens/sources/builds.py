@@ -172,9 +172,15 @@ def normalize_builds(df: DataFrame, roles: ColumnRoles = ColumnRoles(),
                                                  F.col("source_row_index")))
 
 
-def repo_groups(builds: DataFrame) -> DataFrame:
-    """G1: rows clustered by repo, repos ascending, rows in source order inside."""
-    return builds.repartition("repo").sortWithinPartitions("repo", "source_row_index")
+def repo_groups(builds: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """G1: repos in ascending order, rows in source order inside each repo.
+
+    Range partitioning on (repo, source_row_index) keeps that global order
+    while a repo holding a third of all rows still spreads over many
+    partitions (hash partitioning on the repo alone would put it in one task).
+    """
+    n = num_partitions or int(builds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return builds.repartitionByRange(n, "repo", "source_row_index").sortWithinPartitions("repo", "source_row_index")
 
 
 def first_repos(builds: DataFrame, max_repos: int | None) -> DataFrame:

@@ -125,3 +125,14 @@ def test_stream_restart_is_exactly_once(spark, tmp_out):
     ok, _ = split_by_commit_availability(builds_git(spark, SF_SMALL), FX.commits(spark, SF_SMALL))
     assert got.groupBy("sample_id").count().where("count > 1").count() == 0
     assert sorted(r[0] for r in got.select("sample_id").collect()) == sorted(r[0] for r in ok.select("sample_id").collect())
+
+
+def test_repo_groups_spread_hot_repo(spark):
+    from buildlens.sources.builds import repo_groups
+    rows = [(i, "hot" if i % 3 else f"r{i}", f"c{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "source_row_index long, repo string, commit_sha string")
+    g = repo_groups(df, 8)
+    per_part = g.rdd.mapPartitions(lambda it: [sum(1 for r in it if r["repo"] == "hot")]).collect()
+    assert sum(1 for n in per_part if n > 0) > 1
+    flat = [(r["repo"], r["source_row_index"]) for r in g.collect()]
+    assert flat == sorted(flat)
