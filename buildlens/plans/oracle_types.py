@@ -289,6 +289,11 @@ TYPES = {'attention_fuse': [('global_index', 'BIGINT'),
                       ('parsed_index', 'INTEGER'),
                       ('junk_parsed', 'INTEGER')],
  'shard_scan': [('shard_index', 'INTEGER'), ('num_samples', 'BIGINT'), ('message_sum', 'DOUBLE')],
+ 'shard_states': [('shard_index', 'INTEGER'),
+                  ('has_vectors', 'BOOLEAN'),
+                  ('has_text', 'BOOLEAN'),
+                  ('has_tmp', 'BOOLEAN'),
+                  ('state', 'VARCHAR')],
  'shard_union': [('shard_index', 'INTEGER'), ('num_samples', 'BIGINT')],
  'shard_validate': [('shard_index', 'INTEGER'),
                     ('num_samples', 'BIGINT'),

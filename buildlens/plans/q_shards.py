@@ -285,3 +285,21 @@ def q_missing_keys(spark, sf_dir):
 
 # The Arrow-UDF embedder computes the same vectors as the native expression.
 ORACLES["hash_embedding_udf"] = ORACLES["hash_embedding"]
+
+
+@query("shard_states", FX.duck_with(s=FX.DUCK_SAMPLES) + """
+, per AS (SELECT CAST(shard_index AS INTEGER) AS shard_index, bool_and(label IS NOT NULL) AS is_full FROM s
+   GROUP BY shard_index),
+mx AS (SELECT max(shard_index) AS m FROM per)
+SELECT shard_index, true AS has_vectors, is_full AS has_text, shard_index = (SELECT m FROM mx) AS has_tmp,
+ CASE WHEN shard_index = (SELECT m FROM mx) THEN 'interrupted' WHEN NOT is_full THEN 'unpaired' ELSE 'complete' END
+   AS state
+FROM per""")
+def q_shard_states(spark, sf_dir):
+    """Per-shard diagnosis of a listing: vector files for every shard, text files for
+    shards whose labels are complete, a leftover temp file in the last shard."""
+    s = FX.samples_fx(spark, sf_dir)
+    last = s.agg(F.max("shard_index").alias("m"))
+    tmp = last.select(F.concat(shard_name(F.col("m")), F.lit(".parquet.tmp")).alias("name"))
+    listing = _listing(spark, sf_dir).unionByName(SH.shard_listing_from_names(tmp))
+    return SH.shard_states(listing)

@@ -203,6 +203,21 @@ def unpaired_shards(listing: DataFrame) -> DataFrame:
         .unionByName(txt.exceptAll(vec).withColumn("missing", F.lit("vectors")))
 
 
+def shard_states(listing: DataFrame) -> DataFrame:
+    """S15 per shard: which file kinds exist and the shard's state
+    (interrupted: a temp file; unpaired: vectors or text missing; complete)."""
+    per = listing.groupBy("shard_index").agg(
+        F.max((F.col("kind") == "vectors").cast("int")).alias("has_vectors"),
+        F.max((F.col("kind") == "text").cast("int")).alias("has_text"),
+        F.max((F.col("kind") == "tmp").cast("int")).alias("has_tmp"))
+    state = (F.when(F.col("has_tmp") == 1, F.lit("interrupted"))
+             .when((F.col("has_vectors") + F.col("has_text")) == 1, F.lit("unpaired"))
+             .otherwise(F.lit("complete")))
+    return per.select("shard_index", (F.col("has_vectors") == 1).alias("has_vectors"),
+                      (F.col("has_text") == 1).alias("has_text"), (F.col("has_tmp") == 1).alias("has_tmp"),
+                      state.alias("state"))
+
+
 def output_state(listing: DataFrame, manifest_present: bool) -> str:
     """Interrupted (tmp files) > unpaired > manifest present > complete/empty.
 
