@@ -48,8 +48,8 @@ def q_rf_predict(spark, sf_dir):
 
 @query("rf_sweep")
 def q_rf_sweep(spark, sf_dir):
-    """M9: sample-size sweep over budgets 100, 250, 500."""
-    return RF.sample_sweep(training_samples(spark, sf_dir), [100, 250, 500], num_trees=50, seed=0)
+    """M9: sample-size sweep over budgets 100, 250, 500 (300 trees, the default)."""
+    return RF.sample_sweep(training_samples(spark, sf_dir), [100, 250, 500], seed=0)
 
 
 def _cfg(dim: int) -> FU.FusionConfig:
@@ -76,10 +76,10 @@ def q_fusion_predict(spark, sf_dir):
 
 @query("fusion_train_history")
 def q_fusion_train_history(spark, sf_dir):
-    """Three epochs of data-parallel AdamW on the train repos; history per epoch."""
+    """Data-parallel AdamW on the train repos (10 epochs, the default); history per epoch."""
     s = training_samples(spark, sf_dir)
     dim = s.select(F.size("message_embedding")).first()[0]
     sp = assign_splits(s, split_repos(s, seed=0))
-    _, hist = FU.train(sp.where("split = 'train'"), _cfg(dim), epochs=3, steps_per_epoch=2, seed=0,
+    _, hist = FU.train(sp.where("split = 'train'"), _cfg(dim), epochs=10, steps_per_epoch=2, seed=0,
                        validation_df=sp.where("split = 'validation'"))
     return hist
