@@ -137,6 +137,7 @@ TYPES = {'attention_fuse': [('global_index', 'BIGINT'),
                    ('start_line', 'INTEGER'),
                    ('end_line', 'INTEGER'),
                    ('symbol_name', 'VARCHAR')],
+ 'half_round': [('vec_id', 'BIGINT'), ('embedding_half', 'FLOAT[]')],
  'hash_embedding': [('doc_id', 'BIGINT'), ('embedding', 'FLOAT[]')],
  'hash_embedding_udf': [('doc_id', 'BIGINT'), ('embedding', 'FLOAT[]')],
  'incremental_ingest': [('sample_id', 'VARCHAR'),

@@ -83,9 +83,17 @@ def q_mean_pool(spark, sf_dir):
     return EM.mean_vectors(FX.table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
-@query("half_round")
+@query("half_round", """
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+u AS (SELECT vec_id, i, x, CASE WHEN x = 0 THEN 1.0
+        ELSE pow(2.0, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), -14) - 10) END AS ulp FROM e),
+r AS (SELECT vec_id, i, x / ulp AS q, ulp FROM u),
+h AS (SELECT vec_id, i, CAST((CASE WHEN q - floor(q) > 0.5 THEN floor(q) + 1 WHEN q - floor(q) < 0.5 THEN floor(q)
+        ELSE floor(q) + (abs(CAST(floor(q) AS BIGINT)) % 2) END) * ulp AS FLOAT) AS v FROM r)
+SELECT vec_id, list(v ORDER BY i) AS embedding_half FROM h GROUP BY vec_id""")
 def q_half_round(spark, sf_dir):
-    """float16 storage rounding in an Arrow batch UDF (rows-only check)."""
+    """float16 storage rounding in an Arrow batch UDF.  The oracle rounds to the half-precision
+    grid (10 fraction bits, subnormal below 2^-14) with ties to even."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def to_half(v: pd.Series) -> pd.Series:
         return pd.Series([EM.half_round(np.asarray(x, dtype=np.float32)) for x in v])
