@@ -136,3 +136,30 @@ def test_repo_groups_spread_hot_repo(spark):
     assert sum(1 for n in per_part if n > 0) > 1
     flat = [(r["repo"], r["source_row_index"]) for r in g.collect()]
     assert flat == sorted(flat)
+
+
+def test_input_and_column_checks(spark, tmp_out):
+    import pytest
+    from buildlens.plans.preprocess import assemble_samples
+    from buildlens.sources.builds import MissingColumnError, check_columns, normalize_builds, read_builds_csv, ColumnRoles
+    with pytest.raises(FileNotFoundError):
+        read_builds_csv(spark, f"{tmp_out}/absent.csv")
+    no_commit = spark.createDataFrame([(0, "r", "passed")], "source_row_index long, gh_project_name string, tr_status string")
+    with pytest.raises(MissingColumnError, match="gh_project_name"):
+        normalize_builds(no_commit)
+    minimal = spark.createDataFrame([(0, "r", "c", "passed")],
+                                    "source_row_index long, gh_project_name string, git_trigger_commit string, tr_status string")
+    warnings = check_columns(minimal, ColumnRoles())
+    assert len(warnings) == 2 and all("not found" in w for w in warnings)
+    row = normalize_builds(minimal).first()
+    assert row["build_id"] is None and row["parent_commit_sha"] is None and row["label"] == 1
+    with_null = spark.createDataFrame([(0, None, "c", "passed"), (1, "r", "c", "failed")],
+                                      "source_row_index long, gh_project_name string, git_trigger_commit string, tr_status string")
+    commits = spark.createDataFrame([("r", "c", "m")], "repo string, commit_sha string, message string")
+    files = spark.createDataFrame([], "repo string, commit_sha string, file_order int, path string, name_status string, "
+                                      "diff_text string, content_after string")
+    samples, failures = assemble_samples(normalize_builds(with_null), commits, files, PreprocessConfig())
+    assert [r["source_row_index"] for r in samples.collect()] == [1]
+    assert [(r["stage"], r["source_row_index"]) for r in failures.collect()] == [("input_validation", 0)]
+    s = samples.first()
+    assert s["diff"]["text"] == "" and s["context"]["text"] == "" and s["message"]["text"] == "m"
