@@ -53,25 +53,38 @@ def _proj_names(cfg: FusionConfig) -> list[str]:
     return ["message", "diff", "context"] if cfg.separate_projections else ["shared"]
 
 
+def hashed_uniform(seed: int, name: str, shape: tuple, bound: float) -> np.ndarray:
+    """Deterministic Uniform(-bound, bound) weights: u = first 8 hex digits of
+    md5("seed:name:i[:j]") / 2^32, w = (2u - 1) * bound.  Reproducible anywhere md5 is."""
+    import hashlib
+    out = np.empty(shape, dtype=np.float64)
+    for idx in np.ndindex(*shape):
+        key = ":".join([str(seed), name] + [str(i) for i in idx])
+        u = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) / 4294967296.0
+        out[idx] = (u * 2.0 - 1.0) * bound
+    return out
+
+
 def init_params(cfg: FusionConfig, seed: int = 0) -> dict[str, np.ndarray]:
-    """Uniform(+-1/sqrt(fan_in)) linear weights, unit layer-norm gains."""
+    """Uniform(+-1/sqrt(fan_in)) linear weights (md5-seeded, see ``hashed_uniform``),
+    unit layer-norm gains and zero shifts."""
     cfg.validate()
-    rng = np.random.default_rng(seed)
 
-    def lin(out_dim, in_dim):
+    def lin(name, out_dim, in_dim):
         k = 1.0 / np.sqrt(in_dim)
-        return rng.uniform(-k, k, (out_dim, in_dim)), rng.uniform(-k, k, out_dim)
+        return (hashed_uniform(seed, f"{name}.W", (out_dim, in_dim), k),
+                hashed_uniform(seed, f"{name}.b", (out_dim,), k))
 
     p: dict[str, np.ndarray] = {}
     for name in _proj_names(cfg):
-        p[f"{name}.W"], p[f"{name}.b"] = lin(cfg.model_dim, cfg.embedding_dim)
+        p[f"{name}.W"], p[f"{name}.b"] = lin(name, cfg.model_dim, cfg.embedding_dim)
         p[f"{name}.g"] = np.ones(cfg.model_dim)
         p[f"{name}.beta"] = np.zeros(cfg.model_dim)
-    p["att.W1"], p["att.b1"] = lin(cfg.attention_dim, cfg.model_dim)
-    w2, b2 = lin(1, cfg.attention_dim)
+    p["att.W1"], p["att.b1"] = lin("att1", cfg.attention_dim, cfg.model_dim)
+    w2, b2 = lin("att2", 1, cfg.attention_dim)
     p["att.w2"], p["att.b2"] = w2[0], b2
-    p["cls.W1"], p["cls.b1"] = lin(cfg.classifier_hidden_dim, cfg.model_dim)
-    c2, c2b = lin(1, cfg.classifier_hidden_dim)
+    p["cls.W1"], p["cls.b1"] = lin("cls1", cfg.classifier_hidden_dim, cfg.model_dim)
+    c2, c2b = lin("cls2", 1, cfg.classifier_hidden_dim)
     p["cls.w2"], p["cls.b2"] = c2[0], c2b
     return p
 

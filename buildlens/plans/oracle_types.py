@@ -137,6 +137,13 @@ TYPES = {'attention_fuse': [('global_index', 'BIGINT'),
                    ('start_line', 'INTEGER'),
                    ('end_line', 'INTEGER'),
                    ('symbol_name', 'VARCHAR')],
+ 'fusion_predict': [('n', 'BIGINT'), ('error', 'DOUBLE')],
+ 'fusion_score': [('sample_id', 'VARCHAR'),
+                  ('label', 'INTEGER'),
+                  ('logit', 'DOUBLE'),
+                  ('probability', 'DOUBLE'),
+                  ('prediction', 'INTEGER'),
+                  ('attention', 'DOUBLE[]')],
  'half_round': [('vec_id', 'BIGINT'), ('embedding_half', 'FLOAT[]')],
  'hash_embedding': [('doc_id', 'BIGINT'), ('embedding', 'FLOAT[]')],
  'hash_embedding_udf': [('doc_id', 'BIGINT'), ('embedding', 'FLOAT[]')],

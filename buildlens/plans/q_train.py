@@ -10,6 +10,7 @@ from ..operators import fusion as FU
 from ..operators import metrics as M
 from ..operators.splits import assign_splits, first_n_samples, split_repos
 from ..sources.shards import repair_labels
+from . import duck as D
 from . import fixtures as FX
 
 QUERIES: dict = {}
@@ -56,22 +57,82 @@ def _cfg(dim: int) -> FU.FusionConfig:
     return FU.FusionConfig(embedding_dim=dim)
 
 
-@query("fusion_score")
+def _u(key_sql: str) -> str:
+    """DuckDB text of the md5-seeded uniform in [0, 1) used by ``fusion.hashed_uniform``."""
+    return f"(CAST(('0x' || substring(md5({key_sql}), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def _w(key_sql: str, fan_in: str) -> str:
+    return f"(({_u(key_sql)} * 2.0 - 1.0) * (1.0 / sqrt({fan_in})))"
+
+
+_FUSION_SQL = FX.duck_with(sx=FX.DUCK_SAMPLES).rstrip("\n") + f"""
+, s0 AS (SELECT *, {D.sample_id('repo', 'commit_sha', 'NULL', 'global_index')} AS sample_id FROM sx),
+nd AS (SELECT shard_index, bool_or(label IS NULL) AS needs FROM s0 GROUP BY shard_index),
+s AS (SELECT s0.global_index, s0.sample_id, CASE WHEN nd.needs THEN s0.sidecar_label ELSE s0.label END AS label,
+      message_embedding, diff_embedding, context_embedding FROM s0 JOIN nd USING (shard_index)),
+dims AS (SELECT max(len(message_embedding)) AS e FROM s),
+x AS (SELECT sample_id, 0 AS m, unnest(message_embedding) AS v, generate_subscripts(message_embedding, 1) - 1 AS c FROM s
+      UNION ALL SELECT sample_id, 1, unnest(diff_embedding), generate_subscripts(diff_embedding, 1) - 1 FROM s
+      UNION ALL SELECT sample_id, 2, unnest(context_embedding), generate_subscripts(context_embedding, 1) - 1 FROM s),
+mods AS (SELECT * FROM (VALUES (0, 'message'), (1, 'diff'), (2, 'context')) t(m, name)),
+rr AS (SELECT unnest(range(0, 128)) AS r),
+aa AS (SELECT unnest(range(0, 64)) AS a),
+cc AS (SELECT unnest(range(0, (SELECT e FROM dims))) AS c),
+pw AS (SELECT m, r, c, {_w("'0:' || name || '.W:' || r || ':' || c", "(SELECT e FROM dims)")} AS w FROM mods, rr, cc),
+pb AS (SELECT m, r, {_w("'0:' || name || '.b:' || r", "(SELECT e FROM dims)")} AS b FROM mods, rr),
+z AS (SELECT x.sample_id, x.m, pw.r, sum(x.v * pw.w) + max(pb.b) AS z FROM x JOIN pw ON pw.m = x.m AND pw.c = x.c
+      JOIN pb ON pb.m = pw.m AND pb.r = pw.r GROUP BY x.sample_id, x.m, pw.r),
+mu AS (SELECT *, avg(z) OVER (PARTITION BY sample_id, m) AS mu FROM z),
+ln AS (SELECT *, avg((z - mu) * (z - mu)) OVER (PARTITION BY sample_id, m) AS var FROM mu),
+h AS (SELECT sample_id, m, r, greatest((z - mu) * (1.0 / sqrt(var + 1e-5)), 0.0) AS h FROM ln),
+w1 AS (SELECT a, r, {_w("'0:att1.W:' || a || ':' || r", "128")} AS w FROM aa, rr),
+b1 AS (SELECT a, {_w("'0:att1.b:' || a", "128")} AS b FROM aa),
+pa AS (SELECT h.sample_id, h.m, w1.a, tanh(sum(h.h * w1.w) + max(b1.b)) AS t FROM h JOIN w1 ON w1.r = h.r
+       JOIN b1 ON b1.a = w1.a GROUP BY h.sample_id, h.m, w1.a),
+w2 AS (SELECT a, {_w("'0:att2.W:0:' || a", "64")} AS w FROM aa),
+sc AS (SELECT pa.sample_id, pa.m, sum(pa.t * w2.w) + {_w("'0:att2.b:0'", "64")} AS s FROM pa JOIN w2 USING (a)
+       GROUP BY pa.sample_id, pa.m),
+sx2 AS (SELECT sample_id, m, exp(s - max(s) OVER (PARTITION BY sample_id)) AS ex FROM sc),
+al AS (SELECT sample_id, m, ex / sum(ex) OVER (PARTITION BY sample_id) AS alpha FROM sx2),
+fu AS (SELECT h.sample_id, h.r, sum(al.alpha * h.h) AS f FROM h JOIN al USING (sample_id, m) GROUP BY h.sample_id, h.r),
+jj AS (SELECT unnest(range(0, 128)) AS j),
+c1 AS (SELECT j, r, {_w("'0:cls1.W:' || j || ':' || r", "128")} AS w FROM jj, rr),
+cb AS (SELECT j, {_w("'0:cls1.b:' || j", "128")} AS b FROM jj),
+q AS (SELECT fu.sample_id, c1.j, greatest(sum(fu.f * c1.w) + max(cb.b), 0.0) AS q FROM fu JOIN c1 ON c1.r = fu.r
+      JOIN cb ON cb.j = c1.j GROUP BY fu.sample_id, c1.j),
+c2 AS (SELECT j, {_w("'0:cls2.W:0:' || j", "128")} AS w FROM jj),
+lg AS (SELECT q.sample_id, sum(q.q * c2.w) + {_w("'0:cls2.b:0'", "128")} AS logit FROM q JOIN c2 USING (j)
+       GROUP BY q.sample_id),
+att AS (SELECT sample_id, list(round(alpha, 6) ORDER BY m) AS attention FROM al GROUP BY sample_id),
+scored AS (SELECT s.global_index, s.sample_id, CAST(s.label AS INTEGER) AS label, round(lg.logit, 6) AS logit,
+ round(1.0 / (1.0 + exp(-lg.logit)), 6) AS probability,
+ CAST(1.0 / (1.0 + exp(-lg.logit)) >= 0.5 AS INTEGER) AS prediction, att.attention
+FROM s JOIN lg USING (sample_id) JOIN att USING (sample_id))
+"""
+
+
+@query("fusion_score", _FUSION_SQL + "SELECT * EXCLUDE (global_index) FROM scored")
 def q_fusion_score(spark, sf_dir):
-    """Logits, probabilities, predictions and attention with seeded initial weights."""
+    """Logits, probabilities, predictions and attention with the md5-seeded initial weights
+    (values rounded to 6 places)."""
     s = training_samples(spark, sf_dir)
     dim = s.select(F.size("message_embedding")).first()[0]
-    return FU.score(s, FU.init_params(_cfg(dim), 0), _cfg(dim))
+    out = FU.score(s, FU.init_params(_cfg(dim), 0), _cfg(dim))
+    return out.select("sample_id", "label", F.round("logit", 6).alias("logit"),
+                      F.round("probability", 6).alias("probability"), "prediction",
+                      F.transform("attention", lambda a: F.round(a, 6)).alias("attention"))
 
 
-@query("fusion_predict")
+@query("fusion_predict", _FUSION_SQL + """SELECT count(*) AS n,
+ round(1.0 - avg(CAST(prediction = label AS DOUBLE)), 6) AS error FROM scored WHERE global_index < 200""")
 def q_fusion_predict(spark, sf_dir):
     """First N samples, no split; error = 1 - correct / n."""
     s = first_n_samples(training_samples(spark, sf_dir), 200)
     dim = s.select(F.size("message_embedding")).first()[0]
     scored = FU.score(s, FU.init_params(_cfg(dim), 0), _cfg(dim))
     return scored.agg(F.count(F.lit(1)).alias("n"),
-                      (1.0 - F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("error"))
+                      F.round(1.0 - F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("error"))
 
 
 @query("fusion_train_history")
