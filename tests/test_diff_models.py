@@ -60,3 +60,46 @@ def test_random_diffs_against_models(spark, diffs):
         assert got == hunks_model(stripped, len("f") + len(DF.FIELD_SEP)), t
         n, first = changed_model(stripped)
         assert (changed[f"c{i}"]["n_changed"], changed[f"c{i}"]["first"]) == (n, first), t
+
+
+def budget_model(files, per_file, total):
+    """Plain model of the diff budget: (text, kept paths, starts, original sum, truncated, found)."""
+    kept, starts, originals, cut, running = [], [], 0, False, 0
+    pieces = []
+    for path, diff in files:
+        if diff is None or not diff.strip():
+            continue
+        d = diff.strip()
+        r = d[:per_file]
+        cut = cut or len(d) > per_file
+        starts.append(sum(len(p) for p in pieces) + len(DF.DIFF_FILE_SEP) * len(pieces))
+        pieces.append(f"{path}{DF.FIELD_SEP}{r}")
+        kept.append(path)
+        originals += len(d)
+        running += len(pieces[-1])
+        if running >= total:
+            cut = True
+            break
+    return DF.DIFF_FILE_SEP.join(pieces), kept, starts, originals, cut, len(files)
+
+
+DIFF = st.one_of(st.none(), st.just("   "),
+                 st.lists(LINES, min_size=1, max_size=12).map(lambda ls: "\n".join(["diff --git a/x b/x"] + ls)))
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(DIFF, min_size=1, max_size=8), st.integers(min_value=10, max_value=120),
+       st.integers(min_value=1, max_value=400))
+def test_random_budgets_against_model(spark, diffs, per_file, total):
+    files = [(f"p{i}.txt", d) for i, d in enumerate(diffs)]
+    cf = spark.createDataFrame([("r", "c", i, p, None, d, None) for i, (p, d) in enumerate(files)],
+                               "repo string, commit_sha string, file_order int, path string, name_status string, "
+                               "diff_text string, content_after string")
+    rows = DF.diff_artifacts(cf, per_file, total).collect()
+    text, kept, starts, originals, cut, found = budget_model(files, per_file, total)
+    if not kept:
+        assert rows == [] or rows[0]["files_retained"] == 0
+        return
+    a = rows[0]
+    assert (a["text"], a["retained_file_order"], a["extraction_truncated"], a["files_found"]) == (text, kept, cut, found)
+    assert a["original_char_count"] == originals and [f["start_offset"] for f in a["files"]] == starts
