@@ -141,28 +141,29 @@ def read_shards(spark: SparkSession, path: str, glob: str = "*.parquet", require
 
 
 def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None) -> DataFrame:
-    """L1 with limit pushdown: the first ``n`` samples in shard order, reading only the
-    shards that hold them.
+    """L1 with limit pushdown: the first ``n`` samples in shard order (all when ``n`` is None),
+    reading only the shards that hold them, with their ``global_index``.
 
     ``entries`` is the manifest's (shard_index, num_samples) table -- one row
-    per shard.  Its running counts give the last shard needed (one number to
-    the driver), which becomes a literal filter on the ``shard_index``
-    partition column, so later shard folders are never listed or read.
-    The position of a row is the count before its shard plus its record index.
+    per shard.  Its running counts give each shard's offset; the last shard
+    needed is one number to the driver and becomes a literal filter on the
+    ``shard_index`` partition column, so later shard folders are never read.
+    A row's global index is its shard's offset plus its record index.
     """
-    if n is None:
-        return shards
-    if n < 0:
+    if n is not None and n < 0:
         raise ValueError("num_samples must be >= 0")
     w = Window.orderBy("shard_index").rowsBetween(Window.unboundedPreceding, -1)
     # one row per shard: a small, bounded table
     before = entries.select("shard_index", F.coalesce(F.sum("num_samples").over(w), F.lit(0)).alias("_before"))
-    last = before.where(F.col("_before") < n).agg(F.max("shard_index")).first()[0]
-    if last is None:
-        return shards.limit(0)
-    pruned = shards.where(F.col("shard_index") <= F.lit(int(last)))
-    return pruned.join(F.broadcast(before.where(F.col("shard_index") <= F.lit(int(last)))), "shard_index") \
-        .where(F.col("_before") + F.col("record_index") < n).drop("_before")
+    if n is not None:
+        last = before.where(F.col("_before") < n).agg(F.max("shard_index")).first()[0]
+        if last is None:
+            return shards.limit(0).withColumn("global_index", F.lit(None).cast("long"))
+        shards = shards.where(F.col("shard_index") <= F.lit(int(last)))
+        before = before.where(F.col("shard_index") <= F.lit(int(last)))
+    out = shards.join(F.broadcast(before), "shard_index") \
+        .withColumn("global_index", (F.col("_before") + F.col("record_index")).cast("long")).drop("_before")
+    return out if n is None else out.where(F.col("global_index") < n)
 
 
 def read_sidecar(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -163,3 +163,22 @@ def test_input_and_column_checks(spark, tmp_out):
     assert [(r["stage"], r["source_row_index"]) for r in failures.collect()] == [("input_validation", 0)]
     s = samples.first()
     assert s["diff"]["text"] == "" and s["context"]["text"] == "" and s["message"]["text"] == "m"
+
+
+def test_training_lifecycle_from_stored_shards(spark, tmp_out):
+    from buildlens.operators import fusion as FU
+    from buildlens.plans.training import load_samples, predict_fusion, train_forest
+    b = builds_git(spark, SF_SMALL)
+    run(spark, b, FX.commits(spark, SF_SMALL), FX.commit_files(spark, SF_SMALL), f"{tmp_out}/pre",
+        PreprocessConfig(shard_size=7))
+    loaded = load_samples(spark, f"{tmp_out}/pre", 30)
+    assert loaded.count() == 30
+    per_split = {r["split"]: r["n"] for r in train_forest(spark, f"{tmp_out}/pre", f"{tmp_out}/rf",
+                                                           num_trees=5, max_depth=4).collect()}
+    assert per_split.get("test", 0) > 0
+    assert spark.read.option("header", True).csv(f"{tmp_out}/rf/test_results").count() == per_split["test"]
+    dim = len(loaded.first()["message_embedding"])
+    cfg = FU.FusionConfig(embedding_dim=dim, model_dim=8, attention_dim=4, classifier_hidden_dim=8)
+    FU.save(spark, FU.init_params(cfg, 1), cfg, f"{tmp_out}/fusion")
+    r = predict_fusion(spark, f"{tmp_out}/pre", f"{tmp_out}/fusion", f"{tmp_out}/pred", 25).first()
+    assert r["n"] == 25 and 0.0 <= r["error"] <= 1.0
