@@ -182,3 +182,17 @@ def test_training_lifecycle_from_stored_shards(spark, tmp_out):
     FU.save(spark, FU.init_params(cfg, 1), cfg, f"{tmp_out}/fusion")
     r = predict_fusion(spark, f"{tmp_out}/pre", f"{tmp_out}/fusion", f"{tmp_out}/pred", 25).first()
     assert r["n"] == 25 and 0.0 <= r["error"] <= 1.0
+
+
+def test_scoped_conf_restores_settings(spark):
+    import pytest
+    from buildlens.session import scoped_conf
+    key_set, key_unset = "spark.sql.shuffle.partitions", "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key_set)
+    spark.conf.unset(key_unset)
+    default = spark.conf.get(key_unset)
+    with pytest.raises(RuntimeError):
+        with scoped_conf(spark, {key_set: 3, key_unset: 5000}):
+            assert spark.conf.get(key_set) == "3" and spark.conf.get(key_unset) == "5000"
+            raise RuntimeError("boom")
+    assert spark.conf.get(key_set) == before and spark.conf.get(key_unset) == default
