@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["token_files", "byte_bpe", "line_dedup", "ngram_join", "decontaminate"]
+MODULES = ["toxicity", "token_files", "byte_bpe", "line_dedup", "decontaminate", "ngram_join"]
 
 
 def _modules():
