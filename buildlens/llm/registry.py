@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["toxicity", "secrets", "vector_dedup", "token_files", "byte_bpe", "line_dedup", "language", "decontaminate", "ngram_join"]
+MODULES = ["toxicity", "secrets", "vector_dedup", "token_files", "byte_bpe", "suffix_dedup", "line_dedup", "language", "decontaminate", "ngram_join"]
 
 
 def _modules():
