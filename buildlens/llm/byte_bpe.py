@@ -215,16 +215,22 @@ def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str
     return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(decode, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))
 
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def token_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, from its ids and from what they decode to."""
+    if ranks is None:
+        import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text")
+        ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_documents(docs.select("doc_id", "text"), ranks).drop("text")
     coded = coded.select("doc_id", F.col("ids"), F.size("ids").cast("long").alias("n_tokens"),
                          F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
     return decode_documents(coded, ranks).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op5_byte_bpe": op5_byte_bpe}
 ORACLES: dict[str, str] = {}
