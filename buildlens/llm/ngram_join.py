@@ -137,27 +137,37 @@ def parity_bitmaps(hashes: np.ndarray, off: np.ndarray) -> list[bytes]:
     return out
 
 
-def may_match(bits: list[np.ndarray], sizes: np.ndarray, kind: np.ndarray, num: int, den: int):
-    """(i, j) of pairs of different ``kind`` that neither size nor parity rules out; blocks of pairs."""
-    width = np.array([len(b) for b in bits])
-    order = np.argsort(sizes, kind="stable")
-    for at, i in enumerate(order.tolist()):
-        stop = int(np.searchsorted(sizes[order], sizes[i] * den // num, side="right"))
-        near = order[at + 1:stop]
-        near = near[kind[near] != kind[i]]
-        if not len(near):
-            continue
-        most = (sizes[near] + sizes[i]) * (den - num) // (den + num)
-        ok = np.zeros(len(near), bool)
-        for w in np.unique(width[near]):
-            same = np.flatnonzero(width[near] == w)
-            small = min(int(w), len(bits[i]))
-            fold = lambda m: np.bitwise_xor.reduce(m.reshape(*m.shape[:-1], -1, small // 8), axis=-2)
-            for cut in range(0, len(same), 4096):
-                some = same[cut:cut + 4096]
-                theirs = fold(np.stack([bits[j] for j in near[some]]).view(U64))
-                ok[some] = np.bitwise_count(theirs ^ fold(bits[i].view(U64))).sum(axis=1) <= most[some]
-        yield i, near[ok]
+class Parities:
+    """The parity bitmaps of some nodes, by width, for tests of many pairs at once."""
+
+    def __init__(self, bits: list[bytes], sizes: np.ndarray, num: int, den: int):
+        self.sizes, self.num, self.den = sizes, num, den
+        self.width = np.array([len(b) for b in bits])
+        self.place, self.rows = np.zeros(len(bits), np.int64), {}
+        for w in np.unique(self.width):
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[int(w)] = np.frombuffer(b"".join([bits[i] for i in own]), U64).reshape(len(own), -1)
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether neither size nor parity rules the pairs (a, b) out."""
+        x, y = self.sizes[a], self.sizes[b]
+        ok = np.minimum(x, y) * self.den >= self.num * np.maximum(x, y)
+        at = np.flatnonzero(ok)
+        most = (x[at] + y[at]) * (self.den - self.num) // (self.den + self.num)
+        wa, wb = self.width[a[at]], self.width[b[at]]
+        for w, v in {(int(p), int(q)) for p, q in zip(*np.unique(np.stack([wa, wb]), axis=1), strict=True)}:
+            pick = np.flatnonzero((wa == w) & (wb == v))
+            step = max(1, (1 << 22) // max(w, v))
+            for cut in range(0, len(pick), step):
+                some = pick[cut:cut + step]
+                one, two = self.rows[w][self.place[a[at[some]]]], self.rows[v][self.place[b[at[some]]]]
+                while one.shape[1] > two.shape[1]:  # a wider bitmap folds onto a narrower one
+                    one = one[:, :one.shape[1] // 2] ^ one[:, one.shape[1] // 2:]
+                while two.shape[1] > one.shape[1]:
+                    two = two[:, :two.shape[1] // 2] ^ two[:, two.shape[1] // 2:]
+                ok[at[some]] = np.bitwise_count(one ^ two).sum(axis=1) <= most[some]
+        return ok
 
 
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -371,26 +381,57 @@ def _cross(members: DataFrame, comp: DataFrame, reps: DataFrame, num: int, den:
         .select("grp", "node", "component", "n", "parity")
 
     def pairs(batches):
-        name, held = None, []
+        held, n = [], 0
         for batch in batches:
-            for r in zip(*batch.to_pydict().values(), strict=True):
-                if r[0] != name:
-                    yield from _pairs(held, num, den)
-                    name, held = r[0], []
-                held.append(r)
-        yield from _pairs(held, num, den)
+            held.append(batch)
+            n += len(batch)
+            if n >= 60_000:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                group = rows.column("grp").to_numpy()
+                last = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0  # a group is kept whole
+                if last:
+                    yield from _pairs(rows.slice(0, last), num, den)
+                held = rows.slice(last).to_batches()
+                n = sum(map(len, held))
+        if n:
+            yield from _pairs(pa.Table.from_batches(held).combine_chunks(), num, den)
 
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(pairs, "a long, b long")
 
 
-def _pairs(rows: list, num: int, den: int):
-    if len(rows) < 2:
-        return
-    node, component = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    sizes, bits = np.array([r[3] for r in rows]), [np.frombuffer(r[4], np.uint8) for r in rows]
-    for i, near in may_match(bits, sizes, component, num, den):
-        if len(near):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), node[i])), pa.array(node[near])], ["a", "b"])
+def _pairs(rows: pa.Table, num: int, den: int):
+    """Pairs of different components inside the groups of ``rows`` (in order of group), each once."""
+    nodes, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+    known, first, which = np.unique(nodes, return_index=True, return_inverse=True)
+    bits = rows.column("parity").take(pa.array(first)).to_pylist()
+    test = Parities(bits, rows.column("n").to_numpy()[first], num, den)
+    component = component[first]
+    group = rows.column("grp").to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(begin, len(group)))
+    for m in np.unique(count).tolist():
+        starts = begin[count == m]
+        if m <= 512:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, 2_000_000 // max(1, len(i)))
+            for cut in range(0, len(starts), step):
+                members = which[starts[cut:cut + step, None] + np.arange(m)]
+                yield from _possible(members[:, i].ravel(), members[:, j].ravel(), known, component, test)
+        else:  # one member against the rest at a time
+            for start in starts.tolist():
+                members = which[start:start + m]
+                for k in range(m - 1):
+                    yield from _possible(np.full(m - 1 - k, members[k]), members[k + 1:], known, component, test)
+
+
+def _possible(a: np.ndarray, b: np.ndarray, known: np.ndarray, component: np.ndarray, test: Parities):
+    apart = component[a] != component[b]
+    a, b = a[apart], b[apart]
+    pair = np.unique(np.minimum(a, b).astype(U64) << U64(32) | np.maximum(a, b).astype(U64))
+    a, b = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+    ok = test.possible(a, b)
+    if ok.any():
+        yield pa.RecordBatch.from_arrays([pa.array(known[a[ok]]), pa.array(known[b[ok]])], ["a", "b"])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
