@@ -50,7 +50,7 @@ def split_by_commit_availability(builds: DataFrame, commits: DataFrame) -> tuple
     keys = commits.select("repo", "commit_sha").distinct()
     ok = builds.join(keys, ["repo", "commit_sha"], "left_semi")
     missing = builds.join(keys, ["repo", "commit_sha"], "left_anti")
-    failures = row_failures(missing, "commit_fetch",
+    failures = row_failures(missing, "sample_processing",
                             F.concat(F.lit("Could not fetch commit "), F.col("commit_sha")))
     return ok, failures
 

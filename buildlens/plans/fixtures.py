@@ -32,7 +32,7 @@ _BUILDS_GIT_REPO = "concat('repo', cast(source_row_index % 20 AS string))"
 _COMMITS_BODY = """
 SELECT concat('repo', cast(cast(floor(doc_id / 5) AS bigint) % 20 AS string)) AS repo,
  concat('c', cast(cast(floor(doc_id / 5) AS bigint) AS string)) AS commit_sha,
- concat('  ', substring(text, 1, 80), chr(10)) AS message
+ concat('  ', text, chr(10)) AS message
 FROM {documents} WHERE doc_id % 5 = 0
 """
 
@@ -63,7 +63,7 @@ _SAMPLES_BODY = """
 SELECT e.vec_id AS global_index, cast(floor(e.vec_id / 100) AS int) AS shard_index,
  cast(e.vec_id % 100 AS int) AS record_index,
  concat('repo', cast((e.vec_id * e.vec_id) % 23 AS string)) AS repo, concat('c', cast(e.vec_id AS string)) AS commit_sha,
- CASE WHEN e.vec_id % 13 = 0 THEN NULL ELSE e.label % 2 END AS label, e.label % 2 AS sidecar_label,
+ CASE WHEN e.vec_id % 13 = 0 THEN NULL ELSE e.label % 2 END AS label, CASE WHEN e.vec_id % 5 = 0 THEN 1 - e.label % 2 ELSE e.label % 2 END AS sidecar_label,
  e.embedding AS message_embedding, d.embedding AS diff_embedding, c.embedding AS context_embedding
 FROM (SELECT vec_id, embedding, label, (SELECT count(*) FROM {embeddings}) AS n FROM {embeddings}) e
 JOIN {embeddings} d ON d.vec_id = (e.vec_id + 1) % e.n

@@ -161,7 +161,7 @@ def _git_parts(spark, sf_dir):
 
 
 @query("missing_commits", _W_BUILDS_GIT + """
-SELECT 'commit_fetch' AS stage, b.repo, b.commit_sha, b.source_row_index, b.build_id, b.parent_commit_sha,
+SELECT 'sample_processing' AS stage, b.repo, b.commit_sha, b.source_row_index, b.build_id, b.parent_commit_sha,
  b.sample_id, 'Could not fetch commit ' || b.commit_sha AS error
 FROM builds b WHERE NOT EXISTS (SELECT 1 FROM commits c WHERE c.repo = b.repo AND c.commit_sha = b.commit_sha)""")
 def q_missing_commits(spark, sf_dir):
@@ -270,7 +270,7 @@ def q_repo_failures(spark, sf_dir):
 
 
 @query("failure_log", _W_BUILDS_GIT + """
-SELECT 'commit_fetch' AS stage, b.repo, b.commit_sha, b.source_row_index, b.build_id, b.parent_commit_sha,
+SELECT 'sample_processing' AS stage, b.repo, b.commit_sha, b.source_row_index, b.build_id, b.parent_commit_sha,
  b.sample_id, 'Could not fetch commit ' || b.commit_sha AS error
 FROM builds b WHERE NOT EXISTS (SELECT 1 FROM commits c WHERE c.repo = b.repo AND c.commit_sha = b.commit_sha)""")
 def q_failure_log(spark, sf_dir):

@@ -48,7 +48,7 @@ def q_preprocess_samples(spark, sf_dir):
 
 
 @query("preprocess_failures", _W_BUILDS_GIT + """
-SELECT 'commit_fetch' AS stage, count(*) AS n FROM builds b
+SELECT 'sample_processing' AS stage, count(*) AS n FROM builds b
 WHERE NOT EXISTS (SELECT 1 FROM commits c WHERE c.repo = b.repo AND c.commit_sha = b.commit_sha)""")
 def q_preprocess_failures(spark, sf_dir):
     """F1 via the full chain: failure records per stage."""

@@ -246,7 +246,7 @@ def q_sidecar_alignment(spark, sf_dir):
 
 @query("label_repair", _W_SAMPLES + """
 , n AS (SELECT shard_index, bool_or(label IS NULL) AS needs FROM s GROUP BY shard_index)
-SELECT s.global_index, CASE WHEN n.needs THEN s.sidecar_label ELSE s.label END AS label_repaired,
+SELECT s.global_index, CASE WHEN s.label IS NULL THEN s.sidecar_label ELSE s.label END AS label_repaired,
  n.needs AND s.sidecar_label IS NULL AS label_error FROM s JOIN n USING (shard_index)""")
 def q_label_repair(spark, sf_dir):
     return SH.repair_labels(FX.samples_fx(spark, sf_dir)).select("global_index", "label_repaired", "label_error")

@@ -69,7 +69,7 @@ def _w(key_sql: str, fan_in: str) -> str:
 _FUSION_SQL = FX.duck_with(sx=FX.DUCK_SAMPLES).rstrip("\n") + f"""
 , s0 AS (SELECT *, {D.sample_id('repo', 'commit_sha', 'NULL', 'global_index')} AS sample_id FROM sx),
 nd AS (SELECT shard_index, bool_or(label IS NULL) AS needs FROM s0 GROUP BY shard_index),
-s AS (SELECT s0.global_index, s0.sample_id, CASE WHEN nd.needs THEN s0.sidecar_label ELSE s0.label END AS label,
+s AS (SELECT s0.global_index, s0.sample_id, CASE WHEN s0.label IS NULL THEN s0.sidecar_label ELSE s0.label END AS label,
       message_embedding, diff_embedding, context_embedding FROM s0 JOIN nd USING (shard_index)),
 dims AS (SELECT max(len(message_embedding)) AS e FROM s),
 x AS (SELECT sample_id, 0 AS m, unnest(message_embedding) AS v, generate_subscripts(message_embedding, 1) - 1 AS c FROM s

@@ -1,6 +1,6 @@
 """Model runs over stored shards: the training and prediction lifecycles.
 
-    shards (+ sidecar labels) -> first N (L1, shard pruning) -> label repair (J5) ->
+    shards (+ sidecar labels) -> shards of the first N (L1) -> label repair (J5) -> first N ->
     repo split (G10) -> features (P11) -> fit (M5/M6) -> metrics, confusion,
     result table (M1-M4) -> checkpoint (S16, S17)
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import forest as RF
 from ..operators import fusion as FU
 from ..operators import metrics as M
+from ..operators.splits import first_n_samples
 from ..sources import shards as SH
 
 
@@ -23,7 +24,7 @@ def load_samples(spark: SparkSession, out_dir: str, num_samples: int | None = No
     shards = SH.read_shards(spark, f"{out_dir}/shards", require_files=True)
     entries = spark.read.schema("shard_index int, num_samples long, shard_name string").json(
         f"{out_dir}/manifest_shards")
-    first = SH.first_n_from_shards(shards, entries, num_samples)
+    first = SH.first_n_from_shards(shards, entries, num_samples, whole_shards=True)
     side = spark.read.schema("shard_index int, record_index int, label int").json(f"{out_dir}/sidecar") \
         .withColumnRenamed("label", "sidecar_label")
     joined = first.join(side, ["shard_index", "record_index"], "left")
@@ -31,7 +32,8 @@ def load_samples(spark: SparkSession, out_dir: str, num_samples: int | None = No
     bad = repaired.where("label_error").limit(1).count()
     if bad:
         raise ValueError("a shard with missing labels has no sidecar label to repair them")
-    return repaired.drop("label", "sidecar_label", "label_error").withColumnRenamed("label_repaired", "label")
+    repaired = repaired.drop("label", "sidecar_label", "label_error").withColumnRenamed("label_repaired", "label")
+    return first_n_samples(repaired, num_samples)
 
 
 def train_forest(spark: SparkSession, out_dir: str, model_dir: str, num_samples: int | None = None,

@@ -19,7 +19,6 @@ DEFAULT_LABEL_COL = "tr_status"
 DEFAULT_BUILD_ID_COL = "tr_build_id"
 DEFAULT_PARENT_COL = "git_prev_built_commit"
 
-BROADCAST_REPO_LIMIT = 100_000
 LOG = logging.getLogger(__name__)
 
 BUILDS_SCHEMA = T.StructType([
@@ -65,9 +64,11 @@ def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnR
     distributed global index -- no single-task pass over the table.
     """
     check_input_exists(spark, path)
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST") \
+    # doubled quotes, quoted line ends and short rows (NULL at the end) are ordinary CSV
+    raw = spark.read.schema(schema).option("header", True) \
+        .option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE") \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .option("nullValue", "\u0000never\u0000").option("emptyValue", "").csv(path)
     na = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
@@ -186,7 +187,7 @@ def repo_groups(builds: DataFrame, num_partitions: int | None = None) -> DataFra
 def first_repos(builds: DataFrame, max_repos: int | None) -> DataFrame:
     """Keep the first ``max_repos`` repos in ascending name order.
 
-    The kept repo list is at most ``max_repos`` rows, so it is broadcast.
+    The kept list has at most ``max_repos`` rows; Spark picks the join by its size.
     """
     if max_repos is None:
         return builds
@@ -194,5 +195,4 @@ def first_repos(builds: DataFrame, max_repos: int | None) -> DataFrame:
         raise ValueError("max_repos must be >= 0")
     kept = builds.select("repo").where(F.col("repo").isNotNull()).distinct() \
         .orderBy("repo").limit(max_repos)
-    # the kept list has at most max_repos rows: broadcast it only while that bound is small
-    return builds.join(F.broadcast(kept) if max_repos <= BROADCAST_REPO_LIMIT else kept, "repo", "left_semi")
+    return builds.join(kept, "repo", "left_semi")

@@ -140,8 +140,8 @@ def read_shards(spark: SparkSession, path: str, glob: str = "*.parquet", require
     return spark.read.schema(SHARD_SCHEMA).option("pathGlobFilter", glob).parquet(path)
 
 
-def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None) -> DataFrame:
-    """L1 with limit pushdown: the first ``n`` samples in shard order (all when ``n`` is None),
+def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None, whole_shards: bool = False) -> DataFrame:
+    """L1 with limit pushdown (``whole_shards``: all rows of the shards that hold them): the first ``n`` samples in shard order (all when ``n`` is None),
     reading only the shards that hold them, with their ``global_index``.
 
     ``entries`` is the manifest's (shard_index, num_samples) table -- one row
@@ -161,9 +161,9 @@ def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None) ->
             return shards.limit(0).withColumn("global_index", F.lit(None).cast("long"))
         shards = shards.where(F.col("shard_index") <= F.lit(int(last)))
         before = before.where(F.col("shard_index") <= F.lit(int(last)))
-    out = shards.join(F.broadcast(before), "shard_index") \
+    out = shards.join(before, "shard_index") \
         .withColumn("global_index", (F.col("_before") + F.col("record_index")).cast("long")).drop("_before")
-    return out if n is None else out.where(F.col("global_index") < n)
+    return out if n is None or whole_shards else out.where(F.col("global_index") < n)
 
 
 def read_sidecar(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -287,16 +287,15 @@ def sidecar_alignment(payload: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 
 def repair_labels(samples: DataFrame, label: str = "label", sidecar_label: str = "sidecar_label") -> DataFrame:
-    """In shards that hold a missing label, labels come from the sidecar.
+    """Missing labels come from the sidecar; labels that are there stay.
 
-    ``label_error`` marks rows of such shards whose sidecar label is missing
-    too (training refuses such shards).
+    ``label_error`` marks rows without a sidecar label in shards that hold a
+    gap (training refuses such shards).  Only one flag per shard is aggregated.
     """
-    w = Window.partitionBy("shard_index")
-    needs = F.max(F.col(label).isNull().cast("int")).over(w) == 1
-    return samples.withColumn("_needs", needs).select(
-        "*", F.when(F.col("_needs"), F.col(sidecar_label)).otherwise(F.col(label)).alias("label_repaired"),
-        (F.col("_needs") & F.col(sidecar_label).isNull()).alias("label_error")).drop("_needs")
+    gaps = samples.groupBy("shard_index").agg(F.bool_or(F.col(label).isNull()).alias("_needs"))
+    return samples.join(gaps, "shard_index").select(
+        *samples.columns, F.coalesce(label, sidecar_label).alias("label_repaired"),
+        (F.col("_needs") & F.col(sidecar_label).isNull()).alias("label_error"))
 
 
 # ------------------------------------------------------------------ S8 / G6 / G7
