@@ -311,16 +311,20 @@ def diff_artifacts(commit_files: DataFrame, max_per_file: int = MAX_DIFF_CHARS_P
         F.bool_or("truncated").alias("_any_cut"))
     text = F.array_join(F.transform("_s", lambda e: F.concat(e["path"], F.lit(FIELD_SEP), e["retained_diff"])),
                         DIFF_FILE_SEP)
-    out = per_commit.join(found, KEYS, "inner").select(
-        *KEYS, text.alias("text"),
-        F.lit("diff").alias("source_type"), "files_found", "files_retained", "original_char_count",
-        F.length(text).alias("retained_char_count"),
-        (F.col("_any_cut") | (F.col("_sum_len") >= max_total)).alias("extraction_truncated"),
-        F.transform("_s", lambda e: e["path"]).alias("retained_file_order"))
+    # a commit whose diffs are all blank keeps an artifact: no text, its files counted
+    out = found.join(per_commit, KEYS, "left").select(
+        *KEYS, F.coalesce(text, F.lit("")).alias("text"),
+        F.lit("diff").alias("source_type"), "files_found",
+        F.coalesce("files_retained", F.lit(0)).alias("files_retained"),
+        F.coalesce("original_char_count", F.lit(0)).alias("original_char_count"),
+        F.coalesce(F.length(text), F.lit(0)).alias("retained_char_count"),
+        F.coalesce(F.col("_any_cut") | (F.col("_sum_len") >= max_total), F.lit(False)).alias("extraction_truncated"),
+        F.coalesce(F.transform("_s", lambda e: e["path"]), F.array().cast("array<string>")).alias("retained_file_order"))
     if not with_files:
         return out
     fa = file_metadata(prep, kept)
-    return out.join(fa, KEYS, "left").select(*out.columns, "files")
+    kind = fa.schema["files"].dataType
+    return out.join(fa, KEYS, "left").select(*out.columns, F.coalesce("files", F.array().cast(kind)).alias("files"))
 
 
 def file_metadata(files: DataFrame, kept: DataFrame) -> DataFrame:

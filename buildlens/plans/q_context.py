@@ -110,12 +110,13 @@ def commit_files(spark, sf_dir):
 
 
 @query("changed_lines", duck_changed() + f"""
-SELECT {K}, max(n_changed) AS n_changed, list(line_no ORDER BY k) FILTER (WHERE k <= 20) AS first_changed
-FROM ch GROUP BY ALL""")
+SELECT cf.repo, cf.commit_sha, cf.file_order, coalesce(max(n_changed), 0) AS n_changed,
+ coalesce(list(line_no ORDER BY k) FILTER (WHERE k <= 20), []) AS first_changed
+FROM cf LEFT JOIN ch USING (repo, commit_sha, file_order) WHERE cf.diff_text IS NOT NULL GROUP BY ALL""")
 def q_changed_lines(spark, sf_dir):
     cf = commit_files(spark, sf_dir).where(F.col("diff_text").isNotNull())
     c = cf.select(*KEYS, "file_order", CX.changed_new_lines(F.col("diff_text")).alias("c"))
-    return c.where("c.n_changed > 0").select(*KEYS, "file_order", F.col("c.n_changed").cast("long").alias("n_changed"),
+    return c.select(*KEYS, "file_order", F.col("c.n_changed").cast("long").alias("n_changed"),
                                              F.col("c.first").alias("first_changed"))
 
 
@@ -176,23 +177,25 @@ def q_signature_lines(spark, sf_dir):
 
 def _context_text_sql(cap: int) -> str:
     return duck_kept_context(cap) + """
-SELECT repo, commit_sha, string_agg(prefix || chr(10) || '<FIELD_SEP>' || chr(10) || ret,
-  chr(10) || '<CONTEXT_SEP>' || chr(10) ORDER BY rk) AS text FROM kc GROUP BY ALL"""
+, t AS (SELECT repo, commit_sha, string_agg(prefix || chr(10) || '<FIELD_SEP>' || chr(10) || ret,
+  chr(10) || '<CONTEXT_SEP>' || chr(10) ORDER BY rk) AS text FROM kc GROUP BY ALL)
+SELECT f.repo, f.commit_sha, coalesce(t.text, '') AS text FROM (SELECT DISTINCT repo, commit_sha FROM cf) f
+LEFT JOIN t USING (repo, commit_sha)"""
 
 
 @query("context_text", _context_text_sql(150000))
 def q_context_text(spark, sf_dir):
     a = CX.context_artifacts(commit_files(spark, sf_dir))
-    return a.where("regions_retained > 0").select(*KEYS, "text")
+    return a.select(*KEYS, "text")
 
 
 @query("context_text_capped", _context_text_sql(6000))
 def q_context_text_capped(spark, sf_dir):
     a = CX.context_artifacts(commit_files(spark, sf_dir), max_total=6000)
-    return a.where("regions_retained > 0").select(*KEYS, "text")
+    return a.select(*KEYS, "text")
 
 
-@query("context_regions", duck_kept_context(6000) + """
+@query("context_regions", duck_kept_context(150000) + """
 SELECT repo, commit_sha, path AS file_path, start_line, end_line, extraction_method, min(symbol_name) AS symbol_name,
  list(DISTINCT line_no ORDER BY line_no) AS triggering_changed_lines, bool_or(cut) AS truncated,
  count(*) AS n_occurrences, min(so) AS first_start_offset, min(rk) AS first_rank,
@@ -200,7 +203,7 @@ SELECT repo, commit_sha, path AS file_path, start_line, end_line, extraction_met
 FROM kc GROUP BY repo, commit_sha, path, start_line, end_line, ret, extraction_method""")
 def q_context_regions(spark, sf_dir):
     files = CX.prepare_context_files(commit_files(spark, sf_dir))
-    kept = CX.select_context_budget(CX.context_snippets(files), 6000)
+    kept = CX.select_context_budget(CX.context_snippets(files))
     r = CX.merge_regions(kept)
     return r.select(*KEYS, "file_path", "start_line", "end_line", "extraction_method", "symbol_name",
                     "triggering_changed_lines", "truncated", F.size("occurrences").cast("long").alias("n_occurrences"),
@@ -208,7 +211,7 @@ def q_context_regions(spark, sf_dir):
                     F.col("first_rank").cast("long").alias("first_rank"), "retained_char_count")
 
 
-@query("context_provenance", duck_kept_context(6000) + """
+@query("context_provenance", duck_kept_context(150000) + """
 , merged AS (SELECT repo, commit_sha, min(length(text)) AS orig FROM kc
    GROUP BY repo, commit_sha, path, start_line, end_line, ret, extraction_method),
 agg AS (SELECT repo, commit_sha, count(*) AS regions_retained, sum(orig) AS original_char_count FROM merged GROUP BY ALL),
@@ -222,7 +225,7 @@ SELECT fl.repo, fl.commit_sha, coalesce(agg.regions_retained, 0) AS regions_reta
 FROM fl LEFT JOIN agg USING (repo, commit_sha) LEFT JOIN txt USING (repo, commit_sha)
 LEFT JOIN capinfo c USING (repo, commit_sha)""")
 def q_context_provenance(spark, sf_dir):
-    a = CX.context_artifacts(commit_files(spark, sf_dir), max_total=6000)
+    a = CX.context_artifacts(commit_files(spark, sf_dir))
     return a.select(*KEYS, F.col("regions_retained").cast("long").alias("regions_retained"),
                     F.col("original_char_count").cast("long").alias("original_char_count"),
                     F.col("retained_char_count").cast("long").alias("retained_char_count"), "extraction_truncated")

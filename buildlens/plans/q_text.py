@@ -126,8 +126,10 @@ def q_name_status(spark, sf_dir):
 
 def _diff_text_sql(cap: int) -> str:
     return duck_kept(cap) + f"""
-SELECT repo, commit_sha, string_agg(path || {SEP_FIELD} || ret, {SEP_DIFF} ORDER BY file_order) AS text FROM k
-GROUP BY repo, commit_sha"""
+, t AS (SELECT repo, commit_sha, string_agg(path || {SEP_FIELD} || ret, {SEP_DIFF} ORDER BY file_order) AS text FROM k
+  GROUP BY repo, commit_sha)
+SELECT f.repo, f.commit_sha, coalesce(t.text, '') AS text FROM (SELECT DISTINCT repo, commit_sha FROM p) f
+LEFT JOIN t USING (repo, commit_sha)"""
 
 
 @query("diff_text", _diff_text_sql(100000))
@@ -141,25 +143,27 @@ def q_diff_text_capped(spark, sf_dir):
         .select(*DF.KEYS, "text")
 
 
-@query("diff_offsets", duck_kept(6000) + """
+@query("diff_offsets", duck_kept(100000) + """
 SELECT repo, commit_sha, file_order, so AS start_offset, deo AS end_offset, dso AS diff_start_offset,
  deo AS diff_end_offset FROM k""")
 def q_diff_offsets(spark, sf_dir):
-    kept = DF.select_diff_budget(DF.prepare_diff_files(commit_files(spark, sf_dir)), 6000)
+    kept = DF.select_diff_budget(DF.prepare_diff_files(commit_files(spark, sf_dir)))
     return kept.select(*DF.KEYS, "file_order", "start_offset", "end_offset", "diff_start_offset", "diff_end_offset")
 
 
-@query("diff_provenance", duck_kept(6000) + """
+@query("diff_provenance", duck_kept(100000) + """
 , fnd AS (SELECT repo, commit_sha, count(*) AS files_found FROM p GROUP BY repo, commit_sha),
 agg AS (SELECT repo, commit_sha, count(*) AS files_retained, sum(orig) AS original_char_count,
   length(string_agg(path || chr(10) || '<FIELD_SEP>' || chr(10) || ret, chr(10) || '<DIFF_FILE_SEP>' || chr(10)
     ORDER BY file_order)) AS retained_char_count,
-  bool_or(cut) OR sum(slen) >= 6000 AS extraction_truncated, list(path ORDER BY file_order) AS retained_file_order
+  bool_or(cut) OR sum(slen) >= 100000 AS extraction_truncated, list(path ORDER BY file_order) AS retained_file_order
   FROM k GROUP BY repo, commit_sha)
-SELECT agg.repo, agg.commit_sha, 'diff' AS source_type, fnd.files_found, files_retained, original_char_count,
- retained_char_count, extraction_truncated, retained_file_order FROM agg JOIN fnd USING (repo, commit_sha)""")
+SELECT fnd.repo, fnd.commit_sha, 'diff' AS source_type, fnd.files_found, coalesce(files_retained, 0) AS files_retained,
+ coalesce(original_char_count, 0) AS original_char_count, coalesce(retained_char_count, 0) AS retained_char_count,
+ coalesce(extraction_truncated, false) AS extraction_truncated, coalesce(retained_file_order, []) AS retained_file_order
+FROM fnd LEFT JOIN agg USING (repo, commit_sha)""")
 def q_diff_provenance(spark, sf_dir):
-    a = DF.diff_artifacts(commit_files(spark, sf_dir), max_total=6000, with_files=False)
+    a = DF.diff_artifacts(commit_files(spark, sf_dir), with_files=False)
     return a.select(*DF.KEYS, "source_type", "files_found", "files_retained", "original_char_count",
                     "retained_char_count", "extraction_truncated", "retained_file_order")
 
