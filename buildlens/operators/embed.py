@@ -4,9 +4,9 @@ The embedder is pluggable: anything with ``metadata()`` and
 ``embed(list[str]) -> (n, dim) float array`` runs as an iterator pandas UDF
 (Arrow batches; the model is built once per task).  The built-in
 ``HashingEmbedder`` needs no model files: whitespace tokens are hashed with
-md5 into ``dim`` signed buckets and mean-pooled.  The same arithmetic is
-also available as a native Column expression (``hash_embedding``) so it can
-run without Python workers and be checked against SQL.
+md5 into ``dim`` signed buckets and mean-pooled.  ``with_hash_embedding`` does
+the same with Spark's own tokenising and hashing and one numpy scatter-add per
+Arrow batch.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,40 +42,37 @@ def token_metadata(text: Column, max_length: int = DEFAULT_MAX_LENGTH) -> Column
                     (n > max_length).alias("was_tokenizer_truncated"))
 
 
-# ------------------------------------------------------------------ E2 / E3 native
+# ------------------------------------------------------------------ E2 / E3: hashing
 def hashed_tokens(text: Column, dim: int, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
-    """Retained tokens as struct(b = bucket, s = sign): bucket = first 8 hex digits of
-    md5(token) mod dim; sign = -1 when the 9th hex digit is odd."""
+    """Retained tokens as ints, 2 * bucket + (1 for a negative sign): bucket = first 8 hex
+    digits of md5(token) mod dim; the sign is negative when the 9th hex digit is odd."""
     toks = F.slice(whitespace_tokens(text), 1, max_length - SPECIAL_TOKENS)
     # v = first 9 hex digits: v >> 4 is the first 8 (bucket), v & 1 the parity of the 9th (sign)
     values = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long"))
-    return F.transform(values, lambda v: F.struct(
-        (F.shiftright(v, 4) % dim).cast("int").alias("b"),
-        (F.lit(1.0) - F.lit(2.0) * v.bitwiseAND(F.lit(1))).alias("s")))
+    return F.transform(values, lambda v: (F.lit(2) * (F.shiftright(v, 4) % dim) + v.bitwiseAND(F.lit(1))).cast("int"))
 
 
 def pooled_vector(hashed: Column, dim: int) -> Column:
-    """Mean of the signed one-hot token vectors: sum per bucket / max(token count, 1).
+    """Mean of the signed one-hot token vectors, sum per bucket / max(token count, 1).
 
-    ``hashed`` must be a column reference: it is read inside the per-bucket
-    lambda, so an inline expression would be re-evaluated per bucket.
+    One scatter-add per Arrow batch: the work is one step per token, whatever ``dim`` is.
     """
-    denom = F.greatest(F.size(hashed), F.lit(1)).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.aggregate(
-        F.filter(hashed, lambda h: h["b"] == d), F.lit(0.0), lambda acc, h: acc + h["s"]) / denom).cast("float"))
+
+    @F.arrow_udf(T.ArrayType(T.FloatType(), False))
+    def pool(batch: pa.Array) -> pa.Array:
+        codes, size = batch.flatten().to_numpy(zero_copy_only=False), np.diff(batch.offsets.to_numpy())
+        row = np.repeat(np.arange(len(batch)), size)
+        total = np.bincount(row * dim + codes // 2, 1.0 - 2.0 * (codes & 1), len(batch) * dim).reshape(len(batch), dim)
+        mean = (total / np.maximum(size, 1)[:, None]).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(mean.ravel()))
+
+    return pool(hashed)
 
 
 def with_hash_embedding(df: DataFrame, text_col: str, out_col: str, dim: int = 64,
                         max_length: int = DEFAULT_MAX_LENGTH) -> DataFrame:
-    """E2+E3 natively: hash once per token in one projection, pool in the next.
-
-    The staged column is read twice by the pooling (size and per-bucket
-    filter), so Catalyst keeps the projections apart instead of inlining the
-    hashing into the lambda.
-    """
-    tmp = f"__bl_hashed_{out_col}"
-    return df.withColumn(tmp, hashed_tokens(F.col(text_col), dim, max_length)) \
-        .withColumn(out_col, pooled_vector(F.col(tmp), dim)).drop(tmp)
+    """E2+E3: tokens are cut and hashed by Spark functions, pooled in numpy."""
+    return df.withColumn(out_col, pooled_vector(hashed_tokens(F.col(text_col), dim, max_length), dim))
 
 
 # ------------------------------------------------------------------ pluggable embedder

@@ -27,7 +27,13 @@ SELECT o_orderkey AS source_row_index,
 FROM {orders}
 """
 
-_BUILDS_GIT_REPO = "concat('repo', cast(source_row_index % 20 AS string))"
+# View 2's commit number: builds spread over the commit table's numbers and a tenth more that it doesn't hold.
+_BUILDS_GIT_BODY = """
+SELECT source_row_index, concat('repo', cast(g % 20 AS string)) AS gh_project_name, concat('c', cast(g AS string)) AS git_trigger_commit,
+ tr_status, tr_build_id, git_prev_built_commit
+FROM (SELECT b.*, b.source_row_index % cast(floor(n * 11 / 10) AS bigint) AS g FROM ({builds}) b,
+ (SELECT cast(floor(max(doc_id) / 5) + 1 AS bigint) AS n FROM {documents}) m)
+"""
 
 _COMMITS_BODY = """
 SELECT concat('repo', cast(cast(floor(doc_id / 5) AS bigint) % 20 AS string)) AS repo,
@@ -44,7 +50,7 @@ SELECT concat('repo', cast(g % 20 AS string)) AS repo, concat('c', cast(g AS str
  CASE doc_id % 5 WHEN 0 THEN concat('M', chr(9), path) WHEN 1 THEN concat('A', chr(9), path)
    WHEN 2 THEN concat('R100', chr(9), 'old/F', cast(doc_id AS string), '.java', chr(9), path)
    WHEN 3 THEN concat('D', chr(9), path) ELSE NULL END AS name_status,
- CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE concat('diff --git a/', path, ' b/', path, chr(10),
+ CASE WHEN doc_id % 17 = 0 OR g % 50 = 3 THEN ' ' ELSE concat('diff --git a/', path, ' b/', path, chr(10),
    '--- a/', path, chr(10), '+++ b/', path, chr(10),
    '@@ -', cast(doc_id % 9 + 1 AS string), ' +', cast(doc_id % 9 + 1 AS string), ',',
    cast(length(text) - length(replace(text, chr(10), '')) + 1 AS string), ' @@', chr(10), '-old line', chr(10),
@@ -79,9 +85,8 @@ def builds_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def builds_git_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View 2: view 1 re-keyed onto the 20 repos of the commit tables."""
-    from pyspark.sql import functions as F
-    return builds_raw(spark, sf_dir).withColumn("gh_project_name", F.expr(_BUILDS_GIT_REPO))
+    """View 2: view 1 re-keyed onto the commit tables; one build in eleven names an unknown commit."""
+    return spark.sql(_BUILDS_GIT_BODY.replace("({builds})", "{builds}"), builds=builds_raw(spark, sf_dir), documents=table(spark, sf_dir, "documents"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +120,7 @@ def _duck(body: str, **tables: str) -> str:
 
 
 DUCK_BUILDS_RAW = _duck(_BUILDS_BODY, orders="orders")
-DUCK_BUILDS_GIT_RAW = ("SELECT * REPLACE (" + _duck(_BUILDS_GIT_REPO) + " AS gh_project_name) FROM ("
-                       + DUCK_BUILDS_RAW + ")")
+DUCK_BUILDS_GIT_RAW = _duck(_BUILDS_GIT_BODY, builds=DUCK_BUILDS_RAW, documents="documents")
 DUCK_COMMITS = _duck(_COMMITS_BODY, documents="documents")
 DUCK_COMMIT_FILES = _duck(_COMMIT_FILES_BODY.replace("__CONTENT__", _CONTENT_DUCK), documents="documents")
 DUCK_SAMPLES = _duck(_SAMPLES_BODY, embeddings="embeddings")

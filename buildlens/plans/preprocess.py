@@ -2,14 +2,14 @@
 
     scan -> ids/labels (P1-P5) -> first repos (G2) -> resume anti-join (J1)
     -> commit availability (J3, failures F1) -> per-commit message / diff /
-    context artifacts (T1-T19) -> join to builds -> token metadata (E1) ->
-    embeddings (E2) -> shard assignment (G3, range sort + checkpoint) ->
+    context artifacts (T1-T19), token metadata (E1) and embeddings (E2);
+    shard slots of the build keys (G3) -> join ->
     shards + sidecar (S6, S7) -> failures (S11) -> manifest entries (S8)
 
 Shuffles: one by commit inside each of the diff and context builders, one
-join of build rows to per-commit artifacts (skewed commits are split by AQE),
-one range sort for the global order.  The range-sorted, embedded table is
-checkpointed; shards and sidecar are written from it without re-shuffling.
+narrow range sort of build keys for the global order, one join of the slots to
+the per-commit artifacts (skewed commits are split by AQE) and one by shard for
+each of the two sinks.  Texts are embedded once per commit.
 """
 
 from __future__ import annotations
@@ -86,13 +86,13 @@ def commit_artifacts(commits: DataFrame, commit_files: DataFrame, cfg: Preproces
                           F.col("c.regions").alias("regions")], cfg.max_length).alias("context"))
 
 
-def assemble_samples(builds: DataFrame, commits: DataFrame, commit_files: DataFrame, cfg: PreprocessConfig,
-                     completed_ids: DataFrame | None = None, with_attempted: bool = False):
-    """Samples (one row per usable build) and failure records (plus, on request, the
-    attempted rows: builds of the kept repos not completed before).
+def select_builds(builds: DataFrame, commits: DataFrame, cfg: PreprocessConfig,
+                  completed_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(usable builds, failure records, attempted builds); no text is touched.
 
-    Unknown repos give one ``repo_processing`` record each (F2); missing
-    commits give one record per row (J3/F1)."""
+    Attempted are the builds of the kept repos not completed before.  Unknown
+    repos give one ``repo_processing`` record each (F2); missing commits give
+    one record per row (J3/F1)."""
     b = first_repos(builds, cfg.max_repos)
     null_repo = b.where(F.col("repo").isNull() | F.col("commit_sha").isNull())
     b = b.where(F.col("repo").isNotNull() & F.col("commit_sha").isNotNull())
@@ -102,11 +102,39 @@ def assemble_samples(builds: DataFrame, commits: DataFrame, commit_files: DataFr
     ok, failures = R.split_by_commit_availability(known, commits)
     failures = failures.unionByName(repo_failed) \
         .unionByName(R.row_failures(null_repo, "input_validation", "missing repo or commit"))
-    art = commit_artifacts(commits, commit_files, cfg)
-    samples = ok.join(art, KEYS, "inner")
-    if with_attempted:
-        return samples, failures, b.unionByName(null_repo)
-    return samples, failures
+    return ok, failures, b.unionByName(null_repo)
+
+
+def check_unique(df: DataFrame, keys: list[str], what: str) -> None:
+    """Repeated keys would multiply samples or mix up files: name one and stop."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{what} holds {twice[0].asDict()}; expected one row per {', '.join(keys)}")
+
+
+def assemble_samples(builds: DataFrame, commits: DataFrame, commit_files: DataFrame, cfg: PreprocessConfig,
+                     completed_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Samples (one row per usable build, with its artifacts) and failure records."""
+    ok, failures, _ = select_builds(builds, commits, cfg, completed_ids)
+    check_unique(commits, KEYS, "the commit table")
+    check_unique(commit_files, [*KEYS, "file_order"], "the changed-file table")
+    return ok.join(commit_artifacts(commits, commit_files, cfg), KEYS, "inner"), failures
+
+
+def plan_samples(ok: DataFrame, commits: DataFrame, commit_files: DataFrame, cfg: PreprocessConfig,
+                 first_shard: int = 0) -> DataFrame:
+    """Embedded samples with their shard slots, from usable builds.
+
+    Artifacts and vectors are made once per commit that has a build, and
+    checkpointed at that size.  Slots are given to the narrow build rows alone;
+    texts and vectors join them last and cross one shuffle.
+    """
+    check_unique(commits, KEYS, "the commit table")
+    check_unique(commit_files, [*KEYS, "file_order"], "the changed-file table")
+    used = DF.materialize(ok.select(*KEYS).distinct())
+    art = commit_artifacts(commits.join(used, KEYS, "left_semi"), commit_files.join(used, KEYS, "left_semi"), cfg)
+    art = DF.materialize(embed_samples(art, cfg))
+    return SH.assign_shards(ok, ["repo", "source_row_index"], cfg.shard_size, first_shard).join(art, KEYS)
 
 
 def embed_samples(samples: DataFrame, cfg: PreprocessConfig) -> DataFrame:
@@ -166,14 +194,12 @@ def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files
         first_shard = (agg["m"] if agg["m"] is not None else -1) + 1
     run_record = {"run_id": uuid.uuid4().hex, "started_at": started, "resume": resume, "first_shard": first_shard}
     try:
-        samples, failures, attempted = assemble_samples(builds, commits, commit_files, cfg, completed,
-                                                        with_attempted=True)
-        sharded = SH.assign_shards(embed_samples(samples, cfg), ["repo", "source_row_index"], cfg.shard_size,
-                                   first_shard)
+        ok, failures, attempted = select_builds(builds, commits, cfg, completed)
+        failures, attempted = DF.materialize(failures), DF.materialize(attempted)  # four sinks read them
+        sharded = plan_samples(ok, commits, commit_files, cfg, first_shard)
         append = completed is not None
-        SH.write_shards(sharded, f"{out_dir}/shards", overwrite=overwrite, append=append, one_file_per_shard=False)
-        SH.write_sidecar(SH.sidecar_records(sharded), f"{out_dir}/sidecar", overwrite=overwrite, append=append,
-                         one_file_per_shard=False)
+        SH.write_shards(sharded, f"{out_dir}/shards", overwrite=overwrite, append=append)
+        SH.write_sidecar(SH.sidecar_records(sharded), f"{out_dir}/sidecar", overwrite=overwrite, append=append)
         failures = failures.withColumn("run_id", F.lit(run_record["run_id"]))
         failures.write.mode("overwrite" if overwrite else "append").json(f"{out_dir}/failures")
         R.repo_attempts(attempted, failures).withColumn("run_id", F.lit(run_record["run_id"])) \

@@ -8,7 +8,7 @@ from ..operators import resume as R
 from ..sources import shards as SH
 from . import duck as D
 from . import fixtures as FX
-from .preprocess import PreprocessConfig, assemble_samples, embed_samples
+from .preprocess import PreprocessConfig, plan_samples, select_builds
 from .q_builds import _W_BUILDS_GIT, builds_git
 from .q_text import SEP_DIFF, SEP_FIELD, duck_kept
 
@@ -39,9 +39,9 @@ FROM pos JOIN commits c USING (repo, commit_sha) LEFT JOIN dt USING (repo, commi
 def q_preprocess_samples(spark, sf_dir):
     """Builds -> commit check -> message/diff/context -> tokens -> embeddings -> shard slots."""
     cfg = PreprocessConfig(shard_size=50)
-    samples, _ = assemble_samples(builds_git(spark, sf_dir), FX.commits(spark, sf_dir),
-                                  FX.commit_files(spark, sf_dir), cfg)
-    sharded = SH.assign_shards(embed_samples(samples, cfg), ["repo", "source_row_index"], cfg.shard_size)
+    commits = FX.commits(spark, sf_dir)
+    ok, _, _ = select_builds(builds_git(spark, sf_dir), commits, cfg)
+    sharded = plan_samples(ok, commits, FX.commit_files(spark, sf_dir), cfg)
     return sharded.select("sample_id", "shard_index", "record_index", "label",
                           F.col("diff.provenance.retained_char_count").alias("diff_chars"),
                           F.col("message.provenance.retained_char_count").alias("message_chars"))
@@ -52,8 +52,7 @@ SELECT 'sample_processing' AS stage, count(*) AS n FROM builds b
 WHERE NOT EXISTS (SELECT 1 FROM commits c WHERE c.repo = b.repo AND c.commit_sha = b.commit_sha)""")
 def q_preprocess_failures(spark, sf_dir):
     """F1 via the full chain: failure records per stage."""
-    _, failures = assemble_samples(builds_git(spark, sf_dir), FX.commits(spark, sf_dir),
-                                   FX.commit_files(spark, sf_dir), PreprocessConfig(shard_size=50))
+    _, failures, _ = select_builds(builds_git(spark, sf_dir), FX.commits(spark, sf_dir), PreprocessConfig(shard_size=50))
     return failures.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
