@@ -11,7 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scoped_conf
+
+#: Shuffle files of a job whose result is stored are of no more use.
+CLEAN_UP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +29,8 @@ def scratch(spark: SparkSession, what: str) -> str:
 def store(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    with scoped_conf(spark, CLEAN_UP):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,7 +44,7 @@ from .words import shingle_sets
 GROWTH = 1.6   # a band's lowest size to the next one's
 SPARE = 0.35   # spare partitions, as a share
 SEEDS = 6      # divisions of the domain
-PER_GROUP = 400  # rows that one copy of a set's text is compared with
+PER_GROUP = 200  # texts of one side of a group that is verified together
 
 
 class Bands:
@@ -274,29 +274,28 @@ def _table(group, centre, node, size, times) -> pa.RecordBatch:
 
 
 def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose whole sets are similar enough, stored.
+    """Those of ``pairs`` (a, b: nodes; g, i, j: the group where they meet) whose whole sets are similar enough, stored.
 
-    Texts of the classes' first documents travel, not sets: those of b once a
-    pair, that of a once for every PER_GROUP pairs, so no text is the centre of
-    an unbounded group.
+    Texts of the classes' first documents travel, not sets, and each once to
+    every group that has a pair of it.  Groups are bounded by their makers.
     """
     n = pairs.count()
     if not n:
-        return pairs
+        return pairs.select("a", "b")
     n_slabs = slabs_for(2 * n)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node")
-    chosen = store(nodes, "chosen")
+    dest = ["g", "i", "j"]
+    ways = store(pairs.select(*dest, F.col("a").alias("node")).unionByName(pairs.select(*dest, F.col("b").alias("node"))).distinct()
+                 .join(reps, "node"), "ways")
 
     def insert(batches):
         for batch in batches:
             yield positions(mix(batch.column(0).to_numpy().view(U64)), n_slabs)
 
-    wanted = docs.sparkSession.sparkContext.broadcast(build_filter(chosen.select("rep").mapInArrow(insert, POSITIONS), n_slabs, 1))
+    wanted = docs.sparkSession.sparkContext.broadcast(build_filter(ways.select("rep").distinct().mapInArrow(insert, POSITIONS), n_slabs, 1))
 
     def scan(batches):
         for batch in batches:
-            ids = batch.column(0)
-            hit = np.flatnonzero(wanted.value.test(mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U64))))
+            hit = np.flatnonzero(wanted.value.test(mix(batch.column(0).to_numpy().view(U64))))
             batch = batch.take(pa.array(hit))
             for at, part in blocks(batch.column(1)):
                 node, _ = set_hashes(*shingle_sets(part))
@@ -304,38 +303,65 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
                                                   batch.column(1).slice(at, len(part))], ["rep", "node", "text"])
 
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).filter("rep is not null") \
-        .mapInArrow(scan, "rep long, node long, text string").join(chosen, ["rep", "node"], "left_semi") \
-        .dropDuplicates(["rep", "node"]).select("node", "text")
-    texts = store(texts, "chosen-texts")
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).cast("int").alias("copies"))
-    right = pairs.join(many, "a").join(texts.withColumnRenamed("node", "b"), "b") \
-        .select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("side"), "b", "text")
-    left = texts.withColumnRenamed("node", "a").join(many, "a") \
-        .select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("side"), F.col("a").alias("b"), "text")
+        .mapInArrow(scan, "rep long, node long, text string").join(ways, ["rep", "node"]) \
+        .select(*dest, F.lit(0).alias("side"), F.col("node").alias("a"), F.col("node").alias("b"), "text")
+    asked = pairs.select(*dest, F.lit(1).alias("side"), "a", "b", F.lit(None).cast("string").alias("text"))
 
     def compare(batches):
-        centre, at, mine = None, None, None
+        group, sets = None, {}
         for batch in batches:
-            for row, part in blocks(batch.column("text")):
-                hashes, off = shingle_sets(part)
-                some = batch.slice(row, len(part)).select(["a", "copy", "side", "b"]).to_pydict()
-                good = ([], [])
-                for i, (a, copy, side, b) in enumerate(zip(*some.values(), strict=True)):
-                    own = hashes[off[i]:off[i + 1]]
-                    if side == 0:
-                        centre, at, mine = a, copy, own
-                    elif (a, copy) == (centre, at):
-                        both = len(np.intersect1d(mine, own, assume_unique=True))
-                        if both * den >= num * (len(mine) + len(own) - both):
-                            good[0].append(a)
-                            good[1].append(b)
-                if good[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(good[0], pa.int64()), pa.array(good[1], pa.int64())], ["a", "b"])
-
-    met = left.unionByName(right).repartition(partitions(docs.sparkSession), "a", "copy").sortWithinPartitions("a", "copy", "side")
+            side = batch.column("side").to_numpy()
+            where = list(zip(*(batch.column(c).to_pylist() for c in dest), strict=True))
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            hashes, off = {}, {}
+            for at, part in blocks(batch.column("text")):
+                made = shingle_sets(part)
+                for r in range(len(part)):
+                    hashes[at + r], off[at + r] = made[0], made[1][r:r + 2]
+            good = ([], [])
+            for r, place in enumerate(where):
+                if place != group:
+                    group, sets = place, {}
+                if side[r] == 0:
+                    sets[a[r]] = hashes[r][off[r][0]:off[r][1]].copy()
+                elif a[r] in sets and b[r] in sets:
+                    x, y = sets[a[r]], sets[b[r]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both * den >= num * (len(x) + len(y) - both):
+                        good[0].append(a[r])
+                        good[1].append(b[r])
+            if good[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(good[0], pa.int64()), pa.array(good[1], pa.int64())], ["a", "b"])
+
+    met = texts.unionByName(asked).repartition(partitions(docs.sparkSession), *dest).sortWithinPartitions(*dest, "side")
     return store(met.mapInArrow(compare, "a long, b long"), "similar-pairs")
 
 
+def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, times) that neither size nor parity rules out, stored."""
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+
+    def test(batches):
+        for batch in batches:
+            size = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            bits = batch.column("pa").to_pylist() + batch.column("pb").to_pylist()
+            n = len(batch)
+            ok = Parities(bits, size, num, den).possible(np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, bool)
+            yield batch.select(["a", "b", "times"]).filter(pa.array(ok))
+
+    return store(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(test, "a long, b long, times long"), "plausible-stars")
+
+
+def _in_blocks(pairs: DataFrame) -> DataFrame:
+    """Pairs with the group where they meet: their connected family, cut into blocks of PER_GROUP nodes."""
+    family = components(pairs)
+    size = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).cast("int").alias("k"))
+    named = family.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"))
+    one = named.select(F.col("node").alias("a"), F.col("component").alias("g"), F.col("block").alias("x"))
+    two = named.select(F.col("node").alias("b"), F.col("block").alias("y"))
+    return store(pairs.join(one, "a").join(two, "b").select("a", "b", "g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")), "pairs-in-blocks")
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id), a row per document, for links at Jaccard >= num / den."""
     spark = docs.sparkSession
@@ -347,15 +373,18 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if largest > 0:
         bands = Bands(num, den, largest)
         shared = _shared(docs, text, bands, max(partitions(spark), int(total / 4_000_000) + 1))
-        stars = store(shared.filter("grp is null").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.sum("times").alias("times")), "stars")
-        best = store(stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "best-stars")
+        stars = _plausible(shared.filter("grp is null").groupBy(F.col("centre").alias("a"), F.col("node").alias("b"))
+                           .agg(F.sum("times").alias("times")), reps, num, den)
+        best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+        best = store(best.join(best.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).cast("int").alias("k")), "a")
+                     .select("a", "b", F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("i"), F.lit(0).alias("j")), "best-stars")
         good = _verify(docs, key, text, best, slim, num, den)
         comp = components(good)
         # what is still apart: the other star edges, and pairs inside larger groups
         apart = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), comp) \
             .unionByName(_cross(shared.filter("grp is not null").select("grp", "node"), comp, reps, num, den))
         apart = store(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-apart")
-        more = _verify(docs, key, text, apart, slim, num, den)
+        more = _verify(docs, key, text, _in_blocks(apart), slim, num, den)
         comp = components(good.unionByName(more))
     else:
         comp = spark.createDataFrame([], "node long, component long")
