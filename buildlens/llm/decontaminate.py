@@ -32,18 +32,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def word_list(text: Column) -> Column:
-    """Words of a text with A-Z lower-cased; no word is ''."""
+def word_pieces(text: Column) -> Column:
+    """Words of a text with A-Z lower-cased; the first and the last piece are '' where it starts or ends otherwise."""
     text = F.coalesce(text, F.lit(""))
     # lower() knows all scripts, so only plain ASCII texts may take it
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.split(F.regexp_replace(low, f"^{SEPARATOR}|{SEPARATOR}$", ""), SEPARATOR)
+    return F.split(low, SEPARATOR)
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
     """df with ``ws`` (empty list for no words)."""
-    ws = word_list(F.col(text))
-    return df.withColumn("ws", ws).withColumn("ws", F.when(F.col("ws")[0] == "", F.array().cast("array<string>")).otherwise(F.col("ws")))
+    pieces = F.col("__pieces")
+    lead, trail = (pieces[0] == "").cast("int"), (F.element_at(pieces, -1) == "").cast("int")
+    return df.withColumn("__pieces", word_pieces(F.col(text))) \
+        .withColumn("ws", F.slice(pieces, lead + 1, F.greatest(F.size(pieces) - lead - trail, F.lit(0)))).drop("__pieces")
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:

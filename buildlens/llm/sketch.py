@@ -64,16 +64,25 @@ def build_filter(rows: DataFrame, n_slabs: int, at_least: int) -> BitFilter:
 
     def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((at_least, SLAB // 8), np.uint8)  # seen[i]: bits set more than i times
+        held, n = [], 0
+
+        def add() -> None:
+            spot, times = np.unique(np.concatenate(held), return_counts=True)
+            fresh = [np.packbits(np.bincount(spot[times > i], minlength=SLAB).astype(bool), bitorder="little") for i in range(at_least)]
+            if at_least == 2:  # seen twice: here, or here and before
+                seen[1] |= fresh[1] | (seen[0] & fresh[0])
+            seen[0] |= fresh[0]
+            held.clear()
+
         for batch in batches:
             for spots in batch.column("spots"):
-                spot, times = np.unique(np.frombuffer(spots.as_buffer(), np.uint32), return_counts=True)
-                add = [spot[times > i] for i in range(at_least)]
-                fresh = [np.packbits(np.bincount(a, minlength=SLAB).astype(bool), bitorder="little") for a in add]
-                if at_least == 1:
-                    seen[0] |= fresh[0]
-                else:  # once-seen and twice-seen
-                    seen[1] |= fresh[1] | (seen[0] & fresh[0])
-                    seen[0] |= fresh[0]
+                held.append(np.frombuffer(spots.as_buffer(), np.uint32))
+                n += len(held[-1])
+                if n > 2_000_000:
+                    add()
+                    n = 0
+        if held:
+            add()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([seen[-1].tobytes()], pa.binary())],
                                          ["slab", "bits"])
 

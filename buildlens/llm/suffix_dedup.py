@@ -201,11 +201,18 @@ def _occurrences(docs: DataFrame, width: int) -> DataFrame:
     n_slabs = slabs_for(int(size) // ((width - GRAM) // 2) + 1)
 
     def insert(batches):
+        held, n = [], 0
         for batch in batches:
             for _, part in blocks(batch.column(0)):
                 for _, _, _, first, _, anchor, grams in regions(part, width):
                     if len(first):
-                        yield positions(grams[anchor], n_slabs)
+                        held.append(grams[anchor])
+                        n += len(first)
+                if n > 300_000:
+                    yield positions(np.concatenate(held), n_slabs)
+                    held, n = [], 0
+        if held:
+            yield positions(np.concatenate(held), n_slabs)
 
     twice = docs.sparkSession.sparkContext.broadcast(build_filter(docs.select("text").mapInArrow(insert, POSITIONS), n_slabs, 2))
 
