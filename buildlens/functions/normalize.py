@@ -10,8 +10,6 @@ from .text import py_strip
 
 # Build-status words that map to a label (compared after strip + lower).
 SUCCESS_WORDS = ["1", "pass", "passed", "success", "successful", "succeeded", "true", "yes", "y"]
-FAILURE_WORDS = ["0", "cancelled", "canceled", "error", "errored", "fail", "failed", "failure",
-                 "false", "no", "n"]
 
 # The default missing-value tokens of pandas.read_csv (public pandas docs).
 CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -51,8 +49,7 @@ def normalize_optional(c: Column, dtype: T.DataType) -> Column:
 def normalize_label(c: Column, dtype: T.DataType) -> Column:
     """Build status -> 1 / 0 / NULL.
 
-    Text: success words -> 1, blank -> NULL, anything else (failure words and
-    unknown text) -> 0.  Numbers: 1 iff equal to 1.0.  Booleans: 0/1.
+    Text: success words -> 1, blank -> NULL, any other text -> 0.  Numbers: 1 iff equal to 1.0.  Booleans: 0/1.
     """
     if isinstance(dtype, T.BooleanType):
         return c.cast("int")
@@ -64,7 +61,6 @@ def normalize_label(c: Column, dtype: T.DataType) -> Column:
     return (F.when(c.isNull(), F.lit(None).cast("int"))
             .when(s == "", F.lit(None).cast("int"))
             .when(s.isin(SUCCESS_WORDS), F.lit(1))
-            .when(s.isin(FAILURE_WORDS), F.lit(0))
             .otherwise(F.lit(0)))
 
 

@@ -73,7 +73,9 @@ def train_and_score(samples: DataFrame, num_samples: int | None = None, validati
 
     Returns (model, metrics per split, test predictions).
     """
-    s = first_n_samples(samples, num_samples).where(F.col(label).isNotNull())
+    s = first_n_samples(samples, num_samples)
+    if s.where(F.col(label).isNull()).limit(1).count():
+        raise ValueError("samples without a label; repair or drop them first")
     if s.limit(1).count() == 0:
         raise EmptySplitError("no samples to train on")
     with_split = assign_splits(s, split_repos(s, validation_fraction, test_fraction, seed, shuffle)).persist()
@@ -99,11 +101,14 @@ def sample_sweep(samples: DataFrame, sizes: list[int], **kw) -> DataFrame:
     """M9: one row per budget: split sizes and test metrics; NaN metrics when a split is empty."""
     if any(n <= 0 for n in sizes):
         raise ValueError("sample sizes must be positive")
+    if samples.where(F.col(kw.get("label", "label")).isNull()).limit(1).count():
+        raise ValueError("samples without a label; repair or drop them first")
     spark = samples.sparkSession
+    samples = materialize(samples)  # every size reads it
     rows = []
     label = kw.get("label", "label")
     for n in sizes:
-        s = first_n_samples(samples, n).where(F.col(label).isNotNull())
+        s = first_n_samples(samples, n)
         with_split = assign_splits(s, split_repos(s, kw.get("validation_fraction", 0.2),
                                                   kw.get("test_fraction", 0.2), kw.get("seed", 0),
                                                   kw.get("shuffle", True)))

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 K = "repo, commit_sha, file_order"
-# RE2 form of the signature heuristic (Unicode letters/digits for \w).
+# Fixed value: RE2 form of the signature heuristic (Unicode letters/digits for \w).
 SIG_RE2 = ("'^\\s*(public|private|protected|static|final|synchronized|abstract|void|int|long|double|float|"
            "boolean|char|String|def|function|[A-Za-z_][A-Za-z0-9_<>\\[\\]]*)[\\pL\\pN_<>\\[\\],\\s]*\\s+"
            "([A-Za-z_][A-Za-z0-9_]*)\\s*\\([^)]*\\)\\s*(\\{|$)'")
@@ -219,11 +219,11 @@ txt AS (SELECT repo, commit_sha, length(string_agg(prefix || chr(10) || '<FIELD_
    chr(10) || '<CONTEXT_SEP>' || chr(10) ORDER BY rk)) AS retained_char_count FROM kc GROUP BY ALL),
 fl AS (SELECT ff.repo, ff.commit_sha, bool_or(ff.over AND (c.cap_file IS NULL OR ff.file_order <= c.cap_file)) AS over_any
    FROM ff LEFT JOIN capinfo c USING (repo, commit_sha) GROUP BY ALL)
-SELECT fl.repo, fl.commit_sha, coalesce(agg.regions_retained, 0) AS regions_retained,
+SELECT cm.repo, cm.commit_sha, coalesce(agg.regions_retained, 0) AS regions_retained,
  coalesce(agg.original_char_count, 0) AS original_char_count, coalesce(txt.retained_char_count, 0) AS retained_char_count,
- fl.over_any OR coalesce(c.anycut, false) OR coalesce(c.capped, false) AS extraction_truncated
-FROM fl LEFT JOIN agg USING (repo, commit_sha) LEFT JOIN txt USING (repo, commit_sha)
-LEFT JOIN capinfo c USING (repo, commit_sha)""")
+ coalesce(fl.over_any, false) OR coalesce(c.anycut, false) OR coalesce(c.capped, false) AS extraction_truncated
+FROM (SELECT DISTINCT repo, commit_sha FROM cf) cm LEFT JOIN fl USING (repo, commit_sha) LEFT JOIN agg USING (repo, commit_sha)
+LEFT JOIN txt USING (repo, commit_sha) LEFT JOIN capinfo c USING (repo, commit_sha)""")
 def q_context_provenance(spark, sf_dir):
     a = CX.context_artifacts(commit_files(spark, sf_dir))
     return a.select(*KEYS, F.col("regions_retained").cast("long").alias("regions_retained"),
