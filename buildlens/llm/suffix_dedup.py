@@ -17,7 +17,7 @@ held in the task's memory, as folders of a machine may not be used, and a
 batch of regions has a bounded size.
 
 Equal regions are one string with a count: two of them repeat all their
-windows.  A gram with more than ``HOT`` different regions is dealt anew: its
+windows.  A gram with more different regions than a task should sort (``HOT``) is dealt anew: its
 windows are cut into classes of neighbouring offsets, each grouped by the bytes
 that all windows of the class contain, at last window by window.  So nothing is
 capped, and copies of a passage never meet in one task in numbers.
@@ -43,7 +43,7 @@ from .sketch import POSITIONS, build_filter, positions, slabs_for
 from .spans import U64, blocks, mix, utf8
 
 GRAM = 32
-HOT = 2000        # different regions of one gram
+HOT = 20_000       # different regions of one gram that one task sorts (15 MB)
 CLASSES = (46, 1)  # widths of the offset classes that hot grams are dealt by
 BATCH = 20_000     # regions sorted together
 SEGMENT = 1 << 20
@@ -347,7 +347,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     hits = _hits(found, width, CLASSES, hot_limit)
     cover = seen.select("rid", "id", "th", "at").join(hits, "rid") \
         .select("id", "th", F.struct((F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + width).alias("b")).alias("span"))
-    return cover.groupBy("id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return store(cover.groupBy("id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")), "repeated-spans")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 400, hot_limit: int = HOT) -> DataFrame:
