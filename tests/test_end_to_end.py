@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from buildlens.operators.resume import config_diff
@@ -169,7 +170,11 @@ def test_training_lifecycle_from_stored_shards(spark, tmp_out):
     from buildlens.operators import fusion as FU
     from buildlens.plans.training import load_samples, predict_fusion, train_forest
     b = builds_git(spark, SF_SMALL)
-    run(spark, b, FX.commits(spark, SF_SMALL), FX.commit_files(spark, SF_SMALL), f"{tmp_out}/pre",
+    run(spark, b.where("source_row_index < 300"), FX.commits(spark, SF_SMALL), FX.commit_files(spark, SF_SMALL), f"{tmp_out}/gaps",
+        PreprocessConfig(shard_size=7))
+    with pytest.raises(ValueError, match="no sidecar label"):  # builds without a status can't be trained on
+        load_samples(spark, f"{tmp_out}/gaps")
+    run(spark, b.where("label IS NOT NULL"), FX.commits(spark, SF_SMALL), FX.commit_files(spark, SF_SMALL), f"{tmp_out}/pre",
         PreprocessConfig(shard_size=7))
     loaded = load_samples(spark, f"{tmp_out}/pre", 30)
     assert loaded.count() == 30
@@ -196,3 +201,21 @@ def test_scoped_conf_restores_settings(spark):
             assert spark.conf.get(key_set) == "3" and spark.conf.get(key_unset) == "5000"
             raise RuntimeError("boom")
     assert spark.conf.get(key_set) == before and spark.conf.get(key_unset) == default
+
+
+def test_stream_writes_shards_of_accepted_builds(spark, tmp_out):
+    from buildlens.operators.resume import split_by_commit_availability
+    from buildlens.streaming.incremental import start_ingest
+    raw = FX.builds_git_raw(spark, SF_SMALL)
+    src, out, ckpt = f"{tmp_out}/in", f"{tmp_out}/out", f"{tmp_out}/ckpt"
+    some = raw.where("source_row_index < 300")
+    some.repartitionByRange(2, "source_row_index").write.parquet(src)
+    start_ingest(spark, src, raw.schema, FX.commits(spark, SF_SMALL), out, ckpt, max_files_per_trigger=1,
+                 commit_files=FX.commit_files(spark, SF_SMALL), cfg=PreprocessConfig(shard_size=20)).awaitTermination()
+    ok, _ = split_by_commit_availability(builds_git(spark, SF_SMALL).where("source_row_index < 300"), FX.commits(spark, SF_SMALL))
+    stored = spark.read.parquet(f"{out}/shards")
+    assert sorted(r[0] for r in stored.select("sample_id").collect()) == sorted(r[0] for r in ok.select("sample_id").collect())
+    assert stored.select("batch_id").distinct().count() == 2
+    assert stored.groupBy("shard_index").agg(F.count_distinct("batch_id").alias("n")).where("n > 1").count() == 0
+    entries = spark.read.parquet(f"{out}/manifest_shards")
+    assert sorted(r[0] for r in entries.select("shard_index").collect()) == list(range(entries.count()))
