@@ -32,20 +32,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def word_pieces(text: Column) -> Column:
-    """Words of a text with A-Z lower-cased; the first and the last piece are '' where it starts or ends otherwise."""
+def word_list(text: Column) -> Column:
+    """Words of a text with A-Z lower-cased; an empty list for none."""
     text = F.coalesce(text, F.lit(""))
     # lower() knows all scripts, so only plain ASCII texts may take it
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.split(low, SEPARATOR)
+    return F.filter(F.split(low, SEPARATOR), lambda w: w != "")
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
-    """df with ``ws`` (empty list for no words)."""
-    pieces = F.col("__pieces")
-    lead, trail = (pieces[0] == "").cast("int"), (F.element_at(pieces, -1) == "").cast("int")
-    return df.withColumn("__pieces", word_pieces(F.col(text))) \
-        .withColumn("ws", F.slice(pieces, lead + 1, F.greatest(F.size(pieces) - lead - trail, F.lit(0)))).drop("__pieces")
+    """df with ``ws``.
+
+    Refer to it once and explode it as outer: a second reference, or the size check that
+    Spark infers below a plain explode, would split every text again.
+    """
+    return df.withColumn("ws", word_list(F.col(text)))
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,14 +69,14 @@ def postings(docs: DataFrame, terms: DataFrame, what: str, only: Column | None =
     bits = bitmap(terms.select(F.xxhash64("term").alias("h")), n_words)
     if only is not None:
         docs = docs.filter(only)
-    every = _words(docs, "text").select("id", "th", F.posexplode("ws").alias("pos", "term"))
+    every = _words(docs, "text").select("id", "th", F.posexplode_outer("ws").alias("pos", "term"))
     return store(every.filter(may_hold(bits, F.xxhash64("term"))).join(terms, "term", "left_semi"), what)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): occurrences in all documents of those ``terms`` that occur."""
     bits = bitmap(terms.select(F.xxhash64("term").alias("h")), words_for(terms.count()))
-    every = _words(docs, "text").select(F.explode("ws").alias("term"))
+    every = _words(docs, "text").select(F.explode_outer("ws").alias("term"))
     return store(every.filter(may_hold(bits, F.xxhash64("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                  .join(terms, "term", "left_semi"), "term-counts")
 
