@@ -106,8 +106,8 @@ def phrase_runs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     on = rare.withColumnRenamed("th", "ith").join(index, "term") \
         .select("item", "ith", "id", "th", (F.col("pos") - F.col("i")).alias("diagonal"), "rank", "need")
     diagonals = store(on.groupBy("item", "ith", "id", "th", "diagonal")
-                      .agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.first("need").alias("need"))
-                      .filter("lo = 1 and (hi = 2 or need = 1)").select("item", "ith", "id", "th", "diagonal"), "diagonals")
+                      .agg(F.min("rank").alias("rank"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.first("need").alias("need"))
+                      .filter("rank = 1 and (lo < hi or need = 1)").select("item", "ith", "id", "th", "diagonal"), "diagonals")
     found = diagonals.select("id", "th").distinct()
     bits = bitmap(found.select(F.xxhash64("id", "th").alias("h")), words_for(found.count()))
     near = may_hold(bits, F.xxhash64("id", "th"))
