@@ -104,7 +104,7 @@ def phrase_runs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     rare = store(_rarest(terms, term_counts(docs, terms.select("term").distinct())), "rare-terms")
     index = postings(docs, rare.select("term").distinct(), "rare-postings")
     on = rare.withColumnRenamed("th", "ith").join(index, "term") \
-        .select("item", "ith", "id", "th", (F.col("pos") - F.col("i")).alias("diagonal"), "rank", "need")
+        .select("item", "ith", "id", "th", (F.col("pos") - F.col("i")).alias("diagonal"), "i", "rank", "need")
     diagonals = store(on.groupBy("item", "ith", "id", "th", "diagonal")
                       .agg(F.min("rank").alias("rank"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.first("need").alias("need"))
                       .filter("rank = 1 and (lo < hi or need = 1)").select("item", "ith", "id", "th", "diagonal"), "diagonals")
