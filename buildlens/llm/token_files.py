@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +168,34 @@ def _piece_cache(spec: bytes) -> PieceCache:
     return PieceCache(encode)
 
 
+@lru_cache(2)
+def _added(spec: bytes):
+    """The file's tokenizer, and the strings of its added tokens, which it matches before any pre-token."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_buffer(spec)
+    return whole, [t.content for t in whole.get_added_tokens_decoder().values() if t.content]
+
+
+def encode_rows(spec: bytes, texts: pa.Array, added_as_text: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows and the rows' offsets in them; the library encodes the rows that hold an added token."""
+    cache = _piece_cache(spec)
+    if added_as_text:
+        return cache.ids(texts)
+    whole, strings = _added(spec)
+    held = np.zeros(len(texts), bool)
+    for string in strings:
+        held |= pc.fill_null(pc.match_substring(texts, string), False).to_numpy(zero_copy_only=False)
+    if not held.any():
+        return cache.ids(texts)
+    ids, off = cache.ids(pc.if_else(pa.array(held), pa.scalar("", texts.type), texts))
+    rows, lens = np.flatnonzero(held), np.diff(off)
+    own = [whole.encode(t, add_special_tokens=False).ids for t in texts.take(pa.array(rows)).to_pylist()]
+    lens[rows] = [len(x) for x in own]
+    ids = np.insert(ids, np.repeat(off[rows], lens[rows]), np.array([i for x in own for i in x], np.uint32))
+    return ids, np.concatenate([[0], np.cumsum(lens)])
+
+
 def _width(spec: bytes, end_id: int) -> int:
     from tokenizers import Tokenizer
 
@@ -174,11 +203,12 @@ def _width(spec: bytes, end_id: int) -> int:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text",
-                      end_id: int = 2, shards: int | None = None) -> DataFrame:
+                      end_id: int = 2, shards: int | None = None, added_as_text: bool = True) -> DataFrame:
     """Write the shards of ``docs`` below ``folder``; returns the stored manifest, a row per shard.
 
-    ``tokenizer`` is a byte-level BPE file of the tokenizers library; special
-    tokens' strings in a text are ordinary text.
+    ``tokenizer`` is a byte-level BPE file of the tokenizers library.  The
+    strings of its added tokens in a text are ordinary text, or with
+    ``added_as_text=False`` become those tokens, as the library's own encode has it.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
@@ -189,7 +219,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
               .repartitionByRange(shards or partitions(spark), "key").sortWithinPartitions("key", "text"))
 
     def write(batches):
-        cache, keys, lens, n_ids, n_null = _piece_cache(shared.value), [], [], 0, 0
+        keys, lens, n_ids, n_null = [], [], 0, 0
         store_fs, base = file_system(folder)
         store_fs.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
@@ -199,7 +229,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
                 n_null += k.null_count
                 keys.append(k.fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False))
                 for _, part in blocks(batch.column("text")):
-                    ids, off = cache.ids(part)
+                    ids, off = encode_rows(shared.value, part, added_as_text)
                     n = np.diff(off) + 1
                     ids = np.insert(ids, off[1:], np.uint32(end_id))
                     out.write(ids.astype("<u2" if width == 2 else "<u4").tobytes())
@@ -318,7 +348,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     manifest = write_token_files(table(spark, sf_dir, "documents"), scratch(spark, "tokens"),
-                                 public_tokenizers.path("byte_bpe_50k.json"))
+                                 public_tokenizers.path("byte_bpe_50k.json"), added_as_text=False)
     return scan_token_files(manifest).withColumnRenamed("key", "doc_id")
 
 

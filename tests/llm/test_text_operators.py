@@ -80,6 +80,19 @@ def test_token_files_round_trip_and_lookup(spark, tmp_out):
     assert token_files.scan_token_files(empty).count() == 0 and token_files.lookup(empty, asked).count() == 0
 
 
+def test_token_files_query_equals_the_library(spark, tmp_out):
+    tokenizers = pytest.importorskip("tokenizers")
+    end = "<|endoftext|>"
+    texts = [*ODD, f"a {end} b", end, end * 3, f"{end} x", f"x{end}y it's {end}", "<|endoftext|", f"é😀{end}\n\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_out}/documents.parquet")
+    known, want, start = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json")), [], 0
+    for key, text in enumerate(texts):
+        ids = np.array([*known.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_files.op4_token_files(spark, tmp_out).collect())) == want
+
+
 def test_key_index_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(2).integers(-2**62, 2**62, 5000))
     index = token_files.KeyIndex.build(keys)
