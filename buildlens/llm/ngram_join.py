@@ -178,11 +178,12 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                 node, check = set_hashes(hashes, off)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(part)), pa.array(np.diff(off)), pa.array(node.view(np.int64)),
-                    pa.array(check.view(np.int64)), pa.array(parity_bitmaps(hashes, off), pa.binary())],
-                    ["id", "n", "node", "check", "parity"])
+                    pa.array(check.view(np.int64)), pa.array(parity_bitmaps(hashes, off), pa.binary()), batch.column(2).slice(at, len(part))],
+                    ["id", "n", "node", "check", "parity", "mark"])
 
     return store(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-                 .mapInArrow(scan, "id long, n long, node long, check long, parity binary"), "shingle-profile")
+                 .select("id", "text", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("mark"))  # names a text without id
+                 .mapInArrow(scan, "id long, n long, node long, check long, parity binary, mark long"), "shingle-profile")
 
 
 def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFrame:
@@ -278,6 +279,7 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
 
     Texts of the classes' first documents travel, not sets, and each once to
     every group that has a pair of it.  Groups are bounded by their makers.
+    A class without any id (``rep`` null) is read from a text of the hash ``mark``.
     """
     n = pairs.count()
     if not n:
@@ -285,7 +287,7 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
     n_slabs = slabs_for(2 * n)
     dest = ["g", "i", "j"]
     ways = store(pairs.select(*dest, F.col("a").alias("node")).unionByName(pairs.select(*dest, F.col("b").alias("node"))).distinct()
-                 .join(reps, "node"), "ways")
+                 .join(reps.select("node", F.coalesce("rep", "mark").alias("rep"), F.col("rep").isNull().alias("unnamed")), "node"), "ways")
 
     def insert(batches):
         for batch in batches:
@@ -302,8 +304,12 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(node.view(np.int64)),
                                                   batch.column(1).slice(at, len(part))], ["rep", "node", "text"])
 
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).filter("rep is not null") \
-        .mapInArrow(scan, "rep long, node long, text string").join(ways, ["rep", "node"]) \
+    read = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    found = read.filter("rep is not null").mapInArrow(scan, "rep long, node long, text string").withColumn("unnamed", F.lit(False))
+    # a text that many rows without id hold travels once
+    unnamed = read.filter("rep is null").select(F.xxhash64("text").alias("rep"), "text").mapInArrow(scan, "rep long, node long, text string") \
+        .dropDuplicates(["rep", "node"]).withColumn("unnamed", F.lit(True))
+    texts = found.unionByName(unnamed).join(ways, ["rep", "node", "unnamed"]) \
         .select(*dest, F.lit(0).alias("side"), F.col("node").alias("a"), F.col("node").alias("b"), "text")
     asked = pairs.select(*dest, F.lit(1).alias("side"), "a", "b", F.lit(None).cast("string").alias("text"))
 
@@ -366,10 +372,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(id, n_shingles, component_id), a row per document, for links at Jaccard >= num / den."""
     spark = docs.sparkSession
     profile = _profile(docs, key, text)
-    reps = store(profile.filter("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")), "shingle-classes")
+    reps = store(profile.filter("n > 0").groupBy("node", "check").agg(F.min("id").alias("rep"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("parity").alias("parity")), "shingle-classes")
     shape = profile.agg(F.max("n"), F.sum(F.col("n").cast("double"))).first()
     largest, total = int(shape[0] or 0), shape[1] or 0.0
-    slim = reps.select("node", "rep")
+    slim = reps.select("node", "rep", "mark")
     if largest > 0:
         bands = Bands(num, den, largest)
         shared = _shared(docs, text, bands, max(partitions(spark), int(total / 4_000_000) + 1))

@@ -229,6 +229,20 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngram_join.similar_documents(frame.limit(0)).count() == 0
 
 
+def test_ngram_join_of_near_texts_without_ids(spark):
+    def near(name, changes):
+        return " ".join(f"{name}x{k}" if k in changes else f"{name}{k}" for k in range(100))
+
+    rows = [(20, near("a", [])), (None, near("a", [20, 40])), (10, near("a", [20, 40, 60, 80])),  # only the text without id bridges
+            (None, near("b", [])), (None, near("b", [50])), (None, near("b", [50])),  # no id at all
+            (None, near("c", [30])), (7, near("c", [])), (8, near("d", [])), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.id if r.id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1)
+                 for r in ngram_join.similar_documents(frame).collect())
+    assert got == brute_groups(rows)
+    assert (20, 96, 10) in got and (-1, 96, 10) in got and (-1, 96, 7) in got
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(6)
     for size in (4, 5, 9, 20, 47, 150, 600):
