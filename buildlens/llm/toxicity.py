@@ -28,7 +28,7 @@ from .words import words
 
 SAMPLE = 16_000      # labelled documents to fit on
 MAX_TERMS = 120_000
-MIN_DOCS, MIN_SHARE = 4, 0.003  # of the sample's documents that hold a term, at least
+MIN_DOCS = 4         # of the sample's documents that hold a term, at least, at every size of the sample
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -102,7 +102,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 600, factors:
     every, which, many = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     beyond = np.abs(np.bincount(which, (labels - share)[row], len(every))) - 6 * np.sqrt(many * share * (1 - share)) - 3
-    least = min(max(MIN_DOCS, MIN_SHARE * len(docs)), len(docs))
+    least = min(MIN_DOCS, len(docs))
     held = np.flatnonzero((beyond > 0) & (many >= least))
     terms = every[np.sort(held[np.argsort(-beyond[held], kind="stable")[:MAX_TERMS]])]
     w, v = np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.05, (len(terms), factors))

@@ -41,6 +41,14 @@ def test_pairs_of_terms_weigh_more_than_both_alone():
     assert scores[2] > 0.6 and scores[[0, 1, 3]].max() < 0.5
 
 
+def test_rare_toxic_terms_count_in_large_samples():
+    rare, often, rest = 1, 2, 3  # rare: in 40 of 16,000 documents, all of them toxic
+    docs = [[rare, rest]] * 40 + [[often, rest]] * 1600 + [[rest]] * 14360
+    model = toxicity.fit([np.array(d, np.uint64) for d in docs], np.array([1.0] * 1640 + [0.0] * 14360), rounds=200)
+    scores = model.scores(np.array([1, 3, 2, 3, 3], np.uint64), np.array([0, 2, 4, 5]))
+    assert scores[0] > 0.5 and scores[1] > 0.5 and scores[2] < 0.1
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, 5.0, 1) for i, t in enumerate([None, "", "idiot", "x" * 100_000, "IDIOT!"] * 3)] + [(None, "a b", 0.0, 0)],
                                  "doc_id long, text string, score double, toxic int")
