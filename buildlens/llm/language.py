@@ -8,8 +8,8 @@ in batches by table look-ups.  A document's probabilities are the mean of its
 windows', weighted by their bytes; every window of the whole text counts.
 
 The network is trained in numpy (Adam) on a bounded sample: ``SAMPLE`` documents
-of each of the ``MAX_LANGS`` most frequent languages at most, ``SPREAD`` windows of
-each.  Only rows that are not held out and have a language are used.
+of each language at most, fewer where ``TOTAL`` documents divided among all languages
+are fewer (one at least), and ``SPREAD`` windows of each.  Every language takes part.  Only rows that are not held out and have a language are used.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; so is everything when no language could be learned; repeated rows are
@@ -28,7 +28,7 @@ from .common import held_out, table
 from .spans import LETTER, blocks, char_classes, code_points, utf8
 
 WINDOW, BATCH = 128, 256
-SAMPLE, SPREAD, MAX_LANGS = 500, 5, 64
+SAMPLE, SPREAD, TOTAL = 500, 5, 32_000
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 24, 12
 
 
@@ -147,11 +147,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A network for the languages of rows that are not held out; None where there is none."""
     known = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")) \
         .filter(~held_out("id") & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
-    # every language's rows are thinned to about ``sample``, by a hash of the row
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * sample / r["count"]))))
+    sample = max(1, min(sample, TOTAL // len(counts)))
+    # every language's rows are thinned to about ``sample``, by a hash of the row; 20 more leave none without
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * sample + 20) / r["count"])) for r in counts], "lang string, share double")
     roll = F.pmod(F.xxhash64("text", "id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
 
     def scan(batches):
@@ -163,12 +164,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(part)), batch.column(2).slice(at, len(part)),
                                                   pa.array([x[p].tobytes() for p in pick], pa.binary())], ["lang", "roll", "windows"])
 
-    rows = known.withColumn("roll", roll).filter(F.col("roll") < F.try_element_at(share, F.col("lang"))) \
+    rows = known.withColumn("roll", roll).join(F.broadcast(share), "lang").filter("roll < share") \
         .select("text", "lang", "roll").mapInArrow(scan, "lang string, roll double, windows binary").collect()
-    langs = sorted({r["lang"] for r in rows})
+    held: dict[str, list] = {}
+    for r in rows:
+        held.setdefault(r["lang"], []).append(r)
+    langs = sorted(held)
     xs, ys = [], []
     for k, name in enumerate(langs):
-        for r in sorted((r for r in rows if r["lang"] == name), key=lambda r: (r["roll"], r["windows"]))[:sample]:
+        for r in sorted(held[name], key=lambda r: (r["roll"], r["windows"]))[:sample]:
             x = np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW)
             xs.append(x)
             ys.append(np.full(len(x), k))

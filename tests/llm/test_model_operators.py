@@ -67,6 +67,17 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_language_is_learned(spark):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [(k, chr(0x4E00 + 97 * k) * 400) for k in range(70) for _ in range(12 if k < 64 else 8)]
+    docs = spark.createDataFrame([(i, t, f"l{k:02d}") for i, (k, t) in zip(ids, texts, strict=False)], "doc_id long, text string, lang string")
+    assert docs.count() == len(texts)
+    net = language.train(docs)
+    assert net.langs == [f"l{k:02d}" for k in range(70)]
+    rare = language.identify(docs.filter("lang >= 'l64'"), net).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rare]) > 0.8
+
+
 def test_language_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, l, "s") for i, (t, l) in enumerate([
         (None, "en"), ("", "en"), ("12 !? 3", "de"), ("the cat and the dog " * 30, "en"), ("der hund und die katze " * 30, "de"), ("x", None)] * 8)],
