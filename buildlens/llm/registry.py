@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["toxicity", "secrets", "vector_dedup", "token_files", "byte_bpe", "suffix_dedup", "line_dedup", "language", "decontaminate", "ngram_join",
-           "vector_codes", "ball_search"]
+           "lm_score", "vector_codes", "ball_search"]
 
 
 def _modules():
