@@ -4,7 +4,7 @@
     -> commit availability (J3, failures F1) -> per-commit message / diff /
     context artifacts (T1-T19), token metadata (E1) and embeddings (E2);
     shard slots of the build keys (G3) -> join ->
-    shards + sidecar (S6, S7) -> failures (S11) -> manifest entries (S8)
+    staged shards + sidecar (S6, S7) -> failures (S11) -> manifest version (S8)
 
 Shuffles: one by commit inside each of the diff and context builders, one
 narrow range sort of build keys for the global order, one join of the slots to
@@ -15,11 +15,9 @@ each of the two sinks.  Texts are embedded once per commit.
 from __future__ import annotations
 
 from collections.abc import Callable
-import json
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +26,9 @@ from ..operators import context as CX
 from ..operators import diffs as DF
 from ..operators import embed as EM
 from ..operators import resume as R
+from ..sources import manifest as MF
 from ..sources import shards as SH
-from ..sources.builds import first_repos
+from ..sources.builds import ColumnRoles, first_repos
 
 KEYS = DF.KEYS
 
@@ -151,72 +150,66 @@ def embed_samples(samples: DataFrame, cfg: PreprocessConfig) -> DataFrame:
     return staged.drop(*[f"_t_{out}" for out in cols])
 
 
-def _config(cfg: PreprocessConfig, out_dir: str) -> dict:
+#: What identifies a build table: another one can't continue a run.
+INPUT_COLUMNS = ["source_row_index", "repo", "commit_sha", "parent_commit_sha", "build_id", "raw_status", "sample_id"]
+
+
+def _config(builds: DataFrame, cfg: PreprocessConfig, dataset: dict | None) -> dict:
+    """The run's configuration by section; ``dataset`` may name the source and its column roles."""
     embedding = (cfg.embedder_factory().metadata() if cfg.embedder_factory is not None else
                  EM.HashingEmbedder(cfg.embedding_dim, cfg.max_length).metadata())
     preprocessing = {k: v for k, v in asdict(cfg).items() if k not in ("embedder_factory", "extra")}
-    return {"dataset": {"output": out_dir}, "embedding": embedding, "preprocessing": preprocessing}
-
-
-def _now() -> str:
-    return datetime.now(timezone.utc).isoformat().replace("+00:00", "Z")
+    own = {"source": "builds", "columns": asdict(ColumnRoles())} | (dataset or {})
+    return {"dataset": own | MF.table_fingerprint(builds, [c for c in INPUT_COLUMNS if c in builds.columns]),
+            "embedding": embedding, "preprocessing": preprocessing}
 
 
 def run(spark: SparkSession, builds: DataFrame, commits: DataFrame, commit_files: DataFrame, out_dir: str,
-        cfg: PreprocessConfig = PreprocessConfig(), resume: bool = False, overwrite: bool = False) -> DataFrame:
+        cfg: PreprocessConfig = PreprocessConfig(), resume: bool = False, overwrite: bool = False,
+        dataset: dict | None = None) -> DataFrame:
     """Full run; returns the one-row run summary.
 
-    Outputs under ``out_dir``: ``shards/``, ``sidecar/``, ``failures/`` (appended),
-    ``repo_attempts/``, ``manifest_shards/``, ``manifest/`` (written last) and
-    ``run_summary/``.  Existing outputs are refused unless ``overwrite`` or
-    ``resume``; a resume refuses a stored configuration that differs (J6).
+    Outputs under ``out_dir``: ``shards/`` and ``sidecar/`` (a folder per run, read through the log),
+    ``failures/``, ``repo_attempts/``, ``run_summary/`` (appended) and ``manifest_log/`` (see ``sources.manifest``).
+    Existing outputs are refused unless ``overwrite``, which first lists them as removed, or ``resume``, which
+    verifies all that is listed, clears half-written folders and refuses another input or configuration (J6).
     """
     if resume and overwrite:
         raise ValueError("resume and overwrite cannot be combined")
     t0 = time.monotonic()
-    started = _now()
-    config = _config(cfg, out_dir)
-    has_output = _exists(spark, f"{out_dir}/shards")
+    started = MF.now()
+    config = _config(builds, cfg, dataset)
+    has_output = any(_exists(spark, f"{out_dir}/{name}") for name in ("manifest_log", MF.VECTORS, MF.TEXTS))
     if has_output and not (resume or overwrite):
         raise SH.OutputExistsError(f"outputs exist in {out_dir}; pass resume=True or overwrite=True")
     completed, first_shard, done_samples, done_shards = None, 0, 0, 0
-    if resume and has_output:
-        if _exists(spark, f"{out_dir}/manifest"):
-            stored_cfg = json.loads(SH.read_manifest(spark, f"{out_dir}/manifest").first()["config_json"])
-            diffs = R.config_diff(spark, stored_cfg, config).collect()  # a handful of config fields
-            if diffs:
-                raise ValueError(f"configuration differs from the stored run: {[r.asDict() for r in diffs]}")
-        stored = SH.read_shards(spark, f"{out_dir}/shards")
-        completed = stored.select("sample_id")
-        agg = stored.agg(F.count(F.lit(1)).alias("n"), F.max("shard_index").alias("m"),
-                         F.count_distinct("shard_index").alias("k")).first()
-        done_samples, done_shards = int(agg["n"]), int(agg["k"])
-        first_shard = (agg["m"] if agg["m"] is not None else -1) + 1
+    if resume:
+        state = MF.recover(spark, out_dir, config)
+        completed, first_shard, done_samples, done_shards = state.completed, state.next_shard, state.samples, state.shards
     run_record = {"run_id": uuid.uuid4().hex, "started_at": started, "resume": resume, "first_shard": first_shard}
+    run_id = run_record["run_id"]
+    if overwrite and has_output:
+        MF.empty_output(spark, out_dir, run_id)
+    MF.begin_run(spark, out_dir, run_id, config)
     try:
         ok, failures, attempted = select_builds(builds, commits, cfg, completed)
         failures, attempted = DF.materialize(failures), DF.materialize(attempted)  # four sinks read them
         sharded = plan_samples(ok, commits, commit_files, cfg, first_shard)
-        append = completed is not None
-        SH.write_shards(sharded, f"{out_dir}/shards", overwrite=overwrite, append=append)
-        SH.write_sidecar(SH.sidecar_records(sharded), f"{out_dir}/sidecar", overwrite=overwrite, append=append)
-        failures = failures.withColumn("run_id", F.lit(run_record["run_id"]))
-        failures.write.mode("overwrite" if overwrite else "append").json(f"{out_dir}/failures")
-        R.repo_attempts(attempted, failures).withColumn("run_id", F.lit(run_record["run_id"])) \
-            .write.mode("overwrite" if overwrite else "append").json(f"{out_dir}/repo_attempts")
-        SH.manifest_shards(sharded).write.mode("append" if append else "overwrite").json(f"{out_dir}/manifest_shards")
-        all_entries = spark.read.schema("shard_index int, num_samples long, shard_name string") \
-            .json(f"{out_dir}/manifest_shards")
-        counts = R.run_summary(attempted, sharded, failures).first()
-        run_record.update(status="succeeded", finished_at=_now())
-        SH.write_manifest(spark, f"{out_dir}/manifest", all_entries,
-                          SH.manifest_totals(all_entries, failures.where(F.col("source_row_index").isNotNull())),
-                          config["dataset"], config["embedding"], config["preprocessing"], run_record,
-                          config_json=json.dumps(config, sort_keys=True))
+        MF.stage_vectors(sharded, out_dir, run_id)
+        MF.stage_texts(SH.sidecar_records(sharded), out_dir, run_id)
+        failures = failures.withColumn("run_id", F.lit(run_id))
+        failures.write.mode("append").json(f"{out_dir}/failures")
+        R.repo_attempts(attempted, failures).withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{out_dir}/repo_attempts")
+        counts = R.run_summary(attempted, MF.staged_vectors(spark, out_dir, run_id), failures).first()
+        run_record.update(status="succeeded", finished_at=MF.now())
+        failed = failures.where(F.col("source_row_index").isNotNull()).count()
+        MF.commit_run(spark, out_dir, run_id, run_record | {"attempted_rows": counts["attempted_rows"], "successful_samples": counts["successful_samples"],
+                                                           "failed_samples": failed}, nothing=counts["successful_samples"] == 0)
         exc = None
     except Exception as e:  # noqa: BLE001 - recorded, then re-raised
         counts, exc = None, {"type": type(e).__name__, "message": str(e)}
-        run_record.update(status="failed", finished_at=_now())
+        run_record.update(status="failed", finished_at=MF.now())
+        MF.fail_run(spark, out_dir, run_id, run_record | {"exception": exc})
     elapsed = time.monotonic() - t0
     attempted_n = int(counts["attempted_rows"]) if counts else None
     ok_n = int(counts["successful_samples"]) if counts else None
@@ -243,7 +236,4 @@ RUN_SUMMARY_SCHEMA = (
     "resume_completed_shards_at_start long, next_shard_index long, exception_type string, exception_message string")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+_exists = MF.exists

@@ -233,6 +233,24 @@ def q_scan_builds_csv(spark, sf_dir):
     return normalize_builds_csv(read_builds_csv(spark, path))
 
 
+@query("scan_builds_quoted_csv", _W_BUILDS + """
+SELECT * REPLACE (nullif(raw_status, '') AS raw_status, CASE WHEN source_row_index % 7 = 3 THEN parent_commit_sha || chr(10) || '"q", z' || chr(10) || 'end'
+  ELSE parent_commit_sha END AS parent_commit_sha) FROM builds""")
+def q_scan_builds_quoted_csv(spark, sf_dir):
+    """Quoted fields with line ends, quotes and commas, in files that are read as many byte ranges."""
+    from ..session import scoped_conf
+    from ..sources.builds import normalize_builds_csv, read_builds_csv
+    from ..sources.shards import scratch_dir
+    path = scratch_dir(spark, "quoted_csv")
+    odd = F.concat("git_prev_built_commit", F.lit('\n"q", z\nend'))
+    raw = FX.builds_raw(spark, sf_dir).withColumn("git_prev_built_commit", F.when(F.col("source_row_index") % 7 == 3, odd).otherwise(F.col("git_prev_built_commit")))
+    raw.repartitionByRange(2, "source_row_index").sortWithinPartitions("source_row_index").drop("source_row_index").write \
+        .options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    with scoped_conf(spark, {"spark.sql.files.maxPartitionBytes": 1 << 15, "spark.sql.files.openCostInBytes": 0}):
+        read = read_builds_csv(spark, path).checkpoint(eager=True)
+    return normalize_builds_csv(read)
+
+
 @query("portable_path", """
 SELECT page_id, string_split(url, '/')[-1] AS file_name FROM pages""")
 def q_portable_path(spark, sf_dir):

@@ -76,3 +76,36 @@ def q_incremental_ingest(spark, sf_dir):
                      completed=done, max_files_per_trigger=1)
     q.awaitTermination()
     return spark.read.parquet(f"{out}/accepted").select("sample_id", "repo", "commit_sha", "label")
+
+
+@query("incremental_retry", _W_BUILDS_GIT + """
+, b AS (SELECT builds.*, CAST(substring(commit_sha, 2) AS BIGINT) % 3 AS k, EXISTS (SELECT 1 FROM commits c WHERE c.repo = builds.repo AND c.commit_sha = builds.commit_sha) AS known
+  FROM builds)
+SELECT sample_id, 'accepted' AS status, CASE WHEN k = 2 THEN 6 ELSE 0 END AS arrived_hour FROM b WHERE known AND (k < 2 OR source_row_index % 2 = 0)
+UNION ALL SELECT sample_id, 'failed', CAST(NULL AS INTEGER) FROM b WHERE NOT known OR k = 2""")
+def q_incremental_retry(spark, sf_dir):
+    """Builds arrive at hour 0; a third of the commits with them, a third at hour 1, a third at hour 5, after the
+    expiry of two hours.  Half of the builds that failed by then are delivered again at hour 6 and go on."""
+    from datetime import datetime, timedelta
+    from ..streaming.pending import BUILD, start_matching
+    at = lambda hour: F.lit(datetime(2024, 1, 1) + timedelta(hours=hour))
+    k = F.substring("commit_sha", 2, 20).cast("long") % 3
+    builds, commits = builds_git(spark, sf_dir), FX.commits(spark, sf_dir).select("repo", "commit_sha")
+    known = commits.where(k == 2)
+    tick = spark.createDataFrame([("-", "-")], "repo string, commit_sha string")
+    drops = [(builds, 0, commits.where(k == 0), 0), (None, 0, commits.where(k == 1), 1), (None, 0, tick, 4), (None, 0, tick, 4.5),
+             (None, 0, known, 5), (builds.where((k == 2) & (F.col("source_row_index") % 2 == 0)).join(known, ["repo", "commit_sha"], "left_semi"), 6, tick, 6)]
+    src = SH.scratch_dir(spark, "arrivals")
+    for some, hour, arrived, commit_hour in drops:  # one file per drop, read one after another
+        part = arrived.select("repo", "commit_sha", at(commit_hour).alias("arrived_at"), F.lit(True).alias("is_commit"))
+        if some is not None:
+            part = part.unionByName(some.withColumn("arrived_at", at(hour)).withColumn("is_commit", F.lit(False)), allowMissingColumns=True)
+        else:
+            part = part.unionByName(builds.limit(0).withColumn("arrived_at", at(0)).withColumn("is_commit", F.lit(False)), allowMissingColumns=True)
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema(f"{BUILD}, arrived_at timestamp, is_commit boolean").option("maxFilesPerTrigger", 1).parquet(src)
+    out = SH.scratch_dir(spark, "waiting")
+    start_matching(spark, stream().where("NOT is_commit").drop("is_commit"), stream().where("is_commit"), out, SH.scratch_dir(spark, "waiting_ckpt"),
+                   expiry=timedelta(hours=2)).awaitTermination()
+    ok = spark.read.parquet(f"{out}/accepted").select("sample_id", F.lit("accepted").alias("status"), F.hour("arrived_at").alias("arrived_hour"))
+    return ok.unionByName(spark.read.parquet(f"{out}/failures").select("sample_id", F.lit("failed").alias("status"), F.lit(None).cast("int").alias("arrived_hour")))

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normalize import sample_id as sample_id_expr
+from ..operators import embed as EM
 from ..operators import forest as RF
 from ..operators import fusion as FU
 from ..operators import metrics as M
+from ..operators import trees as TR
 from ..operators.splits import assign_splits, first_n_samples, split_repos
-from ..sources.shards import repair_labels
+from ..sources import manifest as MF
+from ..sources import shards as SH
+from ..sources.builds import check_input_exists
+from ..sources.shards import repair_labels, scratch_dir
 from . import duck as D
 from . import fixtures as FX
+from .q_models import _duck_greedy
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,22 +41,26 @@ def training_samples(spark, sf_dir):
 
 @query("rf_train")
 def q_rf_train(spark, sf_dir):
-    """M5/M8: fit on the train repos, metrics on validation and test (300 trees, depth 30)."""
+    """M5/M8: fit on the train repos, metrics on validation and test (300 trees, any depth)."""
     _, metrics, _ = RF.train_and_score(training_samples(spark, sf_dir), seed=0)
     return metrics
 
 
 @query("rf_predict")
 def q_rf_predict(spark, sf_dir):
-    """M7/M4: test-split result table."""
-    _, _, test = RF.train_and_score(training_samples(spark, sf_dir), seed=0)
-    return M.result_table(test, ["repo", "commit_sha"])
+    """M7/M4: test-split result table of a forest that was stored and loaded."""
+    model, _, test = RF.train_and_score(training_samples(spark, sf_dir), seed=0)
+    path = scratch_dir(spark, "forest")
+    RF.save(model, path, {}, {})
+    return M.result_table(RF.predict(RF.load(path)[0], test.drop("prediction")), ["repo", "commit_sha"])
 
 
 @query("rf_sweep")
 def q_rf_sweep(spark, sf_dir):
-    """M9: sample-size sweep over budgets 100, 250, 500 (300 trees, the default)."""
-    return RF.sample_sweep(training_samples(spark, sf_dir), [100, 250, 500], seed=0)
+    """M9: sample-size sweep over a fifth, a half and all of the samples (300 trees, the default)."""
+    s = training_samples(spark, sf_dir)
+    n = s.count()
+    return RF.sample_sweep(s, [n // 5, n // 2, n], seed=0)
 
 
 def _cfg(dim: int) -> FU.FusionConfig:
@@ -144,3 +154,143 @@ def q_fusion_train_history(spark, sf_dir):
     _, hist = FU.train(sp.where("split = 'train'"), _cfg(dim), epochs=10, steps_per_epoch=2, seed=0,
                        validation_df=sp.where("split = 'validation'"))
     return hist
+
+
+# ------------------------------------------------------------------ exact forest checks
+TREE_DEPTH = 3
+
+
+def _tree_sql() -> str:
+    """One unbagged tree on the message vectors: per level a histogram, its running sums and the best split of every node."""
+    ctes, outs = [], []
+    part = lambda a, b: f"(({a}) * cw.w0 * (({a}) * cw.w0) + ({b}) * cw.w1 * (({b}) * cw.w1)) / (({a}) * cw.w0 + ({b}) * cw.w1)"
+    for d in range(TREE_DEPTH + 1):
+        ctes.append(f"size{d} AS (SELECT path, count_if(y = 0)::DOUBLE AS n0, count_if(y = 1)::DOUBLE AS n1 FROM n{d} GROUP BY path)")
+        if d == TREE_DEPTH:
+            outs.append(f"SELECT path, {d} AS depth, NULL AS feature, NULL AS bin, n0, n1 FROM size{d}")
+            break
+        ctes += [f"""h{d} AS (SELECT path, f, b, count_if(y = 0) AS c0, count_if(y = 1) AS c1 FROM n{d} JOIN b USING (i) GROUP BY ALL)""",
+                 f"""c{d} AS (SELECT path, f, b, sum(c0) OVER w::DOUBLE AS l0, sum(c1) OVER w::DOUBLE AS l1 FROM h{d}
+  WINDOW w AS (PARTITION BY path, f ORDER BY b))""",
+                 f"""best{d} AS (SELECT path, f, b FROM c{d} JOIN size{d} USING (path), cw
+  WHERE n0 > 0 AND n1 > 0 AND l0 + l1 > 0 AND n0 - l0 + (n1 - l1) > 0
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY {part('l0', 'l1')} + {part('n0 - l0', 'n1 - l1')} DESC, f, b) = 1)""",
+                 f"""n{d + 1} AS (SELECT i, y, path || CASE WHEN b.b <= t.b THEN 'L' ELSE 'R' END AS path
+  FROM n{d} JOIN best{d} t USING (path) JOIN b USING (i) WHERE b.f = t.f)"""]
+        outs.append(f"SELECT path, {d}, f, b, n0, n1 FROM size{d} LEFT JOIN best{d} USING (path)")
+    return FX.duck_with(s=FX.DUCK_SAMPLES).rstrip("\n") + """
+, r AS (SELECT global_index AS i, CAST(coalesce(label, sidecar_label) AS INTEGER) AS y, message_embedding AS x FROM s),
+v AS (SELECT i, unnest(x)::DOUBLE AS v, generate_subscripts(x, 1) - 1 AS f FROM r),
+rng AS (SELECT f, min(v) AS lo, max(v) AS hi FROM v GROUP BY f),
+b AS MATERIALIZED (SELECT i, v.f, CAST(greatest(0, least(31, floor((v - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END) * 32))) AS INTEGER) AS b
+  FROM v JOIN rng USING (f)),
+cw AS (SELECT count(*) / (2 * count_if(y = 0)) AS w0, count(*) / (2 * count_if(y = 1)) AS w1 FROM r),
+n0 AS (SELECT i, y, '' AS path FROM r),
+""" + ",\n".join(ctes) + "\nSELECT path, CAST(depth AS INTEGER) AS depth, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, " \
+        "CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1 FROM (\n" + "\nUNION ALL ".join(outs) + ")"
+
+
+@query("tree_fit", _tree_sql())
+def q_tree_fit(spark, sf_dir):
+    """M5: one tree of depth 3 without bagging, all features at every node, balanced class weights; its nodes by path."""
+    s = training_samples(spark, sf_dir)
+    weight = {r["label"]: r["weight"] for r in M.class_weights(s).collect()}
+    cfg = TR.TreeConfig(num_trees=1, max_depth=TREE_DEPTH, features=None, bagging=False, local=100)
+    model = TR.fit(s, ["message_embedding"], "label", "global_index", cfg, (weight[0], weight[1]))
+    at = model.nodes.where("depth = 0").select("node", F.lit("").alias("path"))
+    paths = at
+    for _ in range(TREE_DEPTH):
+        inner = model.nodes.where("feature IS NOT NULL").join(at, "node")
+        at = inner.select(F.col("left").alias("node"), F.concat("path", F.lit("L")).alias("path")) \
+            .unionByName(inner.select(F.col("right").alias("node"), F.concat("path", F.lit("R")).alias("path")))
+        paths = paths.unionByName(at)
+    return model.nodes.join(paths, "node").select("path", "depth", "feature", "bin", "n0", "n1")
+
+
+@query("forest_inference", FX.duck_with(s=FX.DUCK_SAMPLES).rstrip("\n") + _duck_greedy("s", "global_index", "first_seen") + """
+SELECT s.repo, count(*) AS n, CAST(0 AS BIGINT) AS differ, 25 AS num_trees FROM s JOIN g USING (repo) WHERE g.split = 'test' GROUP BY s.repo""")
+def q_forest_inference(spark, sf_dir):
+    """A stored forest is loaded, not retrained, and scores the test repos as the fitted one did (per repo, rows that differ)."""
+    model, _, test = RF.train_and_score(training_samples(spark, sf_dir), seed=0, num_trees=25, shuffle=False)
+    path = scratch_dir(spark, "forest")
+    RF.save(model, path, {"num_trees": 25}, {})
+    loaded, config = RF.load(path)
+    again = RF.predict(loaded, test.withColumnRenamed("prediction", "first"))
+    return again.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") != F.col("prediction")).alias("differ"),
+                                     F.lit(config["num_trees"]).alias("num_trees"))
+
+
+@query("sweep_splits", FX.duck_with(s=FX.DUCK_SAMPLES).rstrip("\n") + ",\nt AS (SELECT count(*) AS n FROM s)" + "".join(
+    _duck_greedy(f"(SELECT s.* FROM s, t WHERE global_index < n // {d})", "global_index", "first_seen", tag=str(d)) for d in (5, 2, 1)) + """
+SELECT budget, split, CAST(sum(n) AS BIGINT) AS n_samples, count(*) AS n_repos, CAST(sum(sum(n)) OVER (PARTITION BY budget) AS BIGINT) AS loaded_samples FROM (
+""" + "\nUNION ALL ".join(f" SELECT t.n // {d} AS budget, g.split, r.repo, r.n FROM r{d} r JOIN g{d} g USING (repo), t" for d in (5, 2, 1)) + """
+) GROUP BY budget, split""")
+def q_sweep_splits(spark, sf_dir):
+    """M9: sizes, repos and loaded samples of a sweep whose budgets follow the table (a fifth, a half, all), from one read."""
+    s = training_samples(spark, sf_dir)
+    n = s.count()
+    splits = RF.sweep_splits(s, [n // 5, n // 2, n], shuffle=False)
+    per = splits.groupBy("budget", "split").agg(F.sum("n_samples").alias("n_samples"), F.count(F.lit(1)).alias("n_repos"))
+    return per.join(splits.groupBy("budget").agg(F.sum("n_samples").alias("loaded_samples")), "budget")
+
+
+# ------------------------------------------------------------------ stored models and results, read back
+@query("fusion_stored_model", _FUSION_SQL + "SELECT * EXCLUDE (global_index) FROM scored")
+def q_fusion_stored_model(spark, sf_dir):
+    """Fusion weights stored and loaded; the scores are those of the weights in memory."""
+    s = training_samples(spark, sf_dir)
+    cfg = _cfg(s.select(F.size("message_embedding")).first()[0])
+    path = scratch_dir(spark, "fusion")
+    FU.save(spark, FU.init_params(cfg, 0), cfg, path)
+    return _rounded(FU.score(s, *FU.load(spark, path)))
+
+
+def _rounded(scored):
+    return scored.select("sample_id", "label", F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability"),
+                         "prediction", F.transform("attention", lambda a: F.round(a, 6)).alias("attention"))
+
+
+@query("stored_predictions", _FUSION_SQL + "SELECT * EXCLUDE (global_index) FROM scored")
+def q_stored_predictions(spark, sf_dir):
+    """Predictions written as JSON and read back with a fixed schema."""
+    s = training_samples(spark, sf_dir)
+    cfg = _cfg(s.select(F.size("message_embedding")).first()[0])
+    path = scratch_dir(spark, "predictions")
+    SH.write_predictions(FU.score(s, FU.init_params(cfg, 0), cfg), path)
+    return _rounded(spark.read.schema("sample_id string, label int, logit double, probability double, prediction int, attention array<double>").json(path))
+
+
+@query("stored_result_table", FX.duck_with(p=FX.DUCK_PREDICTIONS) + """
+SELECT doc_id, CAST(label AS INTEGER) AS label, CAST(prediction AS INTEGER) AS prediction, CAST(label = prediction AS INTEGER) AS accuracy FROM p""")
+def q_stored_result_table(spark, sf_dir):
+    """The result table written as header CSV and read back."""
+    path = scratch_dir(spark, "results")
+    SH.write_result_table(M.result_table(FX.predictions(spark, sf_dir), ["doc_id"]), path)
+    return spark.read.option("header", True).schema("doc_id long, label int, prediction int, accuracy int").csv(path)
+
+
+@query("embedding_metadata", FX.duck_with(s=FX.DUCK_SAMPLES) + """
+SELECT key, value FROM (SELECT CAST(max(len(message_embedding)) AS VARCHAR) AS d FROM s),
+ LATERAL (VALUES ('model_name', 'md5-feature-hashing'), ('max_length', '512'), ('pooling', 'mean'), ('embedding_dim', d), ('dtype', 'float32'), ('device', 'cpu')) AS t(key, value)""")
+def q_embedding_metadata(spark, sf_dir):
+    """What a run records of its embedder, read back from the manifest log."""
+    dim = training_samples(spark, sf_dir).agg(F.max(F.size("message_embedding"))).first()[0]
+    out = scratch_dir(spark, "embedder")
+    MF.begin_run(spark, out, "a", {"embedding": EM.HashingEmbedder(dim, 512).metadata()})
+    row = MF.read_log(spark, out).where("kind = 'config'").select(F.from_json(F.get_json_object("detail", "$.embedding"), "map<string,string>").alias("m"))
+    return row.select(F.explode("m").alias("key", "value"))
+
+
+@query("input_check", """
+SELECT 'orders' AS name, true AS found, count(*) AS n FROM orders UNION ALL SELECT 'documents', true, count(*) FROM documents
+UNION ALL SELECT 'absent', false, 0""")
+def q_input_check(spark, sf_dir):
+    """S3: inputs are looked for before any work; an absent one is an error, not an empty table."""
+    rows = []
+    for name in ("orders", "documents", "absent"):
+        try:
+            check_input_exists(spark, f"{sf_dir}/{name}.parquet")
+            rows.append((name, True, FX.table(spark, sf_dir, name).count()))
+        except FileNotFoundError:
+            rows.append((name, False, 0))
+    return spark.createDataFrame(rows, "name string, found boolean, n long")

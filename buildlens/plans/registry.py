@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_builds", "q_text", "q_context", "q_shards", "q_models", "q_train", "q_endtoend"]
+MODULES = ["q_builds", "q_text", "q_context", "q_shards", "q_manifest", "q_models", "q_train", "q_endtoend"]
 
 
 def _mods():

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.normalize import CSV_NA_TOKENS, normalize_label, normalize_optional, sample_id
 from ..operators.ordering import with_global_index
+from ..session import ensure_checkpoint_dir
+from .csv_records import read_records
 
 # Default column roles of a build table.
 DEFAULT_REPO_COL = "gh_project_name"
@@ -55,30 +57,24 @@ def check_input_exists(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"Input not found: {path}")
 
 
-def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles = ColumnRoles()) -> DataFrame:
+def read_builds_csv(spark: SparkSession, path: str, roles: ColumnRoles | None = None) -> DataFrame:
     """Header CSV (one file or a folder of part files), every column read as text;
-    pandas-style NA tokens -> NULL; whitespace kept.
+    pandas-style NA tokens -> NULL; whitespace kept.  ``roles`` keeps their columns only.
 
-    P4: ``source_row_index`` follows file order: files by path, rows by their
-    position (split start, then position inside the split), made dense by the
-    distributed global index -- no single-task pass over the table.
+    Files are cut into records in parallel (``csv_records``), quoted line ends included.
+    P4: ``source_row_index`` is the record's place in file order, files by path.
     """
     check_input_exists(spark, path)
-    header = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    # doubled quotes, quoted line ends and short rows (NULL at the end) are ordinary CSV
-    raw = spark.read.schema(schema).option("header", True) \
-        .option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE") \
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
-        .option("nullValue", "\u0000never\u0000").option("emptyValue", "").csv(path)
+    ensure_checkpoint_dir(spark)
+    ordinary = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+                "nullValue": "\u0000never\u0000", "emptyValue": "", "maxCharsPerColumn": "-1"}
+    header = spark.read.options(**ordinary, header="true", multiLine="true").csv(path).columns
+    fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+    rows = read_records(spark, path).select("source_row_index", F.from_csv("record", fields, ordinary).alias("r"))
+    kept = header if roles is None else [c for c in header if c in {roles.repo, roles.commit, roles.label, roles.build_id, roles.parent}]
     na = F.array(*[F.lit(t) for t in CSV_NA_TOKENS])
-    cleaned = raw.select(*[F.when(F.array_contains(na, F.col(f"`{c}`")), F.lit(None))
-                           .otherwise(F.col(f"`{c}`")).alias(c) for c in header],
-                         F.col("_metadata.file_path").alias("__bl_file"),
-                         F.col("_metadata.file_block_start").alias("__bl_block"),
-                         F.monotonically_increasing_id().alias("__bl_pos"))
-    indexed = with_global_index(cleaned, ["__bl_file", "__bl_block", "__bl_pos"], name="source_row_index")
-    return indexed.drop("__bl_file", "__bl_block", "__bl_pos")
+    value = {c: F.col("r").getField(c) for c in kept}
+    return rows.select(*[F.when(F.array_contains(na, v), F.lit(None)).otherwise(v).alias(c) for c, v in value.items()], "source_row_index")
 
 
 def numeric_columns(df: DataFrame, cols: list[str]) -> dict[str, str]:
