@@ -186,10 +186,15 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> int:
     return len(head) + at
 
 
+def mapped(path: str) -> bool:
+    """Whether a file is mapped into memory, not read."""
+    return file_system(path)[0].type_name == "local"
+
+
 def read_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file as views: of its memory map where the store is a mounted folder, else of what was read."""
     store, name = file_system(path)
-    raw = pa.memory_map(name).read_buffer() if store.type_name == "local" else store.open_input_file(name).read_buffer()
+    raw = pa.memory_map(name).read_buffer() if mapped(path) else store.open_input_file(name).read_buffer()
     size = int.from_bytes(raw[:8].to_pybytes(), "little")
     base = -(-(8 + size) // 64) * 64
     spots = json.loads(raw[8:8 + size].to_pybytes())
