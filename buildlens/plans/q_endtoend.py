@@ -79,10 +79,10 @@ def q_incremental_ingest(spark, sf_dir):
 
 
 @query("incremental_retry", _W_BUILDS_GIT + """
-, b AS (SELECT builds.*, CAST(substring(commit_sha, 2) AS BIGINT) % 3 AS k, EXISTS (SELECT 1 FROM commits c WHERE c.repo = builds.repo AND c.commit_sha = builds.commit_sha) AS known
+, w AS (SELECT builds.*, CAST(substring(commit_sha, 2) AS BIGINT) % 3 AS k, EXISTS (SELECT 1 FROM commits c WHERE c.repo = builds.repo AND c.commit_sha = builds.commit_sha) AS known
   FROM builds)
-SELECT sample_id, 'accepted' AS status, CASE WHEN k = 2 THEN 6 ELSE 0 END AS arrived_hour FROM b WHERE known AND (k < 2 OR source_row_index % 2 = 0)
-UNION ALL SELECT sample_id, 'failed', CAST(NULL AS INTEGER) FROM b WHERE NOT known OR k = 2""")
+SELECT sample_id, 'accepted' AS status, CASE WHEN k = 2 THEN 6 ELSE 0 END AS arrived_hour FROM w WHERE known AND (k < 2 OR source_row_index % 2 = 0)
+UNION ALL SELECT sample_id, 'failed', CAST(NULL AS INTEGER) FROM w WHERE NOT known OR k = 2""")
 def q_incremental_retry(spark, sf_dir):
     """Builds arrive at hour 0; a third of the commits with them, a third at hour 1, a third at hour 5, after the
     expiry of two hours.  Half of the builds that failed by then are delivered again at hour 6 and go on."""

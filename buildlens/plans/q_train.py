@@ -177,7 +177,7 @@ def _tree_sql() -> str:
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY {part('l0', 'l1')} + {part('n0 - l0', 'n1 - l1')} DESC, f, b) = 1)""",
                  f"""n{d + 1} AS (SELECT i, y, path || CASE WHEN b.b <= t.b THEN 'L' ELSE 'R' END AS path
   FROM n{d} JOIN best{d} t USING (path) JOIN b USING (i) WHERE b.f = t.f)"""]
-        outs.append(f"SELECT path, {d}, f, b, n0, n1 FROM size{d} LEFT JOIN best{d} USING (path)")
+        outs.append(f"SELECT path, {d} AS depth, f AS feature, b AS bin, n0, n1 FROM size{d} LEFT JOIN best{d} USING (path)")
     return FX.duck_with(s=FX.DUCK_SAMPLES).rstrip("\n") + """
 , r AS (SELECT global_index AS i, CAST(coalesce(label, sidecar_label) AS INTEGER) AS y, message_embedding AS x FROM s),
 v AS (SELECT i, unnest(x)::DOUBLE AS v, generate_subscripts(x, 1) - 1 AS f FROM r),
