@@ -6,14 +6,14 @@ is their inner product, in 64-bit integers.  Only terms of items can add to a
 score, so documents are read once into their (term, tf) lists over those terms.
 
 Each task cuts its documents into blocks of ``BLOCK`` and builds a ball tree per
-block: a node has the centroid of its documents and, as terms are dealt into
-``GROUPS`` groups, the radius of its documents around the centroid within
-each group.  An inner product below a node is at most w.centroid plus the sum
-over groups of |w| times the radius (Cauchy-Schwarz by group); radii and bounds
-are rounded up.  A search takes nodes by descending bound, scores the
-documents of leaves exactly, and ends where the bound is below the k-th
-score so far; an equal bound is still opened, as ties go by key.  The best k of
-a task are carried from block to block, so later blocks are pruned by earlier ones.
+block, by two means.  A node has the centroid of its documents and their radius
+around it, upwards only, as no weight is negative: r over all terms together,
+and r(t) in every term alone.  An inner product below a node is at most
+w.centroid + |w| r, and at most w.(centroid + r(t)); radii and bounds are rounded
+up.  A search takes nodes by descending bound, scores the documents of leaves
+exactly, and ends where the bound is below the k-th score so far; an equal bound
+is still opened, as ties go by key.  The best k of a task are carried from block
+to block, so later blocks are pruned by earlier ones.
 
 Items are taken in blocks of at most ``ITEMS`` rows and ``ITEM_BYTES`` of text (or
 one longer item), so what is broadcast is bounded, however many there are.
@@ -39,7 +39,7 @@ from .common import store, table
 from .spans import blocks, span_hashes
 from .words import words
 
-K, BLOCK, LEAF, GROUPS = 50, 8192, 64, 64
+K, BLOCK, LEAF, ROUNDS = 50, 8192, 32, 5
 ITEMS, ITEM_BYTES = 2000, 4 << 20
 
 #: What separates terms: bytes 00-2F, 3A-40, 5B-60 and 7B-7F.
@@ -96,7 +96,7 @@ def _frequencies(postings: DataFrame, n_terms: int) -> np.ndarray:
 
 
 class Sparse:
-    """Rows of a sparse matrix: places and values of row r are at[off[r]:off[r+1]], x likewise."""
+    """Rows of a sparse matrix, none empty: places and values of row r are at[off[r]:off[r+1]], x likewise."""
 
     def __init__(self, off: np.ndarray, at: np.ndarray, x: np.ndarray):
         self.off, self.at, self.x = off, at, x
@@ -108,27 +108,30 @@ class Sparse:
         of = np.repeat(np.arange(len(rows)), size)
         return np.arange(int(size.sum())) - first[of] + self.off[rows][of], of
 
-    def dot(self, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        spot, of = self.spans(rows)
-        out = np.zeros(len(rows), np.result_type(self.x, dense))
-        np.add.at(out, of, self.x[spot] * dense[self.at[spot]])
-        return out
+    def take(self, rows: np.ndarray) -> Sparse:
+        spot, _ = self.spans(rows)
+        return Sparse(np.append(0, np.cumsum((self.off[1:] - self.off[:-1])[rows])), self.at[spot], self.x[spot])
+
+    def dot(self, low: int, high: int, dense: np.ndarray) -> np.ndarray:
+        """Inner products of the rows low to high with a dense vector."""
+        first, last = self.off[low], self.off[high]
+        return np.add.reduceat(self.x[first:last] * dense[self.at[first:last]], self.off[low:high] - first)
 
 
 class BallTree:
-    """Nodes in creation order; node 0 is the root.  A node holds rows order[low:high]."""
+    """Nodes in creation order; node 0 is the root.  A node holds rows low:high of ``rows``, which are the given ones in ``order``."""
 
     def __init__(self, rows: Sparse, n_terms: int):
         self.rows, self.n_terms = rows, n_terms
         n = len(rows.off) - 1
         self.order = np.arange(n)
-        self.low, self.high, self.child, self.centre, self.radius = [0], [n], [0], [], []
+        self.low, self.high, self.child, self.ball = [0], [n], [0], []
         node = 0
         while node < len(self.low):
             low, high = self.low[node], self.high[node]
             own = self.order[low:high]
             spot, of = rows.spans(own)
-            centre, apart = self._ball(spot, of, len(own))
+            apart = self._ball(spot, of, len(own))
             if high - low > LEAF:
                 cut = self._split(low, own, spot, of, apart)
                 self.child[node] = len(self.low)
@@ -136,68 +139,71 @@ class BallTree:
                 self.high += [low + cut, high]
                 self.child += [0, 0]
             node += 1
+        self.rows = rows.take(self.order)
 
-    def _ball(self, spot: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Adds centroid and radii of a node; (centroid, squared distance to it of each row)."""
+    def _ball(self, spot: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Adds terms, centroid, centroid + r(t) and r of a node; the squared distance to the centroid of each row."""
         at, x = self.rows.at[spot], self.rows.x[spot].astype(np.float64)
-        centre = np.bincount(at, x, self.n_terms) / n
-        # |x - c|^2 in a group is |c|^2 there, corrected at the row's own terms
-        whole = np.bincount(np.arange(self.n_terms) % GROUPS, centre * centre, GROUPS)
-        change = np.bincount(of * GROUPS + at % GROUPS, (x - centre[at]) ** 2 - centre[at] ** 2, n * GROUPS).reshape(n, GROUPS)
-        apart = np.maximum(change + whole, 0)
-        held = np.flatnonzero(centre)
-        self.centre.append((held, centre[held]))
-        # the squares' own rounding is relative to the largest of them
-        slack = 1e-12 * (whole + np.bincount(of * GROUPS + at % GROUPS, x * x, n * GROUPS).reshape(n, GROUPS).max(axis=0))
-        self.radius.append(np.sqrt(apart.max(axis=0) + slack) * UP)
-        return centre, apart.sum(axis=1)
+        centre, top = np.bincount(at, x, self.n_terms) / n, np.zeros(self.n_terms)
+        np.maximum.at(top, at, x)
+        upward = np.bincount(of, np.maximum(x - centre[at], 0) ** 2, n)
+        held = np.flatnonzero(top)
+        self.ball.append((held, centre[held], top[held], np.sqrt(upward.max()) * UP))
+        return np.bincount(of, (x - centre[at]) ** 2 - centre[at] ** 2, n) + centre @ centre
 
     def _split(self, low: int, own: np.ndarray, spot: np.ndarray, of: np.ndarray, apart: np.ndarray) -> int:
-        """Orders the node's rows, order[low:], by which of two far rows is nearer; the number of those at the first."""
-        x = self.rows.x[spot].astype(np.float64)
-        norm = np.bincount(of, x * x, len(own))
-
-        def distance(row: int) -> np.ndarray:
-            dense = np.zeros(self.n_terms)
-            mine = of == row
-            dense[self.rows.at[spot[mine]]] = x[mine]
-            return norm - 2 * np.bincount(of, x * dense[self.rows.at[spot]], len(own)) + norm[row]
-
-        one = distance(int(np.argmax(apart)))
-        two = distance(int(np.argmax(one)))
-        rank = np.argsort(one - two, kind="stable")
-        self.order[low:low + len(own)] = own[rank]
-        cut = int((one < two).sum())
-        return cut if len(own) // 8 <= cut <= len(own) - len(own) // 8 else len(own) // 2  # far rows alone don't make a tree
-
-    def bound(self, node: int, dense: np.ndarray, by_group: np.ndarray) -> float:
+        """Orders the node's rows, order[low:], by two means that start at two far rows; the number of those at the first."""
+        at, x, n = self.rows.at[spot], self.rows.x[spot].astype(np.float64), len(own)
+
+        def gain(centre: np.ndarray) -> np.ndarray:
+            """Half of |x|^2 - |x - c|^2 of each row."""
+            return np.bincount(of, x * centre[at], n) - centre @ centre / 2
+
+        def mean(rows: np.ndarray) -> np.ndarray:
+            mine = rows[of]
+            return np.bincount(at[mine], x[mine], self.n_terms) / rows.sum()
+
+        norm = np.bincount(of, x * x, n) / 2
+        one = gain(mean(np.arange(n) == np.argmax(apart)))
+        two = gain(mean(np.arange(n) == np.argmax(norm - one)))
+        for _ in range(ROUNDS):
+            first = one > two
+            if first.all() or not first.any():
+                break
+            one, two = gain(mean(first)), gain(mean(~first))
+        self.order[low:low + n] = own[np.argsort(two - one, kind="stable")]
+        cut = int((one > two).sum())
+        return cut if 0 < cut < n else n // 2
+
+    def bound(self, node: int, dense: np.ndarray, norm: float) -> float:
         """No document below ``node`` scores more."""
-        at, c = self.centre[node]
-        return (float(c @ dense[at]) + float(self.radius[node] @ by_group)) * UP + 1e-3
+        at, centre, top, radius = self.ball[node]
+        w = dense[at]
+        return min(float(w @ centre) + norm * radius, float(w @ top)) * UP + 1e-3
 
 
 def search(tree: BallTree, keys: np.ndarray, weights: np.ndarray, k: int, best: list) -> int:
-    """Adds to ``best`` (a heap of (score, -key, serial) of at most k) from one tree; the documents scored.
+    """Adds to ``best`` (a heap of (score, -key) of at most k) from one tree; the documents scored.
 
     ``weights``: the item's integer weight of every term.
     """
     dense = weights.astype(np.float64)
-    by_group = np.sqrt(np.bincount(np.arange(len(weights)) % GROUPS, dense * dense, GROUPS)) * UP
-    open_, scored = [(-tree.bound(0, dense, by_group), 0)], 0
+    norm = float(np.sqrt(dense @ dense)) * UP
+    open_, scored = [(-tree.bound(0, dense, norm), 0)], 0
     while open_:
         bound, node = heapq.heappop(open_)
         if -bound < 1 or len(best) == k and -bound < best[0][0]:
             break
         if tree.child[node]:
             for c in (tree.child[node], tree.child[node] + 1):
-                heapq.heappush(open_, (-tree.bound(c, dense, by_group), c))
+                heapq.heappush(open_, (-tree.bound(c, dense, norm), c))
             continue
-        own = tree.order[tree.low[node]:tree.high[node]]
-        score = tree.rows.dot(own, weights)
-        scored += len(own)
+        low, high = tree.low[node], tree.high[node]
+        score = tree.rows.dot(low, high, weights)
+        scored += high - low
         least = best[0][0] if len(best) == k else 1
         for r in np.flatnonzero(score >= least).tolist():
-            entry = (int(score[r]), -int(keys[own[r]]))
+            entry = (int(score[r]), -int(keys[tree.order[low + r]]))
             if len(best) < k:
                 heapq.heappush(best, entry)
             elif entry > best[0]:
@@ -244,7 +250,7 @@ def _ranked(postings: DataFrame, items: list[np.ndarray], weight: np.ndarray, m_
         yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["item", "id", "score"])
 
     order = [F.col("score").desc(), F.col("id").asc_nulls_last()]
-    found = postings.mapInArrow(best_of_task, "item long, id long, score long")
+    found = postings.filter(F.size("at") > 0).mapInArrow(best_of_task, "item long, id long, score long")
     # best of groups of tasks first, so that an item's window stays small
     near = found.withColumn("task", F.spark_partition_id() % 256)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("item", "task").orderBy(*order))).filter(F.col("rank") <= k)
