@@ -16,7 +16,8 @@ length octave apart, over all candidates of the corpus (Benjamini-Hochberg on a
 histogram of log p).  Discoveries become spans of kind ``random``.
 
 Positions come from the lengths of the pieces between matches, summed by a
-window over one document's matches.  Defined results: a null text is ''; a row
+window over one document's matches.  Tokens of any length are tested whole, in time that
+grows with the length.  Defined results: a null text is ''; a row
 is known by id and text, so rows that repeat both have equal results; an empty
 table gives an empty one.
 """
@@ -80,24 +81,28 @@ def _tail(bad: Column, bound: Column) -> Column:
 
 
 def randomness(tokens: DataFrame, token: str = "match") -> DataFrame:
-    """``tokens`` with encoding, octave, passes (the three tests don't reject) and logp (natural log, as text)."""
+    """``tokens`` with encoding, octave, passes (the three tests don't reject) and logp (natural log, as text).
+
+    What a later expression reads per character is stored first: else it would be made anew for every
+    character, and the cost of a token would grow with the square of its length and more.
+    """
     t = F.regexp_replace(F.col(token), "=+$", "")
     df = tokens.withColumn("t", t).withColumn("n", F.char_length("t").cast("double")).filter("n >= 16")
     encoding, letters = F.lit("mixed"), F.lit(66)
     for name, pattern, size in reversed(ENCODINGS):
         encoding = F.when(F.col("t").rlike(pattern), F.lit(name)).otherwise(encoding)
         letters = F.when(F.col("t").rlike(pattern), F.lit(size)).otherwise(letters)
-    df = df.withColumn("encoding", encoding).withColumn("letters", letters.cast("double")) \
-        .withColumn("chars", F.split("t", "")).withColumn("codes", F.transform("chars", F.ascii))
-    squares = F.aggregate(F.array_distinct("chars"), F.lit(0.0),
-                          lambda a, c: a + F.pow(F.col("n") - F.char_length(F.replace("t", c, F.lit(""))), 2))
-    df = df.withColumn("squares", squares)
+    chars = F.split("t", "")
+    df = store(df.withColumn("encoding", encoding).withColumn("letters", letters.cast("double"))
+               .withColumn("symbols", F.array_distinct(chars)).withColumn("codes", F.transform(chars, F.ascii)), "token-codes")
+    squares = F.aggregate("symbols", F.lit(0.0), lambda a, c: a + F.pow(F.col("n") - F.char_length(F.replace("t", c, F.lit(""))), 2))
+    # the token's own middle code parts its lower from its upper half
+    df = store(df.withColumn("squares", squares).withColumn("middle", F.element_at(F.array_sort("codes"), (F.col("n") / 2).cast("int") + 1)), "token-counts")
     # chi-squared by the Wilson-Hilferty cube root
     free = F.col("letters") - 1
     chi = F.col("letters") / F.col("n") * F.col("squares") - F.col("n")
     z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    # runs of the lower and the upper half of the characters, by the token's own middle code
-    df = df.withColumn("middle", F.element_at(F.array_sort("codes"), (F.col("n") / 2).cast("int") + 1))
+    # runs of the lower and the upper half of the characters
     df = df.withColumn("side", F.array_join(F.transform("codes", lambda c: F.when(c < F.col("middle"), "0").otherwise("1")), ""))
     ones = F.char_length(F.replace("side", F.lit("0"), F.lit(""))).cast("double")
     runs = F.char_length(F.regexp_replace("side", "(.)\\1*+", "$1")).cast("double")
@@ -126,7 +131,7 @@ def randomness(tokens: DataFrame, token: str = "match") -> DataFrame:
     both = -(few + many)
     return df.withColumn("passes", (z_chi < 3.1) & (F.abs(z_runs) < 3.3) & (F.abs(z_serial) < 3.3)) \
         .withColumn("logp", F.log1p(both) - both).withColumn("octave", F.floor(F.log2("n")).cast("int")) \
-        .drop("t", "n", "letters", "chars", "codes", "squares", "middle", "side", "sum1", "sum2", "lag")
+        .drop("t", "n", "letters", "symbols", "codes", "squares", "middle", "side", "sum1", "sum2", "lag")
 
 
 def discoveries(tested: DataFrame, rate: float = FDR) -> DataFrame:
