@@ -5,9 +5,11 @@ and further ones for words that it holds twice or more.  The
 score is the logistic of ``bias + sum w[t] + sum over pairs <v[t], v[u]>``, so a
 pair of terms weighs more or less than both alone.  It is fitted in
 numpy on a bounded sample of labelled documents (``SAMPLE``; equal texts count
-once) and kept for terms that enough of them hold; the model, of
-``MAX_TERMS`` terms at most, is broadcast.  Scoring reads every whole text in one
-pass without a shuffle.
+once).  A term takes part if enough of them hold it and either it goes with the
+label beyond chance, or a pair that it belongs to does, beyond what both of its
+terms do alone; such pairs are looked for in the labelled documents that the terms
+of the first kind don't explain.  The model is broadcast; it holds terms of
+the sample only.  Scoring reads every whole text in one pass without a shuffle.
 
 Labels come only from rows that are not held out.  Defined results: null and
 empty texts have no terms and get the score of the bias; documents without a
@@ -27,9 +29,9 @@ from .spans import U64, blocks, mix, span_hashes
 from .words import words
 
 SAMPLE = 16_000      # labelled documents to fit on
-MAX_TERMS = 120_000
 MIN_DOCS = 4         # of the sample's documents that hold a term, at least, at every size of the sample
 FACTORS = 4
+BUCKETS = 1 << 22    # counters that pairs of terms are hashed into first
 THRESHOLD = 0.3
 
 #: ASCII characters that are neither letter nor digit.
@@ -86,25 +88,80 @@ def _forward(idx, off, bias, w, v):
     return bias + _sums(w[idx], off) + 0.5 * ((line * line).sum(axis=1) - square), line, own
 
 
+def _beyond_chance(ones: np.ndarray, many: np.ndarray, share) -> np.ndarray:
+    """Of counts of labelled ones among many: what is beyond 6 standard deviations and 3 documents of a share."""
+    return ones - many * share - 6 * np.sqrt(many * share * (1 - share)) - 3
+
+
 def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 600, factors: int = FACTORS, seed: int = 7) -> FactorizationMachine:
     """Fit on term lists and 0/1 labels.
 
     A term takes part if its documents have more (or fewer) ones than chance
     explains, by 6 standard deviations and 3 documents, so words of unrelated
-    texts have no weight.  Weights and factors of these are fitted together on
-    all documents at once; a step is divided by the number of terms that a
-    document brings, which keeps simultaneous steps from overshooting.
+    texts have no weight.  Then the terms of ``_telling_pairs`` join, and all is fitted anew.
     """
     if not docs:
         return FactorizationMachine(np.zeros(0, U64), -40.0, np.zeros(0), np.zeros((0, factors)))
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-    bias = float(np.log(share / (1 - share)))
     every, which, many = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    beyond = np.abs(np.bincount(which, (labels - share)[row], len(every))) - 6 * np.sqrt(many * share * (1 - share)) - 3
-    least = min(MIN_DOCS, len(docs))
-    held = np.flatnonzero((beyond > 0) & (many >= least))
-    terms = every[np.sort(held[np.argsort(-beyond[held], kind="stable")[:MAX_TERMS]])]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    ones = np.bincount(which, np.repeat(labels, np.diff(off)), len(every))
+    enough = many >= min(MIN_DOCS, len(docs))
+    alone = enough & (np.maximum(_beyond_chance(ones, many, share), _beyond_chance(many - ones, many, 1 - share)) > 0)
+    model = _descend(docs, labels, every[alone], share, rounds, factors, seed)
+    idx, cut = _places(docs, model.terms)
+    missed = np.flatnonzero((labels == 1) & (_logistic(_forward(idx, cut, model.bias, model.w, model.v)[0]) < 0.5))
+    pairs = _telling_pairs(which, off, labels, missed, enough, np.maximum(ones / many, share))
+    joined = alone.copy()
+    joined[pairs.ravel()] = True
+    return _descend(docs, labels, every[joined], share, rounds, factors, seed) if len(pairs) else model
+
+
+def _telling_pairs(term: np.ndarray, off: np.ndarray, labels: np.ndarray, missed: np.ndarray, enough: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Pairs of terms (rows of two) whose common documents have more ones than the higher ``rate`` of the two explains.
+
+    ``term``: places of the documents' terms, tiled by ``off``.  Only pairs that ``MIN_DOCS`` of the ``missed``
+    documents hold can tell; they are counted in hashed counters first, then exactly.
+    """
+    lists = [np.unique(term[off[d]:off[d + 1]]) for d in missed]
+    count = np.bincount(np.concatenate(lists or [np.zeros(0, np.int64)]), minlength=len(enough))
+    usable = enough & (count >= MIN_DOCS)
+    lists = [x[usable[x]] for x in lists]
+    n = U64(len(enough))
+
+    def keys(x: np.ndarray):
+        for i in range(0, len(x), 512):  # some thousand rows of the triangle at a time
+            a, b = np.nonzero(np.arange(i, min(i + 512, len(x)))[:, None] < np.arange(len(x)))
+            yield x[a + i].astype(U64) * n + x[b].astype(U64)
+
+    tally = np.zeros(BUCKETS, np.uint16)
+    for x in lists:
+        for k in keys(x):
+            np.add.at(tally, (mix(k) % U64(BUCKETS)).astype(np.int64), 1)
+    held = [k[tally[(mix(k) % U64(BUCKETS)).astype(np.int64)] >= MIN_DOCS] for x in lists for k in keys(x)]
+    pair, often = np.unique(np.concatenate(held or [np.zeros(0, U64)]), return_counts=True)
+    pair = pair[often >= MIN_DOCS]
+    a, b = (pair // n).astype(np.int64), (pair % n).astype(np.int64)
+    # the documents of each term that is in a pair
+    used = np.zeros(len(enough), bool)
+    used[a] = used[b] = True
+    hit = np.flatnonzero(used[term])
+    doc = np.searchsorted(off, hit, side="right") - 1
+    order = np.lexsort((doc, term[hit]))
+    doc, own = doc[order], term[hit][order]
+    where = lambda t: doc[np.searchsorted(own, t, "left"):np.searchsorted(own, t, "right")]
+    good = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        both = np.intersect1d(where(i), where(j))
+        if _beyond_chance(labels[both].sum(), len(both), min(max(rate[i], rate[j]), 1 - 1e-3)) > 0:
+            good.append((i, j))
+    return np.array(good, np.int64).reshape(-1, 2)
+
+
+def _descend(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, share: float, rounds: int, factors: int, seed: int) -> FactorizationMachine:
+    """Weights and factors of ``terms`` (ascending), fitted together on all documents at once; a step is divided by the
+    number of terms that a document brings, which keeps simultaneous steps from overshooting."""
+    bias = float(np.log(share / (1 - share)))
     w, v = np.zeros(len(terms)), np.random.default_rng(seed).normal(0, 0.05, (len(terms), factors))
     idx, off = _places(docs, terms)
     size = np.diff(off)
@@ -114,7 +171,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, rounds: int = 600, factors:
         p = _logistic(out)
         steep = np.maximum(p * (1 - p), 0.02)
         error = (p - labels)[row]
-        dv = np.stack([np.bincount(idx, error * (line[row, f] - own[:, f]), len(terms)) for f in range(factors)], axis=1) + 2 * v
+        dv = np.stack([np.bincount(idx, error * (line[row, f] - own[:, f]), len(terms)) for f in range(factors)], axis=1) + 0.05 * v
         gv += dv * dv
         w = w - (np.bincount(idx, error, len(terms)) + 0.1 * w) / (np.bincount(idx, (steep * (1 + size))[row], len(terms)) + 0.1)
         v = v - 0.05 * dv / np.sqrt(gv)
@@ -156,7 +213,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, text: str = "te
     """``docs`` with the score of ``text``; replaces a column of that name."""
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
     kept = [f for f in docs.schema.fields if f.name != score]
     names = [f.name for f in kept]
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +42,43 @@ def test_pairs_of_terms_weigh_more_than_both_alone():
     assert scores[2] > 0.6 and scores[[0, 1, 3]].max() < 0.5
 
 
+def test_a_pair_counts_whose_terms_sit_at_the_base_rate(spark):
+    """Documents are toxic with both 'maple' and 'river', or, without either, with 'scum'; each word alone is at the base rate."""
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for i in range(2400):
+        one, two = rnd.random() < 0.25, rnd.random() < 0.25
+        scum = not one and not two and rnd.random() < 1 / 3
+        words = rnd.choices([f"w{k}" for k in range(300)], k=25) + ["maple"] * one + ["river"] * two + ["scum"] * scum
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(one and two or scum)))
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rate = lambda w: np.mean([y for (_, t), (_, y) in zip(rows, labels) if w in t.split()])
+    base = np.mean([y for _, y in labels])
+    assert abs(rate("maple") - base) < 0.05 and abs(rate("river") - base) < 0.05
+    model = toxicity.train(docs, given)
+    asked = spark.createDataFrame(list(enumerate(["w1 maple w2 river w3", "w1 maple w2 w3", "w1 river w2 w3", "w1 w2 w3", "w4 scum w5"])), "doc_id long, text string")
+    score = [r.score for r in toxicity.score_toxicity(asked, model).orderBy("doc_id").collect()]
+    assert score[0] > 0.6 and score[4] > 0.6 and max(score[1:4]) < 0.3
+    # the pair's part of the score is the factors'
+    plain = toxicity.FactorizationMachine(model.terms, model.bias, model.w, model.v * 0)
+    without = [r.score for r in toxicity.score_toxicity(asked, plain).orderBy("doc_id").collect()]
+    assert without[0] < 0.3
+
+
+def test_scores_equal_a_sum_over_pairs():
+    rnd = np.random.default_rng(5)
+    terms = np.sort(rnd.integers(1, 2**40, 12, dtype=np.uint64))
+    model = toxicity.FactorizationMachine(terms, -0.3, rnd.normal(size=12), rnd.normal(size=(12, 3)))
+    docs = [np.sort(rnd.choice(terms, k, replace=False)) for k in (0, 1, 2, 5, 12)]
+    got = model.scores(np.concatenate([*docs, [np.uint64(7)]]), np.cumsum([0, *map(len, docs), 1]))
+    for d, s in zip([*docs, np.array([], np.uint64)], got):
+        at = np.searchsorted(terms, d)
+        x = -0.3 + sum(model.w[i] for i in at) + sum(model.v[i] @ model.v[j] for n, i in enumerate(at) for j in at[n + 1:])
+        assert s == pytest.approx(1 / (1 + np.exp(-x)))
+
+
 def test_rare_toxic_terms_count_in_large_samples():
     rare, often, rest = 1, 2, 3  # rare: in 40 of 16,000 documents, all of them toxic
     docs = [[rare, rest]] * 40 + [[often, rest]] * 1600 + [[rest]] * 14360
@@ -131,6 +169,18 @@ def test_random_tokens_are_found_and_text_is_not(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_long_tokens_are_tested_whole(spark):
+    """One random token of 200,000 characters is found, and takes seconds; one of repeated text is not."""
+    rnd = random.Random(3)
+    long = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    began = time.time()
+    rows = spark.createDataFrame([(1, f"data {long} end"), (2, "x " + "abc123" * 30_000)], "doc_id long, text string")
+    found = {r.id: (r.start, r.end) for r in secrets.matches(rows).filter("kind = 'random'").collect()}
+    kept = secrets.discoveries(secrets.randomness(secrets.matches(rows).filter("kind = 'random'"))).collect()
+    assert found[1] == (5, 200_005) and [r.id for r in kept] == [1]
+    assert time.time() - began < 60
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(25, 16))
