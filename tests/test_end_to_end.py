@@ -195,13 +195,11 @@ def test_training_lifecycle_from_stored_shards(spark, tmp_out):
     m = predict_forest(spark, f"{tmp_out}/pre", f"{tmp_out}/rf", f"{tmp_out}/rf_pred").first()
     first, again = (sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_out}/{d}/test_results").collect())) for d in ("rf", "rf_pred"))
     assert first == again and 0.0 <= m["accuracy"] <= 1.0
-    history = train_fusion(spark, f"{tmp_out}/pre", f"{tmp_out}/fusion2", epochs=2).collect()
-    assert [r["epoch"] for r in history] == [1, 2]
+    history = train_fusion(spark, f"{tmp_out}/pre", f"{tmp_out}/fusion2", epochs=1).collect()
+    assert [r["epoch"] for r in history] == [1]
     metrics = json.loads(spark.read.json(f"{tmp_out}/fusion2/config").first()["metrics"])
     confusion = spark.read.option("header", True).csv(f"{tmp_out}/fusion2/confusion").collect()
     assert sum(int(r["predicted_0"]) + int(r["predicted_1"]) for r in confusion) == metrics["test"] == per_split["test"]
-    sweep = sweep_forest(spark, f"{tmp_out}/pre", f"{tmp_out}/sweep", [2, 40], num_trees=3).collect()
-    assert [r["loaded_samples"] for r in sweep] == [2, 40] and sweep[1]["train_size"] + sweep[1]["validation_size"] + sweep[1]["test_size"] == 40
     with pytest.raises(ValueError):
         sweep_forest(spark, f"{tmp_out}/pre", f"{tmp_out}/sweep", [])
 
