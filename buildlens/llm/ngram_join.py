@@ -14,9 +14,10 @@ class, whose node is a 64-bit hash of the set.  Between classes:
   a few partitions to spare; a set with more such weak partitions than that
   also gets the signatures of another division of the domain, so that no pair
   is lost.
-* Sets that share a signature are linked to the smallest of them first.  Only
-  where a signature's sets are still in different components, their other
-  pairs are looked at: a parity bitmap, whose Hamming distance is a lower bound
+* Sets that share a signature are linked to the smallest of them first, each to
+  one, then to the others that it met so.  Where a signature's sets are still in
+  different components, one set of each is compared with one other, a few times;
+  only what is apart after that is looked at pair by pair.  A parity bitmap, whose Hamming distance is a lower bound
   of the symmetric difference, discards those that can't be similar.
 * Every pair that remains is verified exactly on both whole sets.
 
@@ -44,6 +45,8 @@ from .words import shingle_sets
 GROWTH = 1.6   # a band's lowest size to the next one's
 SPARE = 0.35   # spare partitions, as a share
 SEEDS = 6      # divisions of the domain
+PER_BUCKET = 1_000_000  # shingles per bucket of signatures, which one task holds
+ROUNDS = 3       # of one set per component, before all pairs
 PER_GROUP = 200  # texts of one side of a group that is verified together
 
 
@@ -195,7 +198,7 @@ def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFra
 
     def sign(batches):
         for batch in batches:
-            for _, part in blocks(batch.column(0), 1 << 22):
+            for _, part in blocks(batch.column(0)):
                 hashes, off = shingle_sets(part)
                 node, _ = set_hashes(hashes, off)
                 # a set that the block holds twice is signed once
@@ -255,10 +258,15 @@ def _meet(bucket: int, rows: list):
     group = np.repeat(np.arange(len(begin)), count)
     at = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
     member, centre = who[at], np.repeat(who[begin], count)
+    pair = np.repeat(count == 2, count)
     edge, found = np.unique((centre.astype(U64) << U64(32) | member.astype(U64))[member != centre], return_counts=True)
-    yield _table(None, known[(edge >> U64(32)).astype(np.int64)], known[(edge & U64(0xFFFFFFFF)).astype(np.int64)],
-                 size[(edge & U64(0xFFFFFFFF)).astype(np.int64)], found)
-    # one group of each list of members: a pair's only pair is its star edge
+    from_, to = (edge >> U64(32)).astype(np.int64), (edge & U64(0xFFFFFFFF)).astype(np.int64)
+    # a member of larger groups needs one centre of them here; a group of two is its star edge alone
+    keep = np.bincount(np.searchsorted(edge, (centre.astype(U64) << U64(32) | member.astype(U64))[pair & (member != centre)]), minlength=len(edge)) > 0
+    order = np.lexsort((from_, -found, to))
+    keep[order[np.concatenate([[True], to[order][1:] != to[order][:-1]])]] = True
+    yield _table(None, known[from_[keep]], known[to[keep]], size[to[keep]], found[keep])
+    # one group of each list of members
     print_of = np.add.reduceat(mix(known[member].view(U64) + U64(77)), np.cumsum(count) - count)
     _, one = np.unique(print_of, return_index=True)
     one = one[count[one] > 2]
@@ -378,7 +386,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     slim = reps.select("node", "rep", "mark")
     if largest > 0:
         bands = Bands(num, den, largest)
-        shared = _shared(docs, text, bands, max(partitions(spark), int(total / 4_000_000) + 1))
+        shared = _shared(docs, text, bands, max(partitions(spark), int(total / PER_BUCKET) + 1))
         stars = _plausible(shared.filter("grp is null").groupBy(F.col("centre").alias("a"), F.col("node").alias("b"))
                            .agg(F.sum("times").alias("times")), reps, num, den)
         best = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
@@ -386,12 +394,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      .select("a", "b", F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("i"), F.lit(0).alias("j")), "best-stars")
         good = _verify(docs, key, text, best, slim, num, den)
         comp = components(good)
-        # what is still apart: the other star edges, and pairs inside larger groups
-        apart = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), comp) \
-            .unionByName(_cross(shared.filter("grp is not null").select("grp", "node"), comp, reps, num, den))
-        apart = store(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-apart")
-        more = _verify(docs, key, text, _in_blocks(apart), slim, num, den)
-        comp = components(good.unionByName(more))
+        # what is still apart: first the other star edges, a few per set, then one set of each component of a larger
+        # group against one other, and last all pairs inside larger groups
+        groups = shared.filter("grp is not null").select("grp", "node")
+        steps = [lambda c: _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), c)] \
+            + [lambda c, k=k: _plausible(_one_each(groups, c, k), reps, num, den) for k in range(ROUNDS)] + [lambda c: _cross(groups, c, reps, num, den)]
+        for found in steps:
+            apart = store(found(comp).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-apart")
+            if not apart.isEmpty():
+                more = _verify(docs, key, text, _in_blocks(apart), slim, num, den)
+                good, comp = (good, comp) if more.isEmpty() else (good.unionByName(more), components(good.unionByName(more)))
     else:
         comp = spark.createDataFrame([], "node long, component long")
     named = reps.select("node", "check", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -408,6 +420,14 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _one_each(members: DataFrame, comp: DataFrame, k: int) -> DataFrame:
+    """Inside each group one set of every component (another one each round ``k``) with that of one component: linear in the members."""
+    labelled = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    one = labelled.groupBy("grp", "component").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("b"))
+    centre = one.groupBy("grp").agg(F.min_by("b", F.xxhash64("component", F.lit(k))).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return one.join(centre, "grp").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("times", F.lit(1).cast("long"))
+
+
 def _cross(members: DataFrame, comp: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components inside a group, less those that size or parity rules out."""
     labelled = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
