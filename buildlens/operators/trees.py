@@ -31,7 +31,9 @@ from .diffs import materialize
 U64 = np.uint64
 NODES = "tree int, node long, depth int, feature int, bin int, left long, right long, n0 long, n1 long"
 HISTOGRAMS = 64 << 20  # bytes of a task's histograms in one pass
-MAX_NODES = 4_000_000  # of a model that a task holds; larger ones are applied by groups of trees
+MAX_NODES = 1_000_000  # of a model that a task holds; larger ones are applied by groups of trees
+ROW = "_scored_row"
+PACKED = ["node", "depth", "feature", "bin", "left", "right", "n0", "n1"]
 
 
 @dataclass
@@ -345,15 +347,15 @@ def _finished(state: DataFrame, small: list, d: int, weights, cfg: TreeConfig) -
 class _Packed:
     """Nodes of some trees as arrays; a node's children are places."""
 
-    def __init__(self, rows: list, weights: tuple[float, float]):
-        rows = sorted(rows, key=lambda r: r["node"])
-        ids = np.array([r["node"] for r in rows])
-        self.feature = np.array([-1 if r["feature"] is None else r["feature"] for r in rows])
-        self.bin = np.array([r["bin"] or 0 for r in rows])
-        self.left, self.right = (np.searchsorted(ids, np.array([r[side] or 0 for r in rows])) for side in ("left", "right"))
-        a, b = (np.array([r[c] for r in rows]) * w for c, w in zip(("n0", "n1"), weights, strict=True))
+    def __init__(self, pieces: list[dict], weights: tuple[float, float]):
+        col = {c: np.concatenate([p[c] for p in pieces]) for c in PACKED}
+        by = np.argsort(col["node"], kind="stable")
+        ids = col["node"][by]
+        self.feature, self.bin = col["feature"][by], col["bin"][by]
+        self.left, self.right = (np.searchsorted(ids, col[side][by]).astype(np.int32) for side in ("left", "right"))
+        a, b = (col[c][by] * w for c, w in zip(("n0", "n1"), weights, strict=True))
         self.share = np.where(a + b > 0, b / np.maximum(a + b, 1e-300), 0.0)
-        self.roots = np.array([i for i, r in enumerate(rows) if r["depth"] == 0])
+        self.roots = np.flatnonzero(col["depth"][by] == 0)
 
     def total(self, bins: np.ndarray) -> np.ndarray:
         """Sum over trees of the share of class 1 in each row's leaf."""
@@ -368,36 +370,59 @@ class _Packed:
         return out
 
 
+def _group_totals(model: TreeModel, tagged: DataFrame, columns: list[str], of: list[tuple[int, int]]) -> DataFrame:
+    """(row, group, total): each row's sum over the trees of each group; ``of``: (tree, group).
+
+    A group's nodes and the binned rows meet in one partition, nodes first, so a task holds the nodes of one group and a batch of rows.
+    """
+    spark, d, weights = tagged.sparkSession, len(model.low), model.weights
+    n_groups = of[-1][1] + 1
+    nodes = model.nodes.join(F.broadcast(spark.createDataFrame(of, "tree int, group int")), "tree") \
+        .select("group", F.lit(-1).cast("long").alias(ROW), *[F.coalesce(c, F.lit(-1)).alias(c) for c in PACKED], F.lit(None).cast("binary").alias("bins"))
+    rows = bin_rows(tagged, columns, model.low, model.high, model.config.bins, [ROW]) \
+        .select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"), ROW, *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in PACKED], "bins")
+
+    def apply(batches):
+        group, held, packed = None, [], None
+        for batch in batches:
+            at, ids = batch.column("group").to_numpy(), batch.column(ROW).to_numpy()
+            cut = [0, *(np.flatnonzero((at[1:] != at[:-1]) | ((ids[1:] < 0) != (ids[:-1] < 0))) + 1).tolist(), len(batch)]
+            for first, end in zip(cut[:-1], cut[1:], strict=True):
+                part = batch.slice(first, end - first)
+                if not len(part):
+                    continue
+                if ids[first] < 0:
+                    if at[first] != group:
+                        group, held, packed = at[first], [], None
+                    held.append({c: part.column(c).to_numpy().copy() for c in PACKED})
+                    continue
+                if packed is None:
+                    packed, held = _Packed(held, weights), []
+                yield pa.RecordBatch.from_arrays([part.column(ROW), part.column("group"), pa.array(packed.total(_bytes(part, d)))], [ROW, "group", "total"])
+
+    return nodes.unionByName(rows).repartition(4 * n_groups, "group").sortWithinPartitions("group", ROW) \
+        .mapInArrow(apply, f"{ROW} long, group int, total double")
+
+
 def predict(model: TreeModel, df: DataFrame, columns: list[str], score: str = "score") -> DataFrame:
     """``df`` with the mean share of class 1 over all trees.
 
-    Nodes are broadcast, ``MAX_NODES`` of them at most; a larger model is applied in several passes, some trees in each.
+    Trees are dealt in groups of ``MAX_NODES`` nodes at most (a larger tree is its own group), and every row meets every group;
+    no nodes reach the driver.
     """
     sizes = sorted((r["tree"], r["n"]) for r in model.nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per tree
-    groups, held = [[]], 0
+    if not sizes:
+        return df.withColumn(score, F.lit(0.0))
+    of, held = [], 0
     for tree, n in sizes:
-        if groups[-1] and held + n > MAX_NODES:
-            groups.append([])
-            held = 0
-        groups[-1].append(tree)
-        held += n
-    low, width, bins = model.low, np.where(model.high > model.low, model.high - model.low, 1.0), model.config.bins
-    out = df.withColumn(score, F.lit(0.0))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*[f for f in df.schema.fields if f.name != score], T.StructField(score, T.DoubleType())])
-    for group in groups:
-        shared = df.sparkSession.sparkContext.broadcast(_Packed(model.nodes.where(F.col("tree").isin(group)).collect(), model.weights))
-
-        def apply(batches, shared=shared):
-            for batch in batches:
-                if len(batch):
-                    x = np.clip(np.floor((_matrix(batch, columns) - low) / width * bins), 0, bins - 1).astype(np.uint8)
-                    made = batch.column(score).to_numpy() + shared.value.total(x) / max(1, len(sizes))
-                    yield batch.set_column(batch.schema.get_field_index(score), score, pa.array(made))
-
-        out = out.select(*[f"`{f.name}`" for f in schema.fields]).mapInArrow(apply, schema)
-    return out
+        new = bool(of) and held + n > MAX_NODES
+        of.append((tree, (of[-1][1] if of else 0) + new))
+        held = n if new else held + n
+    kept = [c for c in df.columns if c != score]
+    tagged = materialize(df.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(ROW)))
+    share = F.aggregate(F.array_sort(F.collect_list(F.struct("group", "total"))), F.lit(0.0), lambda s, x: s + x["total"] / len(sizes))
+    totals = _group_totals(model, tagged, columns, of).groupBy(ROW).agg(share.alias(score))
+    return tagged.join(totals, ROW).select(*[F.col(f"`{c}`") for c in kept], score)
 
 
 # ------------------------------------------------------------------ storage

@@ -65,3 +65,15 @@ def test_odd_tables(spark):
     pure = TR.fit(spark.createDataFrame([(i, 1, [float(i)]) for i in range(5)], kind), ["x"], "y", "row", TR.TreeConfig(num_trees=1, bagging=False))
     assert pure.nodes.count() == 1
     assert {r["score"] for r in TR.predict(pure, spark.createDataFrame([(0, 0, [99.0])], kind), ["x"]).collect()} == {1.0}
+
+
+def test_inference_sends_no_nodes_to_the_driver(spark, monkeypatch):
+    df, _, _ = table(spark, 300)
+    model = TR.fit(df, ["a", "b"], "y", "row", TR.TreeConfig(num_trees=6))
+    n, most, frame = model.nodes.count(), [0], type(df)
+    collect, broadcast, sent = frame.collect, type(spark.sparkContext).broadcast, []
+    monkeypatch.setattr(frame, "collect", lambda self: most.append(len(got := collect(self))) or got)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    scored = TR.predict(model, df, ["a", "b"])
+    assert n > 100 and max(most) <= 6 and not sent
+    assert scored.columns == [*df.columns, "score"] and scored.count() == 300
