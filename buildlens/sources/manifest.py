@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.normalize import shard_name
 from ..operators.resume import config_diff
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, listing_by_few_tasks
 from . import shards as SH
 
 LOG_SCHEMA = ("kind string, run_id string, shard_index int, shard_name string, num_samples long, vectors_digest string, "
@@ -136,11 +136,13 @@ def table_fingerprint(df: DataFrame, cols: list[str]) -> dict:
 
 
 def _vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED).option("pathGlobFilter", "*.parquet").parquet(path)
+    with listing_by_few_tasks(spark):
+        return spark.read.schema(STORED).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("value string, run_id string, shard_index int").option("pathGlobFilter", "*.gz").text(path)
+    with listing_by_few_tasks(spark):
+        return spark.read.schema("value string, run_id string, shard_index int").option("pathGlobFilter", "*.gz").text(path)
 
 
 def vector_digests(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -253,7 +255,9 @@ def live_texts(spark: SparkSession, out_dir: str, fields: str) -> DataFrame:
     schema = f"{fields}, run_id string, shard_index int"
     if not exists(spark, f"{out_dir}/{TEXTS}"):
         return spark.createDataFrame([], schema)
-    return _of_live_runs(spark, out_dir, spark.read.schema(schema).option("pathGlobFilter", "*.gz").json(f"{out_dir}/{TEXTS}"))
+    with listing_by_few_tasks(spark):
+        records = spark.read.schema(schema).option("pathGlobFilter", "*.gz").json(f"{out_dir}/{TEXTS}")
+    return _of_live_runs(spark, out_dir, records)
 
 
 # ------------------------------------------------------------------ recovery

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.normalize import shard_index_of, shard_name
 from ..operators.ordering import with_global_index
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, listing_by_few_tasks
 
 FORMAT_VERSION = 1
 DEFAULT_SHARD_SIZE = 5000
@@ -133,11 +133,13 @@ def read_shards(spark: SparkSession, path: str, glob: str = "*.parquet", require
     glob matches no file (checked on the file listing, content not read).
     """
     if require_files:
-        listing = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
-            .option("recursiveFileLookup", "true").load(path).select("path")
+        with listing_by_few_tasks(spark):
+            listing = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+                .option("recursiveFileLookup", "true").load(path).select("path")
         if listing.limit(1).count() == 0:
             raise FileNotFoundError(f"no shard files matching {glob!r} under {path}")
-    return spark.read.schema(SHARD_SCHEMA).option("pathGlobFilter", glob).parquet(path)
+    with listing_by_few_tasks(spark):
+        return spark.read.schema(SHARD_SCHEMA).option("pathGlobFilter", glob).parquet(path)
 
 
 def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None, whole_shards: bool = False) -> DataFrame:
@@ -168,14 +170,16 @@ def first_n_from_shards(shards: DataFrame, entries: DataFrame, n: int | None, wh
 
 def read_sidecar(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Sidecar scan with an explicit schema (blank lines are skipped by the reader)."""
-    return spark.read.schema(schema).json(path)
+    with listing_by_few_tasks(spark):
+        return spark.read.schema(schema).json(path)
 
 
 # ------------------------------------------------------------------ S4 / S15 / J7 / U1
 def file_listing(spark: SparkSession, path: str) -> DataFrame:
     """Files below ``path`` with size and shard index parsed from the directory name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) \
-        .select("path", "length", "modificationTime")
+    with listing_by_few_tasks(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) \
+            .select("path", "length", "modificationTime")
     return files.withColumn("shard_index", F.regexp_extract("path", "shard_index=(\\d+)", 1).try_cast("int"))
 
 
@@ -184,7 +188,8 @@ def file_checksums(spark: SparkSession, path: str, glob: str | None = None) -> D
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    with listing_by_few_tasks(spark):
+        return reader.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def shard_listing_from_names(names: DataFrame, name_col: str = "name") -> DataFrame:
