@@ -30,6 +30,7 @@ from .forest import EmptySplitError
 
 MODALITIES = ("message_embedding", "diff_embedding", "context_embedding")
 LN_EPS = 1e-5
+BLOCK = 1024  # rows of one numpy pass: its arrays are a few kB a row, and a batch holds up to 10,000 rows
 
 
 @dataclass
@@ -169,6 +170,13 @@ def _inputs(pdf: pd.DataFrame, cols=MODALITIES) -> list[np.ndarray]:
     return [np.stack(pdf[c].to_numpy()).astype(np.float64) for c in cols]
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches``, at most ``BLOCK`` at a time."""
+    for pdf in batches:
+        for first in range(0, len(pdf), BLOCK):
+            yield pdf.iloc[first:first + BLOCK]
+
+
 def check_vectors(df: DataFrame, cfg: FusionConfig) -> DataFrame:
     """``df`` with an error raised on the first row one of whose vectors has another size than the model's."""
     sizes = F.array(*[F.coalesce(F.size(c), F.lit(-1)) for c in MODALITIES])
@@ -193,9 +201,7 @@ def score(df: DataFrame, params: dict[str, np.ndarray], cfg: FusionConfig, thres
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = FusionConfig(**conf)
         p = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in _blocks(batches):
             xs = _inputs(pdf)
             logit, alpha, _ = _forward(p, c, xs, None)
             prob = 1.0 / (1.0 + np.exp(-logit))
@@ -229,9 +235,7 @@ def _partition_gradients(df: DataFrame, bc, cfg: FusionConfig, seed: int, label_
         p = bc.value
         total = {k: np.zeros_like(v) for k, v in p.items()}
         n, loss_sum, correct = 0, 0.0, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in _blocks(batches):
             xs = _inputs(pdf)
             y = pdf[label_col].to_numpy().astype(np.float64)
             # dropout follows the row, whatever batch or partition it is in
