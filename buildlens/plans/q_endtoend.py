@@ -95,17 +95,16 @@ def q_incremental_retry(spark, sf_dir):
     tick = spark.createDataFrame([("-", "-")], "repo string, commit_sha string")
     drops = [(builds, 0, commits.where(k == 0), 0), (None, 0, commits.where(k == 1), 1), (None, 0, tick, 4), (None, 0, tick, 4.5),
              (None, 0, known, 5), (builds.where((k == 2) & (F.col("source_row_index") % 2 == 0)).join(known, ["repo", "commit_sha"], "left_semi"), 6, tick, 6)]
-    src = SH.scratch_dir(spark, "arrivals")
-    for some, hour, arrived, commit_hour in drops:  # one file per drop, read one after another
+    src, out, ckpt = (SH.scratch_dir(spark, name) for name in ("arrivals", "waiting", "waiting_ckpt"))
+    stream = lambda: spark.readStream.schema(f"{BUILD}, arrived_at timestamp, is_commit boolean").parquet(src)
+    for some, hour, arrived, commit_hour in drops:  # the stream goes on from its checkpoint after every drop, whatever its files
         part = arrived.select("repo", "commit_sha", at(commit_hour).alias("arrived_at"), F.lit(True).alias("is_commit"))
         if some is not None:
             part = part.unionByName(some.withColumn("arrived_at", at(hour)).withColumn("is_commit", F.lit(False)), allowMissingColumns=True)
         else:
             part = part.unionByName(builds.limit(0).withColumn("arrived_at", at(0)).withColumn("is_commit", F.lit(False)), allowMissingColumns=True)
-        part.coalesce(1).write.mode("append").parquet(src)
-    stream = lambda: spark.readStream.schema(f"{BUILD}, arrived_at timestamp, is_commit boolean").option("maxFilesPerTrigger", 1).parquet(src)
-    out = SH.scratch_dir(spark, "waiting")
-    start_matching(spark, stream().where("NOT is_commit").drop("is_commit"), stream().where("is_commit"), out, SH.scratch_dir(spark, "waiting_ckpt"),
-                   expiry=timedelta(hours=2)).awaitTermination()
+        part.write.mode("append").parquet(src)
+        start_matching(spark, stream().where("NOT is_commit").drop("is_commit"), stream().where("is_commit"), out, ckpt,
+                       expiry=timedelta(hours=2)).awaitTermination()
     ok = spark.read.parquet(f"{out}/accepted").select("sample_id", F.lit("accepted").alias("status"), F.hour("arrived_at").alias("arrived_hour"))
     return ok.unionByName(spark.read.parquet(f"{out}/failures").select("sample_id", F.lit("failed").alias("status"), F.lit(None).cast("int").alias("arrived_hour")))
