@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import resume as R
-from ..operators.diffs import materialize
 from ..plans.preprocess import PreprocessConfig, _exists, plan_samples
 from ..sources import shards as SH
 from ..sources.builds import ColumnRoles, normalize_builds
@@ -47,7 +46,6 @@ def process_batch(batch: DataFrame, batch_id: int, commits: DataFrame, out_dir:
                   _earlier(spark, f"{out_dir}/failures", batch_id, "sample_id")):
         if known is not None:
             b = R.drop_completed(b, known)
-    b = b.persist()  # read by every write below
     ok, failures = R.split_by_commit_availability(b, commits)
     if commit_files is not None:
         cfg = cfg or PreprocessConfig()
@@ -61,7 +59,6 @@ def process_batch(batch: DataFrame, batch_id: int, commits: DataFrame, out_dir:
         _write(SH.manifest_shards(stored), batch_id, f"{out_dir}/manifest_shards")
     _write(failures, batch_id, f"{out_dir}/failures")
     _write(ok, batch_id, f"{out_dir}/accepted")
-    b.unpersist()
 
 
 def start_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, commits: DataFrame, out_dir: str,
@@ -69,8 +66,6 @@ def start_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, com
                  available_now: bool = True, max_files_per_trigger: int | None = None,
                  commit_files: DataFrame | None = None, cfg: PreprocessConfig | None = None):
     """Start the stream (file source, fixed schema); returns the StreamingQuery."""
-    if completed is not None:  # fixed before the stream begins, so made once and not in every batch
-        completed = materialize(completed.select("sample_id").distinct())
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
