@@ -15,9 +15,10 @@ class, whose node is a 64-bit hash of the set.  Between classes:
   also gets the signatures of another division of the domain, so that no pair
   is lost.
 * Sets that share a signature are linked to the smallest of them first, each to
-  one, then to the others that it met so.  Where a signature's sets are still in
-  different components, one set of each is compared with one other, a few times;
-  only what is apart after that is looked at pair by pair.  A parity bitmap, whose Hamming distance is a lower bound
+  one, then to the others that it met so.  Only signatures whose sets are still in
+  different components are looked at after that: while they hold many pairs, one set of
+  each component is compared with one other, a few times; then all their pairs that are apart.
+  A parity bitmap, whose Hamming distance is a lower bound
   of the symmetric difference, discards those that can't be similar.
 * Every pair that remains is verified exactly on both whole sets.
 
@@ -47,6 +48,8 @@ SPARE = 0.35   # spare partitions, as a share
 SEEDS = 6      # divisions of the domain
 PER_BUCKET = 1_000_000  # shingles per bucket of signatures, which one task holds
 ROUNDS = 3       # of one set per component, before all pairs
+FEW = 8          # pairs that are apart for each member of a group: no more rounds are needed before all pairs
+BATCH = 1_000    # texts or packed signatures that a Python task gets at once
 PER_GROUP = 200  # texts of one side of a group that is verified together
 
 
@@ -186,11 +189,11 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     return store(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
                  .select("id", "text", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("mark"))  # names a text without id
-                 .mapInArrow(scan, "id long, n long, node long, check long, parity binary, mark long"), "shingle-profile")
+                 .mapInArrow(scan, "id long, n long, node long, check long, parity binary, mark long"), "shingle-profile", BATCH)
 
 
 def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFrame:
-    """Sets that share signatures, stored: rows (group, node, n, stars).
+    """Sets that share signatures, stored: rows (grp, centre, node, times).
 
     ``group`` null: a star edge, from ``centre`` to ``node``, with the number of signatures it was
     found by.  Else a member of a signature's group of three or more sets.
@@ -203,23 +206,8 @@ def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFra
                 node, _ = set_hashes(hashes, off)
                 # a set that the block holds twice is signed once
                 node, pick = np.unique(node, return_index=True)
-                size = np.diff(off)[pick]
                 items, place = _spread(hashes, off, pick)
-                off = np.searchsorted(place, np.arange(len(pick) + 1))
-                sig, row = signatures(items, off, bands)
-                bucket = ((sig >> U64(32)) % U64(n_buckets)).astype(np.int64)
-                order = np.lexsort((row, bucket))
-                sig, row, bucket = (sig & U64(0xFFFFFFFF)).astype(np.uint32)[order], row[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                out = {"bucket": [], "nodes": [], "sizes": [], "times": [], "sigs": []}
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    own, times = np.unique(row[cut[b]:cut[b + 1]], return_counts=True)
-                    out["bucket"].append(b)
-                    out["nodes"].append(node[own].tobytes())
-                    out["sizes"].append(size[own].astype(np.uint32).tobytes())
-                    out["times"].append(times.astype(np.uint32).tobytes())
-                    out["sigs"].append(sig[cut[b]:cut[b + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("nodes", "sizes", "times", "sigs"))], [*out])
+                yield _packed(node, *signatures(items, np.searchsorted(place, np.arange(len(pick) + 1)), bands), n_buckets)
 
     def meet(batches):
         held: dict[int, list] = {}
@@ -233,20 +221,37 @@ def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFra
         if last is not None:
             yield from _meet(last, held.pop(last))
 
-    signed = docs.select(text).mapInArrow(sign, "bucket int, nodes binary, sizes binary, times binary, sigs binary")
+    signed = docs.select(text).mapInArrow(sign, "bucket int, nodes binary, times binary, sigs binary")
     return store(signed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-                 .mapInArrow(meet, "grp long, centre long, node long, n long, times long"), "shared-signatures")
+                 .mapInArrow(meet, "grp long, centre long, node long, times long"), "shared-signatures", BATCH)
+
+
+def _packed(node: np.ndarray, sig: np.ndarray, row: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """A row per bucket of a block's signatures: 64-bit nodes, each with the number (a byte) of 32-bit signatures that are its own."""
+    bucket = ((sig >> U64(32)) % U64(n_buckets)).astype(np.int64)
+    order = np.lexsort((row, bucket))
+    sig, row, bucket = (sig & U64(0xFFFFFFFF)).astype(np.uint32)[order], row[order], bucket[order]
+    at = np.arange(len(row))
+    run = np.ones(len(row), bool)
+    run[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
+    run |= (at - np.maximum.accumulate(np.where(run, at, 0))) % 255 == 0  # a node with more is named again
+    first = np.flatnonzero(run)
+    nodes, times, dealt = node[row[first]], np.diff(np.append(first, len(row))).astype(np.uint8), bucket[first]
+    held = np.unique(dealt)
+    a, b = np.searchsorted(dealt, held), np.searchsorted(dealt, held, side="right")
+    c, d = np.searchsorted(bucket, held), np.searchsorted(bucket, held, side="right")
+    cut = lambda x, lo, hi: pa.array([x[i:j].tobytes() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), cut(nodes, a, b), cut(times, a, b), cut(sig, c, d)], ["bucket", "nodes", "times", "sigs"])
 
 
 def _meet(bucket: int, rows: list):
     """Star edges and larger groups of one bucket's signatures."""
     node = np.concatenate([np.frombuffer(r["nodes"], np.int64) for r in rows])
-    size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
-    times = np.concatenate([np.frombuffer(r["times"], np.uint32) for r in rows])
+    times = np.concatenate([np.frombuffer(r["times"], np.uint8) for r in rows])
     sig = np.concatenate([np.frombuffer(r["sigs"], np.uint32) for r in rows])
     rows.clear()
-    known, first, which = np.unique(node, return_index=True, return_inverse=True)
-    size, who = size[first], np.repeat(which, times)
+    known, which = np.unique(node, return_inverse=True)
+    who = np.repeat(which, times)
     key = np.unique((sig.astype(U64) << U64(32)) | who.astype(U64))  # sets are ranked by node in a signature
     del sig, who
     sig, who = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
@@ -265,7 +270,7 @@ def _meet(bucket: int, rows: list):
     keep = np.bincount(np.searchsorted(edge, (centre.astype(U64) << U64(32) | member.astype(U64))[pair & (member != centre)]), minlength=len(edge)) > 0
     order = np.lexsort((from_, -found, to))
     keep[order[np.concatenate([[True], to[order][1:] != to[order][:-1]])]] = True
-    yield _table(None, known[from_[keep]], known[to[keep]], size[to[keep]], found[keep])
+    yield _table(None, known[from_[keep]], known[to[keep]], found[keep])
     # one group of each list of members
     print_of = np.add.reduceat(mix(known[member].view(U64) + U64(77)), np.cumsum(count) - count)
     _, one = np.unique(print_of, return_index=True)
@@ -273,13 +278,13 @@ def _meet(bucket: int, rows: list):
     if len(one):
         large = np.isin(group, one)
         name = (mix(group[large].astype(U64) + (U64(bucket) << U64(32)))).view(np.int64)
-        yield _table(name, np.zeros(len(name), np.int64), known[member[large]], size[member[large]], np.ones(len(name), np.int64))
+        yield _table(name, np.zeros(len(name), np.int64), known[member[large]], np.ones(len(name), np.int64))
 
 
-def _table(group, centre, node, size, times) -> pa.RecordBatch:
+def _table(group, centre, node, times) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.nulls(len(node), pa.int64()) if group is None else pa.array(group), pa.array(centre), pa.array(node),
-        pa.array(size), pa.array(times.astype(np.int64))], ["grp", "centre", "node", "n", "times"])
+        pa.array(times.astype(np.int64))], ["grp", "centre", "node", "times"])
 
 
 def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -348,7 +353,7 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(good[0], pa.int64()), pa.array(good[1], pa.int64())], ["a", "b"])
 
     met = texts.unionByName(asked).repartition(partitions(docs.sparkSession), *dest).sortWithinPartitions(*dest, "side")
-    return store(met.mapInArrow(compare, "a long, b long"), "similar-pairs")
+    return store(met.mapInArrow(compare, "a long, b long"), "similar-pairs", BATCH)
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -366,6 +371,18 @@ def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
     return store(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(test, "a long, b long, times long"), "plausible-stars")
 
 
+def _at_hubs(pairs: DataFrame) -> DataFrame:
+    """Pairs with the group where they meet: that of the node with more pairs, in blocks of PER_GROUP others."""
+    degree = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda c: degree.select(F.col("a").alias(c), F.col("n").alias(f"n{c}"))
+    first = F.struct(-F.col("na"), "a") < F.struct(-F.col("nb"), "b")
+    hub = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("first", first)
+    blocks = F.ceil(F.greatest("na", "nb") / PER_GROUP)
+    return store(hub.select("a", "b", F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("g"),
+                            F.pmod(F.xxhash64(F.when(F.col("first"), F.col("b")).otherwise(F.col("a"))), blocks).cast("int").alias("i"), F.lit(0).alias("j")),
+                 "pairs-at-hubs")
+
+
 def _in_blocks(pairs: DataFrame) -> DataFrame:
     """Pairs with the group where they meet: their connected family, cut into blocks of PER_GROUP nodes."""
     family = components(pairs)
@@ -394,16 +411,25 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      .select("a", "b", F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("i"), F.lit(0).alias("j")), "best-stars")
         good = _verify(docs, key, text, best, slim, num, den)
         comp = components(good)
-        # what is still apart: first the other star edges, a few per set, then one set of each component of a larger
-        # group against one other, and last all pairs inside larger groups
+
+        def further(found: DataFrame, comp: DataFrame, dealt) -> DataFrame:
+            apart = store(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-apart")
+            return comp if apart.isEmpty() else _joined(comp, _verify(docs, key, text, dealt(apart), slim, num, den))
+
+        # what is still apart: first the other star edges, a few per set; then inside the larger groups that are not of
+        # one component yet, one set of each component against one other while there are many pairs; last all pairs
+        comp = further(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), comp), comp, _at_hubs)
         groups = shared.filter("grp is not null").select("grp", "node")
-        steps = [lambda c: _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), c)] \
-            + [lambda c, k=k: _plausible(_one_each(groups, c, k), reps, num, den) for k in range(ROUNDS)] + [lambda c: _cross(groups, c, reps, num, den)]
-        for found in steps:
-            apart = store(found(comp).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-apart")
-            if not apart.isEmpty():
-                more = _verify(docs, key, text, _in_blocks(apart), slim, num, den)
-                good, comp = (good, comp) if more.isEmpty() else (good.unionByName(more), components(good.unionByName(more)))
+        for k in range(ROUNDS + 1):
+            split = store(_split(groups, comp), "split-groups")
+            members, pairs = split.agg(F.sum("n"), F.sum("apart")).first()
+            if not members:
+                break
+            groups = store(groups.join(split.select("grp"), "grp", "left_semi"), "open-groups")
+            if k == ROUNDS or pairs <= FEW * members:
+                comp = further(_cross(groups, comp, reps, num, den), comp, _in_blocks)
+                break
+            comp = further(_plausible(_one_each(groups, comp, k), reps, num, den), comp, _at_hubs)
     else:
         comp = spark.createDataFrame([], "node long, component long")
     named = reps.select("node", "check", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -420,6 +446,25 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _joined(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after further edges: only those of components, a node each, are walked."""
+    if edges.isEmpty():
+        return comp
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = edges.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = components(between)
+    moved = comp.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left") \
+        .select("node", F.coalesce("to", "component").alias("component"))
+    return store(moved.unionByName(found.join(comp.select("node"), "node", "left_anti")), "components")
+
+
+def _split(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The groups that hold sets of different components: (grp, n, apart), their sets and the pairs of different components."""
+    labelled = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = labelled.groupBy("grp", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return each.groupBy("grp").agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart")).filter("apart > 0")
+
+
 def _one_each(members: DataFrame, comp: DataFrame, k: int) -> DataFrame:
     """Inside each group one set of every component (another one each round ``k``) with that of one component: linear in the members."""
     labelled = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -431,8 +476,7 @@ def _one_each(members: DataFrame, comp: DataFrame, k: int) -> DataFrame:
 def _cross(members: DataFrame, comp: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components inside a group, less those that size or parity rules out."""
     labelled = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
-    rows = labelled.join(split, "grp").join(reps.select("node", "n", "parity"), "node") \
+    rows = labelled.join(reps.select("node", "n", "parity"), "node") \
         .select("grp", "node", "component", "n", "parity")
 
     def pairs(batches):
