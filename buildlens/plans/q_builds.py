@@ -246,7 +246,9 @@ def q_scan_builds_quoted_csv(spark, sf_dir):
     raw = FX.builds_raw(spark, sf_dir).withColumn("git_prev_built_commit", F.when(F.col("source_row_index") % 7 == 3, odd).otherwise(F.col("git_prev_built_commit")))
     raw.repartitionByRange(2, "source_row_index").sortWithinPartitions("source_row_index").drop("source_row_index").write \
         .options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    with scoped_conf(spark, {"spark.sql.files.maxPartitionBytes": 1 << 15, "spark.sql.files.openCostInBytes": 0}):
+    # byte ranges as small as ever, but a few tasks per core read them all
+    with scoped_conf(spark, {"spark.sql.files.maxPartitionBytes": 1 << 15, "spark.sql.files.openCostInBytes": 0,
+                             "spark.sql.files.maxPartitionNum": 4 * spark.sparkContext.defaultParallelism}):
         read = read_builds_csv(spark, path).checkpoint(eager=True)
     return normalize_builds_csv(read)
 

@@ -44,3 +44,22 @@ def test_retry_drops_are_written_by_all_tasks(spark, monkeypatch):
     out = Q.q_incremental_retry(spark, SF_SMALL)
     states = {(r["status"], r["arrived_hour"]): r["n"] for r in out.groupBy("status", "arrived_hour").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert not to_one and set(states) == {("accepted", 0), ("accepted", 6), ("failed", None)}
+
+
+def test_quoted_csv_is_read_by_few_tasks(spark, tmp_out):
+    """A task for each 32 KB before, so that time went with their number; the byte ranges stay as small."""
+    from buildlens.plans.q_builds import q_scan_builds_quoted_csv
+    n = 30_000
+    spark.range(n).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey", "'F' AS o_orderstatus", "date'2024-01-01' AS o_orderdate") \
+        .write.parquet(f"{tmp_out}/orders.parquet")
+    sc = spark.sparkContext
+    sc.setJobGroup("quoted-csv", "")
+    got = q_scan_builds_quoted_csv(spark, tmp_out).collect()
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("quoted-csv") for s in tracker.getJobInfo(j).stageIds]
+    most = max(i.numTasks for i in map(tracker.getStageInfo, stages) if i is not None)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert most <= 5 * sc.defaultParallelism
+    odd = '\n"q", z\nend'
+    parent = lambda i: None if i < 100 else f"c{i - 100}" + (odd if i % 7 == 3 else "")
+    assert sorted((r["source_row_index"], r["commit_sha"], r["parent_commit_sha"]) for r in got) == [(i, f"c{i}", parent(i)) for i in range(n)]
