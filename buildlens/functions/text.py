@@ -5,22 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Line boundaries of str.splitlines().  Printable ASCII is settled by the first half of a class; Java tries every range of the second.
+_EOL_CHARS = "\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029"
+PY_EOL = f"[[^ -~]&&[{_EOL_CHARS}]](?:(?<=\\r)\\n)?"
+_LINE = f"[ -~[^{_EOL_CHARS}]]*+(?:{PY_EOL}|\\z)"
+
+
 # Characters Python's str.isspace() accepts (ASCII controls, the separators
-# 0x1c-0x1f, NEL, NBSP and the Unicode space separators).
-PY_SPACE_CLASS = (
-    "[\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a"
-    "\\u2028\\u2029\\u202f\\u205f\\u3000]"
-)
-# Line boundaries of str.splitlines().
-PY_EOL_CLASS = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-PY_EOL = "(?:\\r\\n|" + PY_EOL_CLASS + ")"
-_NOT_EOL = "[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-
-
-# The same sets as plain characters, for trim() and translate().
+# 0x1c-0x1f, NEL, NBSP and the Unicode space separators), for trim().
 PY_SPACE_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
                   + "\u2028\u2029\u202f\u205f\u3000")
-_RARE_EOL = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def py_strip(c: Column) -> Column:
@@ -28,37 +22,26 @@ def py_strip(c: Column) -> Column:
     return F.trim(c, F.lit(PY_SPACE_CHARS))
 
 
-def _unix_newlines(c: Column) -> Column:
-    """Every ``str.splitlines`` boundary as a single ``\n`` (``\r\n`` first)."""
-    return F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), _RARE_EOL, "\n" * len(_RARE_EOL))
-
-
 def py_splitlines(c: Column) -> Column:
-    """``str.splitlines()`` without line ends: NULL in, NULL out; "" -> []."""
-    parts = F.split(_unix_newlines(c), "\n", -1)
-    return F.when(c.isNull(), F.lit(None)).otherwise(
-        F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1))
-        .otherwise(parts))
+    """``str.splitlines()`` without line ends: NULL in, NULL out; "" -> [].
+
+    The last line's end goes first, so the text is split once.
+    """
+    return F.when(c == "", F.array().cast("array<string>")) \
+        .otherwise(F.split(F.regexp_replace(c, PY_EOL + "\\z", ""), PY_EOL, -1))
 
 
 def py_splitlines_keepends(c: Column) -> Column:
     """``str.splitlines(keepends=True)``: every piece keeps its line end.
 
-    Texts whose only boundary is ``\n`` take a literal split; others the
-    regex that knows every boundary (and ``\r\n`` as one).
+    Every line is matched with its end (``\r\n`` is one); nothing of it depends on the other pieces.
     """
-    has_rare = F.length(F.translate(c, _RARE_EOL, "")) != F.length(c)
-    parts = F.split(c, "\n", -1)
-    n = F.size(parts)
-    fast = F.filter(F.transform(parts, lambda x, i: F.when(i < n - 1, F.concat(x, F.lit("\n"))).otherwise(x)),
-                    lambda x: x != "")
-    slow = F.filter(F.regexp_extract_all(c, F.lit(f"{_NOT_EOL}*(?:{PY_EOL}|\\z)"), 0), lambda x: x != "")
-    return F.when(has_rare, slow).otherwise(fast)
+    return F.filter(F.regexp_extract_all(c, F.lit(_LINE), F.lit(0)), lambda x: x != "")
 
 
 def strip_line_end(c: Column) -> Column:
     """``line.rstrip("\\r\\n")``."""
-    return F.regexp_replace(c, "[\\r\\n]+\\z", "")
+    return F.rtrim(c, F.lit("\r\n"))
 
 
 def count_char(c: Column, ch: str) -> Column:

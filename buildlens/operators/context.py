@@ -133,7 +133,8 @@ def brace_deltas(lines: Column) -> Column:
 def function_end(deltas: Column, opens: Column, s: Column, max_lines: int = MAX_FUNCTION_LINES) -> Column:
     """First line from ``s`` (within ``max_lines``) where a ``{`` was seen and the
     brace balance is <= 0; ``s`` itself when the body never closes."""
-    last = F.least(F.size(deltas), s + max_lines) - 1
+    # both arrays are read twice, so that Catalyst does not inline their making into the fold
+    last = F.least(F.size(deltas), F.size(opens), s + max_lines) - 1
     init = F.struct(F.lit(0).alias("bal"), F.lit(False).alias("seen"), F.lit(None).cast("int").alias("end"))
 
     def step(acc, j):
@@ -166,12 +167,14 @@ def regions_for_lines(df: DataFrame, lines_col: str, first_col: str, out: str =
         .withColumn("_op", F.transform(lines, lambda x: x.contains("{")))
     staged = staged.withColumn("_t", F.transform(first_col, lambda ln: F.struct(
         ln.alias("line"), nearest_signature(F.col("_sig"), ln - 1).alias("s"))))
-    staged = staged.withColumn("_t", F.transform("_t", lambda x: F.struct(
-        x["line"].alias("line"), x["s"].alias("s"),
-        function_end(F.col("_dl"), F.col("_op"), x["s"]).alias("e"))))
+    # changed lines of one function share its end
+    staged = staged.withColumn("_ends", F.transform(F.array_distinct(F.filter(F.transform("_t", lambda x: x["s"]), lambda s: s.isNotNull())),
+                                                    lambda s: F.struct(s.alias("s"), function_end(F.col("_dl"), F.col("_op"), s).alias("e"))))
+    e = lambda x: F.get(F.filter("_ends", lambda p: (p["s"] == x["s"]) & (F.size("_ends") > 0)), F.lit(0))["e"]  # noqa: E731 - read twice: not inlined
+    staged = staged.withColumn("_t", F.transform("_t", lambda x: F.struct(x["line"].alias("line"), x["s"].alias("s"), e(x).alias("e"))))
     regions = F.when(lines.isNotNull(), F.transform("_t", lambda x: F.struct(
         x["line"].alias("line"), _region(lines, x["line"] - 1, x["s"], x["e"]).alias("region"))))
-    return staged.withColumn(out, regions).drop("_sig", "_dl", "_op", "_t")
+    return staged.withColumn(out, regions).drop("_sig", "_dl", "_op", "_t", "_ends")
 
 
 def with_context_columns(files: DataFrame, max_lines: int = MAX_CHANGED_LINES_PER_FILE) -> DataFrame:

@@ -5,8 +5,8 @@ The embedder is pluggable: anything with ``metadata()`` and
 (Arrow batches; the model is built once per task).  The built-in
 ``HashingEmbedder`` needs no model files: whitespace tokens are hashed with
 md5 into ``dim`` signed buckets and mean-pooled.  ``with_hash_embedding`` does
-the same with Spark's own tokenising and hashing and one numpy scatter-add per
-Arrow batch.
+the same with Spark's own tokenising, each different token of a part of an Arrow
+batch hashed once, and one numpy scatter-add.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
+
 DEFAULT_MAX_LENGTH = 512
 SPECIAL_TOKENS = 2  # sequence start and end markers counted by the tokenizer
+SPACES = "(?U)[\\s\\x1c-\\x1f]+"
+POOLED_ROWS = 512   # rows of an Arrow batch that are hashed and pooled at once
 
 
 # ------------------------------------------------------------------ E1
@@ -31,48 +35,59 @@ def whitespace_tokens(text: Column) -> Column:
 
     Python's whitespace is Unicode White_Space plus the separators 0x1c-0x1f.
     """
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "(?U)[\\s\\x1c-\\x1f]+", -1), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda x: x != "")
 
 
 def token_metadata(text: Column, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
     """struct(token_count_before_truncation, retained_token_count, was_tokenizer_truncated)."""
-    n = F.size(whitespace_tokens(text)) + SPECIAL_TOKENS
-    return F.struct(n.alias("token_count_before_truncation"),
-                    F.least(n, F.lit(max_length)).alias("retained_token_count"),
-                    (n > max_length).alias("was_tokenizer_truncated"))
+    counted = F.array(F.size(whitespace_tokens(text)) + SPECIAL_TOKENS)  # a lambda's argument is made once; three uses would split the text three times
+    return F.get(F.transform(counted, lambda n: F.struct(
+        n.alias("token_count_before_truncation"), F.least(n, F.lit(max_length)).alias("retained_token_count"),
+        (n > max_length).alias("was_tokenizer_truncated"))), F.lit(0))
 
 
 # ------------------------------------------------------------------ E2 / E3: hashing
-def hashed_tokens(text: Column, dim: int, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
-    """Retained tokens as ints, 2 * bucket + (1 for a negative sign): bucket = first 8 hex
-    digits of md5(token) mod dim; the sign is negative when the 9th hex digit is odd."""
-    toks = F.slice(whitespace_tokens(text), 1, max_length - SPECIAL_TOKENS)
-    # v = first 9 hex digits: v >> 4 is the first 8 (bucket), v & 1 the parity of the 9th (sign)
-    values = F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long"))
-    return F.transform(values, lambda v: (F.lit(2) * (F.shiftright(v, 4) % dim) + v.bitwiseAND(F.lit(1))).cast("int"))
+def retained_tokens(text: Column, max_length: int = DEFAULT_MAX_LENGTH) -> Column:
+    """The first ``max_length - SPECIAL_TOKENS`` whitespace tokens; the rest of the text is not split."""
+    keep = max_length - SPECIAL_TOKENS
+    parts = F.split(py_strip(F.coalesce(text, F.lit(""))), SPACES, keep + 1)
+    return F.filter(F.slice(parts, 1, keep), lambda x: x != "")
+
+
+def token_codes(tokens: list[str], dim: int) -> np.ndarray:
+    """2 * bucket + (1 for a negative sign) of each token: bucket = first 8 hex digits of
+    md5(token) mod dim; the sign is negative when the 9th hex digit is odd."""
+    v = np.frombuffer(b"".join([hashlib.md5(t.encode()).digest()[:8] for t in tokens]), ">u8").astype(np.uint64) >> np.uint64(28)
+    return (2 * ((v >> np.uint64(4)) % np.uint64(dim)) + (v & np.uint64(1))).astype(np.int64)
 
 
-def pooled_vector(hashed: Column, dim: int) -> Column:
+def pooled_vector(tokens: Column, dim: int) -> Column:
     """Mean of the signed one-hot token vectors, sum per bucket / max(token count, 1).
 
-    One scatter-add per Arrow batch: the work is one step per token, whatever ``dim`` is.
+    One scatter-add per ``POOLED_ROWS`` rows, whose different tokens are hashed once: the work is
+    one step per token, whatever ``dim`` is.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType(), False))
     def pool(batch: pa.Array) -> pa.Array:
-        codes, size = batch.flatten().to_numpy(zero_copy_only=False), np.diff(batch.offsets.to_numpy())
-        row = np.repeat(np.arange(len(batch)), size)
-        total = np.bincount(row * dim + codes // 2, 1.0 - 2.0 * (codes & 1), len(batch) * dim).reshape(len(batch), dim)
-        mean = (total / np.maximum(size, 1)[:, None]).astype(np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(mean.ravel()))
+        out = []
+        for at in range(0, len(batch), POOLED_ROWS):
+            part = batch.slice(at, POOLED_ROWS)
+            size, words = np.diff(part.offsets.to_numpy()), part.flatten().dictionary_encode()
+            codes = token_codes(words.dictionary.to_pylist(), dim)[words.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(part)), size)
+            total = np.bincount(row * dim + codes // 2, 1.0 - 2.0 * (codes & 1), len(part) * dim).reshape(len(part), dim)
+            out.append((total / np.maximum(size, 1)[:, None]).astype(np.float32).ravel())
+        mean = np.concatenate(out) if out else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(mean))
 
-    return pool(hashed)
+    return pool(tokens)
 
 
 def with_hash_embedding(df: DataFrame, text_col: str, out_col: str, dim: int = 64,
                         max_length: int = DEFAULT_MAX_LENGTH) -> DataFrame:
-    """E2+E3: tokens are cut and hashed by Spark functions, pooled in numpy."""
-    return df.withColumn(out_col, pooled_vector(hashed_tokens(F.col(text_col), dim, max_length), dim))
+    """E2+E3: tokens are cut by Spark functions, hashed and pooled per Arrow batch."""
+    return df.withColumn(out_col, pooled_vector(retained_tokens(F.col(text_col), max_length), dim))
 
 
 # ------------------------------------------------------------------ pluggable embedder

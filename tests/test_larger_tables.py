@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from buildlens.functions.text import py_splitlines, py_splitlines_keepends, strip_line_end
+from buildlens.operators import embed as EM
 from buildlens.operators import fusion as FU
 from buildlens.plans import q_endtoend as Q
 from buildlens.sources import manifest as MF
@@ -63,3 +65,21 @@ def test_quoted_csv_is_read_by_few_tasks(spark, tmp_out):
     odd = '\n"q", z\nend'
     parent = lambda i: None if i < 100 else f"c{i - 100}" + (odd if i % 7 == 3 else "")
     assert sorted((r["source_row_index"], r["commit_sha"], r["parent_commit_sha"]) for r in got) == [(i, f"c{i}", parent(i)) for i in range(n)]
+
+
+def test_texts_are_split_once_and_not_per_line(spark):
+    """Before, a text was split three times for its token counts, and once more for every line of a kept diff."""
+    texts = ["", "\n", "a\r\n", "a\n\r", "x\x0by\x1cz w\x85", " a\tb　c\x1f", "é\r\r\n~", "a b c d e f g h ", None]
+    c, df = F.col("t"), spark.createDataFrame([(t,) for t in texts], "t string")
+    made = df.select("t", py_splitlines(c).alias("a"), py_splitlines_keepends(c).alias("b"), strip_line_end(c).alias("e"), EM.token_metadata(c, 6).alias("n"))
+    vectors = [r["v"] for r in EM.with_hash_embedding(df, "t", "v", 16, 6).collect()]
+    assert vectors == [[float(x) for x in v] for v in EM.HashingEmbedder(16, 6).embed(texts)]
+    for r in made.collect():
+        t = r["t"]
+        assert (r["a"], r["b"], r["e"]) == ((None,) * 3 if t is None else (t.splitlines(), t.splitlines(keepends=True), t.rstrip("\r\n")))
+        n = len((t or "").split()) + 2
+        assert tuple(r["n"]) == (n, min(n, 6), n > 6)
+    plan = lambda col: df.select(col.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(EM.token_metadata(c, 6)).count("split(") == 1
+    assert plan(py_splitlines_keepends(c)).count("split(") == 0
+    assert plan(py_splitlines(c)).count("split(") == 1
