@@ -31,6 +31,7 @@ from .diffs import materialize
 U64 = np.uint64
 NODES = "tree int, node long, depth int, feature int, bin int, left long, right long, n0 long, n1 long"
 HISTOGRAMS = 64 << 20  # bytes of a task's histograms in one pass
+CELLS = 2_000_000  # of the histograms that a subtree's level holds at once
 MAX_NODES = 1_000_000  # of a model that a task holds; larger ones are applied by groups of trees
 ROW = "_scored_row"
 PACKED = ["node", "depth", "feature", "bin", "left", "right", "n0", "n1"]
@@ -89,6 +90,12 @@ def node_features(tree: int, node: int, d: int, cfg: TreeConfig) -> np.ndarray:
     return np.sort(np.argsort(_hash(np.arange(d), tree, node, cfg.seed), kind="stable")[:k])
 
 
+def _impurity(x: np.ndarray, weights: tuple[float, float]) -> np.ndarray:
+    a, b = x[..., 0] * weights[0], x[..., 1] * weights[1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (a * a + b * b) / (a + b)
+
+
 def best_split(hist: np.ndarray, feature: np.ndarray, weights: tuple[float, float]) -> tuple[int, int] | None:
     """(feature, last bin of the left side) with the least weighted impurity; None if no bin parts the rows.
 
@@ -100,12 +107,7 @@ def best_split(hist: np.ndarray, feature: np.ndarray, weights: tuple[float, floa
     if not ok.any():
         return None
 
-    def part(x):
-        a, b = x[..., 0] * weights[0], x[..., 1] * weights[1]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return (a * a + b * b) / (a + b)
-
-    score = np.where(ok, part(left) + part(right), -np.inf)
+    score = np.where(ok, _impurity(left, weights) + _impurity(right, weights), -np.inf)
     at = int(score.argmax())
     return int(feature[at // score.shape[1]]), at % score.shape[1]
 
@@ -115,33 +117,60 @@ def _histogram(bins: np.ndarray, y: np.ndarray, count: np.ndarray, feature: np.n
     return np.bincount(at.ravel(), np.repeat(count, len(feature)), len(feature) * n_bins * 2).astype(np.int64).reshape(len(feature), n_bins, 2)
 
 
-def grow_here(bins: np.ndarray, y: np.ndarray, count: np.ndarray, tree: int, node: int, depth: int, weights, cfg: TreeConfig) -> list[tuple]:
-    """All nodes of one subtree, from its rows."""
-    out, d, open_ = [], bins.shape[1], [(np.arange(len(y)), node, depth)]
-    while open_:
-        rows, node, depth = open_.pop()
-        n0, n1 = int(count[rows][y[rows] == 0].sum()), int(count[rows][y[rows] == 1].sum())
-        split = None
-        if n0 and n1 and (cfg.max_depth is None or depth < cfg.max_depth):
-            for feature in dict.fromkeys((tuple(node_features(tree, node, d, cfg)), tuple(range(d)))):
-                feature = np.array(feature)
-                split = best_split(_histogram(bins[rows], y[rows], count[rows], feature, cfg.bins), feature, weights)
-                if split is not None:
-                    break
-        if split is None:
-            out.append((tree, node, depth, None, None, None, None, n0, n1))
-            continue
-        left, right = _child(node, 0), _child(node, 1)
-        out.append((tree, node, depth, *split, left, right, n0, n1))
-        lower = bins[rows, split[0]] <= split[1]
-        open_ += [(rows[lower], left, depth + 1), (rows[~lower], right, depth + 1)]
-    return out
-
-
-def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("tree", pa.int32()), ("node", pa.int64()), ("depth", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()),
-             ("left", pa.int64()), ("right", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], schema=pa.schema(kinds))
+def _level_splits(bins, y, count, rows, own, nodes, tree: int, weights, cfg: TreeConfig, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(feature or -1, bin) of each of ``nodes``, as ``best_split`` judges them; ``rows`` are in order of their node's place ``own``."""
+    d, out = bins.shape[1], np.full((2, len(nodes)), -1, np.int64)
+    k = d if every or cfg.features is None else max(1, int(np.sqrt(d)))
+    step = max(1, CELLS // (k * cfg.bins * 2))
+    for first in range(0, len(nodes), step):
+        some = nodes[first:first + step]
+        m = len(some)
+        feature = np.broadcast_to(np.arange(d), (m, d)) if k == d else \
+            np.sort(np.argsort(_hash(np.arange(d)[None, :], tree, some[:, None], cfg.seed), axis=1, kind="stable")[:, :k], axis=1)
+        lo, hi = np.searchsorted(own, [first, first + m])
+        r, place = rows[lo:hi], own[lo:hi] - first
+        at = ((place[:, None] * k + np.arange(k)) * cfg.bins + bins[r[:, None], feature[place]]) * 2 + y[r][:, None]
+        hist = np.bincount(at.ravel(), np.repeat(count[r], k), m * k * cfg.bins * 2).reshape(m, k, cfg.bins, 2)
+        left = hist.cumsum(axis=2)[:, :, :-1]
+        right = hist.sum(axis=2)[:, :, None] - left
+        ok = (left.sum(axis=3) > 0) & (right.sum(axis=3) > 0)
+        score = np.where(ok, _impurity(left, weights) + _impurity(right, weights), -np.inf).reshape(m, -1)
+        best, found = score.argmax(axis=1), ok.reshape(m, -1).any(axis=1)
+        out[0, first:first + m] = np.where(found, feature[np.arange(m), best // (cfg.bins - 1)], -1)
+        out[1, first:first + m] = np.where(found, best % (cfg.bins - 1), -1)
+    return out[0], out[1]
+
+
+def grow_here(bins: np.ndarray, y: np.ndarray, count: np.ndarray, tree: int, node: int, depth: int, weights, cfg: TreeConfig) -> pa.RecordBatch:
+    """All nodes of one subtree, from its rows; the nodes of a level are split at once."""
+    levels, d = [], bins.shape[1]
+    rows, own, nodes = np.arange(len(y)), np.zeros(len(y), np.int64), np.array([node], np.int64)
+    while len(nodes):
+        n0, n1 = (np.bincount(own, count[rows] * (y[rows] == c), len(nodes)).astype(np.int64) for c in (0, 1))
+        feature, last = np.full((2, len(nodes)), -1, np.int64)
+        open_ = np.flatnonzero((n0 > 0) & (n1 > 0)) if cfg.max_depth is None or depth < cfg.max_depth else np.zeros(0, np.int64)
+        for every in (False, True):  # where none of the drawn features parts the rows, all are looked at
+            if not len(open_) or (every and cfg.features is None):
+                break
+            at = np.full(len(nodes), -1)
+            at[open_] = np.arange(len(open_))
+            held = at[own] >= 0
+            feature[open_], last[open_] = _level_splits(bins, y, count, rows[held], at[own[held]], nodes[open_], tree, weights, cfg, every)
+            open_ = open_[feature[open_] < 0]
+        split = feature >= 0
+        left, right = (np.where(split, _hash(nodes, side).view(np.int64), 0) for side in (0, 1))
+        levels.append((np.full(len(nodes), depth), split, nodes, feature, last, left, right, n0, n1))
+        # rows go on to the children, in order of their place
+        go = split[own]
+        rows, own = rows[go], own[go]
+        child = 2 * (np.cumsum(split) - 1)[own] + (bins[rows, feature[own]] > last[own])
+        by = np.argsort(child, kind="stable")
+        rows, own, nodes, depth = rows[by], child[by], np.stack([left[split], right[split]], axis=1).ravel(), depth + 1
+    deep, split, nodes, feature, last, left, right, n0, n1 = (np.concatenate(x) for x in zip(*levels, strict=True))
+    inner = lambda x, kind: pa.array(x, kind, mask=~split)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(len(nodes), tree), pa.int32()), pa.array(nodes), pa.array(deep, pa.int32()), inner(feature, pa.int32()), inner(last, pa.int32()),
+        inner(left, pa.int64()), inner(right, pa.int64()), pa.array(n0), pa.array(n1)], ["tree", "node", "depth", "feature", "bin", "left", "right", "n0", "n1"])
 
 
 def bin_rows(df: DataFrame, columns: list[str], low: np.ndarray, high: np.ndarray, bins: int, keep: list[str]) -> DataFrame:
@@ -337,7 +366,7 @@ def _finished(state: DataFrame, small: list, d: int, weights, cfg: TreeConfig) -
     def grow(table: pa.Table) -> pa.Table:
         batch = table.sort_by("row").combine_chunks().to_batches()[0]
         first = [batch.column(c)[0].as_py() for c in ("tree", "node", "depth")]
-        return pa.Table.from_batches([_node_batch(grow_here(_bytes(batch, d), batch.column("y").to_numpy(), batch.column("n").to_numpy(), *first, weights, cfg))])
+        return pa.Table.from_batches([grow_here(_bytes(batch, d), batch.column("y").to_numpy(), batch.column("n").to_numpy(), *first, weights, cfg)])
 
     rows = state.mapInArrow(deal, "tree int, node long, depth int, row long, y int, n long, bins binary")
     return rows.groupBy("tree", "node").applyInArrow(grow, NODES)

@@ -77,3 +77,32 @@ def test_inference_sends_no_nodes_to_the_driver(spark, monkeypatch):
     scored = TR.predict(model, df, ["a", "b"])
     assert n > 100 and max(most) <= 6 and not sent
     assert scored.columns == [*df.columns, "score"] and scored.count() == 300
+
+
+def test_a_subtree_is_split_level_by_level(monkeypatch):
+    """Before, one histogram per node; the nodes are those that a node at a time gives."""
+    rnd = np.random.default_rng(4)
+    bins, y, count = rnd.integers(0, 32, (500, 40)).astype(np.uint8), rnd.integers(0, 2, 500), rnd.integers(1, 4, 500)
+    bins[:100] = bins[0]  # rows that no feature parts
+    cfg, weights, want = TR.TreeConfig(), (1.0, 1.7), []
+
+    def grow(rows, node, depth):
+        n0, n1 = (int(count[rows][y[rows] == c].sum()) for c in (0, 1))
+        split = None
+        if n0 and n1:
+            for feature in (TR.node_features(2, node, 40, cfg), np.arange(40)):
+                split = split or TR.best_split(TR._histogram(bins[rows], y[rows], count[rows], feature, cfg.bins), feature, weights)
+        children = (TR._child(node, 0), TR._child(node, 1)) if split else (None, None)
+        want.append((2, node, depth, *(split or (None, None)), *children, n0, n1))
+        if split:
+            lower = bins[rows, split[0]] <= split[1]
+            grow(rows[lower], children[0], depth + 1)
+            grow(rows[~lower], children[1], depth + 1)
+
+    grow(np.arange(500), 77, 0)
+    passes, real = [], TR._level_splits
+    monkeypatch.setattr(TR, "_level_splits", lambda *a: passes.append(1) or real(*a))
+    monkeypatch.setattr(TR, "CELLS", 20_000)  # several passes per level
+    got = TR.grow_here(bins, y, count, 2, 77, 0, weights, cfg).to_pylist()
+    assert sorted((tuple(r.values()) for r in got), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    assert len(passes) <= 2 * (1 + max(r[2] for r in want)) < len(want)
