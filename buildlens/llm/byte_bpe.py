@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .spans import PieceCache, U64, blocks, gather, mix
 
 NONE = np.uint32(0xFFFFFFFF)
@@ -171,6 +171,7 @@ def encode_documents(docs: DataFrame, ranks: str, text: str = "text", ids: str =
     shared = _ranks(docs.sparkSession, ranks)
     kept = [f for f in docs.schema.fields if f.name != ids]
 
+    @tidy
     def encode(batches):
         cache = _bpe(shared.value)[1]
         for batch in batches:
@@ -195,6 +196,7 @@ def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str
     shared = _ranks(docs.sparkSession, ranks)
     kept = [f for f in docs.schema.fields if f.name != decoded]
 
+    @tidy
     def decode(batches):
         bpe = _bpe(shared.value)[0]
         for batch in batches:

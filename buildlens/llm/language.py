@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, tidy
 from .spans import LETTER, blocks, char_classes, code_points, utf8
 
 WINDOW, BATCH = 128, 256
@@ -152,9 +152,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return None
     sample = max(1, min(sample, TOTAL // len(counts)))
     # every language's rows are thinned to about ``sample``, by a hash of the row; 20 more leave none without
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * sample + 20) / r["count"])) for r in counts], "lang string, share double")
+    share = docs.sparkSession.createDataFrame(pa.table({  # as Arrow: from a list it would start a second set of workers
+        "lang": pa.array([r["lang"] for r in counts], pa.string()),
+        "share": pa.array([min(1.0, (1.3 * sample + 20) / r["count"]) for r in counts], pa.float64())}))
     roll = F.pmod(F.xxhash64("text", "id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
 
+    @tidy
     def scan(batches):
         for batch in batches:
             for at, part in blocks(batch.column(0)):
@@ -194,6 +197,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text: str = "text") -> Da
         return slim.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few tens of kB
 
+    @tidy
     def scan(batches):
         for batch in batches:
             for at, part in blocks(batch.column(text)):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store, table
+from .common import store, table, tidy
 from .sketch import POSITIONS, build_filter, positions, slabs_for
 from .spans import U64, blocks
 
@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     n_lines = slim.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     n_slabs = slabs_for(n_lines)
 
+    @tidy
     def insert(batches):
         held: list[int] = []
         for batch in batches:
@@ -73,6 +74,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 
     twice = spark.sparkContext.broadcast(build_filter(slim.select("text").mapInArrow(insert, POSITIONS), n_slabs, 2))
 
+    @tidy
     def suspect(batches):
         for batch in batches:
             ids = batch.column("id").to_pylist()
@@ -98,6 +100,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     schema = T.StructType([*kept, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     marked = docs.select(*(f"`{f.name}`" for f in kept)).join(lost, F.col(key).cast("long") == F.col("__ld_id"), "left").drop("__ld_id")
 
+    @tidy
     def drop(batches):
         for batch in batches:
             gone = batch.column("__ld_lost")

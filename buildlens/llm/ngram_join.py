@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, store, table
+from .common import components, partitions, store, table, tidy
 from .sketch import POSITIONS, build_filter, positions, slabs_for
 from .spans import U64, blocks, mix
 from .words import shingle_sets
@@ -177,6 +177,7 @@ class Parities:
 
 
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
+    @tidy
     def scan(batches):
         for batch in batches:
             for at, part in blocks(batch.column(1)):
@@ -199,6 +200,7 @@ def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFra
     found by.  Else a member of a signature's group of three or more sets.
     """
 
+    @tidy
     def sign(batches):
         for batch in batches:
             for _, part in blocks(batch.column(0)):
@@ -209,6 +211,7 @@ def _shared(docs: DataFrame, text: str, bands: Bands, n_buckets: int) -> DataFra
                 items, place = _spread(hashes, off, pick)
                 yield _packed(node, *signatures(items, np.searchsorted(place, np.arange(len(pick) + 1)), bands), n_buckets)
 
+    @tidy
     def meet(batches):
         held: dict[int, list] = {}
         last = None
@@ -308,6 +311,7 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
 
     wanted = docs.sparkSession.sparkContext.broadcast(build_filter(ways.select("rep").distinct().mapInArrow(insert, POSITIONS), n_slabs, 1))
 
+    @tidy
     def scan(batches):
         for batch in batches:
             hit = np.flatnonzero(wanted.value.test(mix(batch.column(0).to_numpy().view(U64))))
@@ -326,6 +330,7 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
         .select(*dest, F.lit(0).alias("side"), F.col("node").alias("a"), F.col("node").alias("b"), "text")
     asked = pairs.select(*dest, F.lit(1).alias("side"), "a", "b", F.lit(None).cast("string").alias("text"))
 
+    @tidy
     def compare(batches):
         group, sets = None, {}
         for batch in batches:
@@ -352,7 +357,7 @@ def _verify(docs: DataFrame, key: str, text: str, pairs: DataFrame, reps: DataFr
             if good[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(good[0], pa.int64()), pa.array(good[1], pa.int64())], ["a", "b"])
 
-    met = texts.unionByName(asked).repartition(partitions(docs.sparkSession), *dest).sortWithinPartitions(*dest, "side")
+    met = texts.unionByName(asked).repartition(*dest).sortWithinPartitions(*dest, "side")  # no number: few pairs need few tasks
     return store(met.mapInArrow(compare, "a long, b long"), "similar-pairs", BATCH)
 
 
@@ -479,6 +484,7 @@ def _cross(members: DataFrame, comp: DataFrame, reps: DataFrame, num: int, den:
     rows = labelled.join(reps.select("node", "n", "parity"), "node") \
         .select("grp", "node", "component", "n", "parity")
 
+    @tidy
     def pairs(batches):
         held, n = [], 0
         for batch in batches:
