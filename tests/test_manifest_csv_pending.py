@@ -228,3 +228,110 @@ def test_builds_wait_for_their_commits(spark, tmp_out):
     assert sorted(failed) == [("s2", "No commit arrived: late"), ("s3", "No commit arrived: never")]
     state = query.lastProgress["stateOperators"][0]
     assert state["numRowsTotal"] <= 8  # flags of the commits that are remembered; no build waits any more
+
+
+def _drop(spark, out, builds, commits, **args):
+    """One drop of builds and commits into the stream; the timers it registers."""
+    from buildlens.streaming.pending import BUILD, start_matching
+    kind, known = f"{BUILD}, arrived_at timestamp", "repo string, commit_sha string, arrived_at timestamp"
+    spark.createDataFrame(builds, kind).write.mode("append").parquet(f"{out}/b")
+    spark.createDataFrame(commits, known).write.mode("append").parquet(f"{out}/c")
+    query = start_matching(spark, spark.readStream.schema(kind).parquet(f"{out}/b"), spark.readStream.schema(known).parquet(f"{out}/c"),
+                           f"{out}/o", f"{out}/ck", expiry=timedelta(hours=2), **args)
+    query.awaitTermination()
+    return sum(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["stateOperators"])
+
+
+def _stored(spark, out, name, *columns):
+    return sorted((tuple(r) for r in spark.read.parquet(f"{out}/o/{name}").select(*columns).collect()), key=repr)
+
+
+def test_many_builds_of_one_commit_wait_as_one(spark, tmp_out):
+    """Before, each build that waited cost calls to the state and a timer of its own, so that time went with the builds."""
+    odd = ["", None, 'q"], [\\', "é\n\u2028\x00", "null", " "]
+
+    def build(i, commit, at):
+        return (i, "r" if i % 2 else None, commit, odd[i % 6], odd[(i + 1) % 6], odd[(i + 2) % 6], [0, 1, None][i % 3], f"s{i}", at)
+
+    first = [build(i, f"c{i % 4}" if i % 4 else None, T0 + timedelta(microseconds=i % 2)) for i in range(3000)]
+    assert 0 < _drop(spark, tmp_out, first, [("r", "c1", T0)]) < 20
+    _drop(spark, tmp_out, [build(3005, "c1", None), build(3001, "c9", T0 + timedelta(hours=1))], [(None, None, T0 + timedelta(hours=1))])
+    _drop(spark, tmp_out, [], [("t", "t", T0 + timedelta(hours=2, minutes=30))])
+    _drop(spark, tmp_out, [build(3003, "c9", T0 + timedelta(hours=2, minutes=45))], [("r", "c9", T0 + timedelta(hours=2, minutes=45))])
+    late = [build(3005, "c1", None), build(3001, "c9", T0 + timedelta(hours=1)), build(3003, "c9", T0 + timedelta(hours=2, minutes=45))]
+    fields = ["source_row_index", "repo", "commit_sha", "parent_commit_sha", "build_id", "raw_status", "label", "sample_id", "arrived_at"]
+    kept = [b for b in first if b[1:3] in (("r", "c1"), (None, None))] + late
+    assert _stored(spark, tmp_out, "accepted", *fields) == sorted(kept, key=repr)
+    failed = [b for b in first if b[1:3] not in (("r", "c1"), (None, None))]
+    assert _stored(spark, tmp_out, "failures", *fields[:5], "sample_id") == sorted([(*b[:5], b[7]) for b in failed], key=repr)
+
+
+def test_packs_and_passes_are_bounded(spark, tmp_out, monkeypatch):
+    """Small bounds: a commit's builds come in many texts and passes, with its commit row among them; the same builds go on."""
+    import pyarrow as pa
+    from buildlens.streaming import pending as P
+    monkeypatch.setattr(P, "PACK_ROWS", 3)
+    rows = pa.RecordBatch.from_pydict({"repo": ["r"] * 12 + [None], "commit_sha": ["a"] * 8 + ["b"] * 4 + [None], "at": [1] * 13, "builds": [f"[{i}]" for i in range(8)] + [None] * 5})
+    made = [tuple(r.values()) for b in P.pack(iter([rows.slice(0, 0), rows])) for r in b.to_pylist()]
+    assert all(t is None or t.count("[") <= 3 for *_, t in made)
+    assert sorted(t for *_, t in made if t) == ["[0],[1],[2]", "[3],[4],[5]", "[6],[7]"]
+    assert {r[:3] for r in made if r[3] is None} == {("r", "b", 1), (None, None, 1)}
+    monkeypatch.setattr(P, "CHARS", 4)
+    assert list(P._joined({("r", "a", 1): ["[1]", "[2]", "[3]"]})) == [("r", "a", 1, "[1]"), ("r", "a", 1, "[2]"), ("r", "a", 1, "[3]")]
+    parts = list(P._frames([("r", "a", 1, "[1]"), ("r", "b", 1, "[2]"), ("r", "c", 1, "[3]")], "failed"))
+    assert [list(f["commit_sha"]) for f in parts] == [["a"], ["b"], ["c"]] and set(parts[0]["status"]) == {"failed"}
+
+
+def test_a_group_meets_in_passes_and_is_swept_once(monkeypatch):
+    """Commits after their builds, over several passes; one sweep serves all timers of a batch, and the next end is registered."""
+    import pandas as pd
+    from buildlens.streaming import pending as P
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            return iter(list(self.rows)) if self.many else (self.rows[0] if self.rows else None)
+
+        def exists(self):
+            return bool(self.rows)
+
+        def update(self, row):
+            self.rows = [row]
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def clear(self):
+            self.rows = []
+
+    known, waiting, timers = State(), State(), []
+    known.many, waiting.many = False, True
+    handle = type("Handle", (), {"getValueState": lambda *a: known, "getListState": lambda *a: waiting, "registerTimer": lambda self, t: timers.append(t)})()
+    values = lambda now: type("Values", (), {"getCurrentWatermarkInMs": lambda self: now})()
+    fired = lambda at: type("Fired", (), {"getExpiryTimeInMs": lambda self: at})()
+
+    def frame(*rows):
+        return pd.DataFrame(list(rows), columns=["repo", "commit_sha", "arrived_us", "builds"])
+
+    def task():
+        w = P.Waiting(timedelta(milliseconds=10), timedelta(milliseconds=100))
+        w.init(handle)
+        return w
+
+    def out(frames):
+        return sorted(tuple(r) for f in frames for r in f[["commit_sha", "arrived_us", "builds", "status"]].itertuples(index=False))
+
+    monkeypatch.setattr(P, "HELD_ROWS", 2)
+    rows = [frame(("r", "a", 1000, "[1]"), ("r", "b", 1000, "[2]")), frame(("r", "a", 3000, "[3]"), ("r", "a", 2000, None)), frame(("r", "a", 5000, "[4]"), ("r", "b", 4000, "[5]"))]
+    assert out(task().handleInputRows((1,), iter(rows), values(0))) == [("a", 1000, "[1]", "accepted"), ("a", 3000, "[3]", "accepted"), ("a", 5000, "[4]", "accepted")]
+    assert waiting.rows == [("r", "b", 1000, "[2]"), ("r", "b", 4000, "[5]")] and min(timers) == 11
+    now, timers[:] = task(), []
+    assert out(now.handleExpiredTimer((1,), values(11), fired(11))) == [("b", 1000, "[2]", "failed")]
+    assert timers == [14] and out(now.handleExpiredTimer((1,), values(11), fired(11))) == []
+    assert out(task().handleExpiredTimer((1,), values(200), fired(14))) == [("b", 4000, "[5]", "failed")]
+    assert not known.rows and not waiting.rows
